@@ -1,0 +1,23 @@
+"""The registered queries of the operators: each applies one to its whole table and derives its digest columns."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import packing
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_packing": op5_packing}
+ORACLE_SQL: dict[str, str] = {}
