@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, toxicity
+from . import neardup, ordering, packing, toxicity
+from .common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards to the shared folder and reads every record back from them."""
+    path = shared_path(spark, "shards")
+    ordering.write_shards(_table(spark, sf_dir, "documents"), path)
+    found = ordering.read_slots(spark, path)
+    return found.select("slot", "shard", "byte_offset", F.col("doc_id").alias("first_doc_id"), F.col("start").alias("first_start"), "n_tokens", F.crc32("input_ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
+    "op10_training_order": op10_training_order,
 }
 ORACLE_SQL: dict[str, str] = {}
