@@ -26,6 +26,11 @@ def words(text: Column) -> Column:
     return F.transform(found, lower_ascii)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: inside a lambda function Spark would compute it anew at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, ordering, packing, toxicity
+from . import decontamination, neardup, ordering, packing, toxicity
 from .common import shared_path
 
 
@@ -28,6 +28,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.concat_ws(",", "item_ids"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards to the shared folder and reads every record back from them."""
     path = shared_path(spark, "shards")
@@ -40,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op10_training_order": op10_training_order,
 }
 ORACLE_SQL: dict[str, str] = {}
