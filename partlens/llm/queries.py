@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, neardup, neighbours, ordering, packing, toxicity, urls
+from . import decontamination, html, licenses, neardup, neighbours, ordering, packing, toxicity, urls
 from .common import shared_path
 
 
@@ -34,6 +34,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def license_digest(found: DataFrame) -> DataFrame:
+    starts = F.transform("base", lambda b: b["start"].cast("long"))
+    base = F.array_distinct(F.transform("base", lambda b: b["label"]))
+    every = F.array_union(base, F.transform("found", lambda d: d["label"]))
+    score = F.greatest(F.coalesce(F.array_max(F.transform("found", lambda d: d["confidence"])), F.lit(0.0)), F.when(F.size("base") > 0, 0.8).otherwise(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"), F.array_join(F.array_sort(every), ",").alias("labels"), score.alias("score"),
+    )
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(licenses.detect(_table(spark, sf_dir, "documents")))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).drop("patterns")
 
@@ -57,6 +72,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
+    "op4_license_scans": op4_license_scans,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op7_url_filters": op7_url_filters,
