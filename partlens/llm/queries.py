@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, licenses, neardup, neighbours, ordering, packing, toxicity, urls
+from . import decontamination, html, licenses, neardup, neighbours, ordering, packing, pii, toxicity, urls
 from .common import shared_path
 
 
@@ -24,6 +24,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents"))
 
 
+def pii_digest(found: DataFrame) -> DataFrame:
+    names = F.array(*map(F.lit, pii.NAMES))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
+    of_kind = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
+    counts = [of_kind(n).alias(f"n_{kind}") for n, (kind, _, _) in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -71,6 +83,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_personal_data": op2_personal_data,
     "op3_toxicity": op3_toxicity,
     "op4_license_scans": op4_license_scans,
     "op5_packing": op5_packing,
