@@ -16,8 +16,6 @@ items count once by item_id; an empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,45 +85,57 @@ def _literal(block: DataFrame, length: int, gram: int) -> tuple[Column, bool, bo
     return F.from_json(F.lit(row[2]), INDEX), row[0], row[1]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram: int = 5, block_words: int = 50_000) -> DataFrame:
-    """The rows of docs with _words and _hits: distinct (start, length, item_id) of windows that occur, by start."""
+def finder(benchmark: DataFrame, length: int = 10, gram: int = 5, block_words: int = 50_000):
+    """words -> distinct (start, length, item_id) of the benchmark's windows that occur, by start.
+
+    Everything is bound with let(), so the optimiser can move the expression without computing parts of it again.
+    """
     window = length - gram + 1
-    out = docs.withColumn("_words", words(F.col("text")))
-    grams = out.withColumn("_kept", _kept(_grams(F.col("_words"), gram), window))
-    w, parts = F.col("_words"), []
-    for b, block in enumerate(_blocks(benchmark, block_words)):
-        index, has_long, has_short = _literal(block, length, gram)
-        items = index["items"]
-        if has_long:
-            table = index["long"]
-            found = F.flatten(F.transform("_kept", lambda v: F.transform(F.filter(F.get(table, (F.shiftright(v, PLACE_BITS) % F.size(table)).cast("int")), lambda e: e["h"] == F.shiftright(v, PLACE_BITS)), lambda e: F.struct(e["item"].alias("item"), e["place"].alias("place"), v.bitwiseAND(F.lit(PLACES)).cast("int").alias("at")))))
-            grams = grams.withColumn(f"_found{b}", found)
-
-            def windows(hit: Column) -> Column:
-                own = F.get(items, hit["item"])["w"]
-                first, last = F.greatest(hit["place"] - (window - 1), F.lit(0)), F.least(hit["place"], F.size(own) - length)
-                fits = F.filter(F.sequence(first, last), lambda s: (s + hit["at"] - hit["place"] >= 0) & (F.slice(w, F.greatest(s + hit["at"] - hit["place"], F.lit(0)) + 1, length) == F.slice(own, s + 1, length)))
-                return F.transform(fits, lambda s: F.struct((s + hit["at"] - hit["place"]).alias("start"), F.lit(length).alias("length"), F.get(items, hit["item"])["item_id"].alias("item_id")))
-
-            parts.append(F.when(F.size(f"_found{b}") > 0, F.flatten(F.transform(f"_found{b}", windows))))
-        if has_short:
-            firsts = index["short"]
-
-            def whole(word: Column, at: Column) -> Column:
-                h = _hash([word])
-                own = lambda e: F.get(items, e["item"])["w"]
-                fits = F.filter(F.get(firsts, (h % F.size(firsts)).cast("int")), lambda e: (e["h"] == h) & (F.slice(w, at + 1, F.size(own(e))) == own(e)))
-                return F.transform(fits, lambda e: F.struct(at.alias("start"), F.size(own(e)).alias("length"), F.get(items, e["item"])["item_id"].alias("item_id")))
-
-            parts.append(F.flatten(F.transform(w, whole)))
     none = F.array().cast("array<struct<start:int,length:int,item_id:string>>")
-    every = reduce(F.concat, [F.coalesce(p, none) for p in parts], none)
-    return grams.withColumn("_hits", F.array_sort(F.array_distinct(every))).select(*docs.columns, "_words", "_hits")
+    tables = [_literal(block, length, gram) for block in _blocks(benchmark, block_words)]
+
+    def long_hits(w: Column, kept: Column, index: Column) -> Column:
+        items, table = index["items"], index["long"]
+
+        def lookup(v: Column) -> Column:
+            h = F.shiftright(v, PLACE_BITS)
+            same = F.filter(F.get(table, (h % F.size(table)).cast("int")), lambda e: e["h"] == h)
+            return F.transform(same, lambda e: F.struct(e["item"].alias("item"), e["place"].alias("place"), v.bitwiseAND(F.lit(PLACES)).cast("int").alias("at")))
+
+        def windows(hit: Column) -> Column:
+            own, shift = F.get(items, hit["item"])["w"], hit["at"] - hit["place"]
+            first, last = F.greatest(hit["place"] - (window - 1), F.lit(0)), F.least(hit["place"], F.size(own) - length)
+            fits = F.filter(F.sequence(first, last), lambda s: (s + shift >= 0) & (F.slice(w, F.greatest(s + shift, F.lit(0)) + 1, length) == F.slice(own, s + 1, length)))
+            return F.transform(fits, lambda s: F.struct((s + shift).alias("start"), F.lit(length).alias("length"), F.get(items, hit["item"])["item_id"].alias("item_id")))
+
+        return let(F.flatten(F.transform(kept, lookup)), lambda found: F.when(F.size(found) > 0, F.flatten(F.transform(found, windows))).otherwise(none))
+
+    def short_hits(w: Column, index: Column) -> Column:
+        items, firsts = index["items"], index["short"]
+        own = lambda e: F.get(items, e["item"])["w"]
+
+        def whole(word: Column, at: Column) -> Column:
+            h = _hash([word])
+            fits = F.filter(F.get(firsts, (h % F.size(firsts)).cast("int")), lambda e: (e["h"] == h) & (F.slice(w, at + 1, F.size(own(e))) == own(e)))
+            return F.transform(fits, lambda e: F.struct(at.alias("start"), F.size(own(e)).alias("length"), F.get(items, e["item"])["item_id"].alias("item_id")))
+
+        return F.flatten(F.transform(w, whole))
+
+    def find(w: Column) -> Column:
+        parts = [short_hits(w, index) for index, _, short in tables if short]
+        if any(has_long for _, has_long, _ in tables):
+            kept = _kept(_grams(w, gram), window)
+            parts.append(let(kept, lambda k: F.concat(none, *(long_hits(w, k, index) for index, has_long, _ in tables if has_long))))
+        return F.array_sort(F.array_distinct(F.concat(none, *parts)))
+
+    return find
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram: int = 5) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside windows that occur), item_ids (sorted) and the windows."""
-    found = hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, length, gram)
+    find = finder(benchmark, length, gram)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(words(F.col("text").cast("string")), lambda w: F.struct(F.size(w).alias("n"), find(w).alias("hits"))).alias("_found"))
+    found = found.select("doc_id", F.col("_found.n").alias("n"), F.col("_found.hits").alias("_hits"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
     def grow(acc: Column, x: Column) -> Column:
@@ -134,10 +144,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram:
 
     covered = F.when(F.size("_hits") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("_hits", start, grow, lambda acc: acc["n"]))
     ids = F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["item_id"])))
-    return found.select("doc_id", F.size("_words").cast("long").alias("n_words"), covered.alias("n_hit"), ids.alias("item_ids"), F.col("_hits").alias("windows"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), ids.alias("item_ids"), F.col("_hits").alias("windows"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram: int = 5) -> DataFrame:
     """The documents without any benchmark window, with the columns they had."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    return hits(rows, benchmark, length, gram).where(F.size("_hits") == 0).select("row.*")
+    find = finder(benchmark, length, gram)
+    return docs.where(let(words(F.col("text").cast("string")), lambda w: F.size(find(w)) == 0))
