@@ -150,7 +150,7 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int =
     tasks = tasks.select("root", "rep", "key", "copies", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     tasks = written(tasks, "tasks")
     bins = max(1, -(-(tasks.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
-    work = tasks.withColumn("bin", F.expr(f"pmod(xxhash64(root, i, j), {bins})")).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    work = tasks.withColumn("bin", F.expr(f"pmod(xxhash64(root, i, j), {bins})")).join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
 
     def verify(part: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
