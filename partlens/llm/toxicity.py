@@ -14,8 +14,6 @@ Results: null and empty texts score like a text without words; without usable la
 only) a category's probability is its share among the labels, 0 without any; repeated rows score alike.
 """
 
-from __future__ import annotations
-
 import math
 import re
 import zlib
@@ -77,11 +75,15 @@ class Rows:
     begin: np.ndarray
 
     @classmethod
-    def of(cls, made: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
-        begin = np.concatenate([[0], np.cumsum([len(i) for i, _ in made])])
-        return cls(np.concatenate([i for i, _ in made]).astype(np.int32), np.concatenate([v for _, v in made]).astype(np.float32), begin)
-
-    def take(self, rows: np.ndarray) -> Rows:
+    def of(cls, index: np.ndarray, value: np.ndarray, lengths: np.ndarray) -> "Rows":
+        """Only features that can get a weight: those in 3 rows or more, and in at most 30 % of them."""
+        often = np.bincount(index, minlength=WIDTH)
+        kept = (((often >= 3) & (often <= 0.3 * len(lengths))) | (np.arange(WIDTH) >= WIDTH - SHARES))[index]
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[kept]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(lengths)))])
+        return cls(index[kept].astype(np.int32), value[kept].astype(np.float32), begin)
+
+    def take(self, rows: np.ndarray) -> "Rows":
         parts = [slice(self.begin[r], self.begin[r + 1]) for r in rows]
         begin = np.concatenate([[0], np.cumsum(self.begin[rows + 1] - self.begin[rows])])
         return Rows(np.concatenate([self.index[p] for p in parts]), np.concatenate([self.value[p] for p in parts]), begin)
@@ -114,26 +116,23 @@ def as_input(p: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q)) / 4
 
 
-def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.25, decay: float = 1e-5) -> Linear:
-    """Logistic regression by Adam over all rows at once; features in under 3 rows or over 30 % of them stay at 0."""
+def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.25, decay: float = 1e-5) -> Linear:
+    """Logistic regression by Adam over all rows at once."""
     n = len(y)
     share = (y.sum() + 0.5) / (n + 1) if n else 0.0
     model = Linear(np.zeros(WIDTH, np.float32), np.zeros(earlier.shape[1]), float(np.log(share / (1 - share))) if n else -30.0)
     if n == 0 or y.min() == y.max():
         return model
-    often = np.bincount(rows.index, minlength=WIDTH)
-    used = ((often >= 3) & (often <= 0.3 * n)) | (np.arange(WIDTH) >= WIDTH - SHARES)
-    place = np.cumsum(used) - 1
-    kept = used[rows.index]
-    index, value = place[rows.index[kept]], rows.value[kept]
-    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(rows.begin))[kept]
+    used = np.bincount(rows.index, minlength=WIDTH) > 0
+    index, value = (np.cumsum(used, dtype=np.int32) - 1)[rows.index], rows.value
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(rows.begin))
     width, chain = int(used.sum()), earlier.shape[1]
     theta = np.concatenate([np.zeros(width), np.zeros(chain), [model.bias]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        z = np.bincount(owner, value * theta[index], n) + earlier @ theta[width : width + chain] + theta[-1]
+        z = np.bincount(owner, value * theta[:width].astype(np.float32)[index], n) + earlier @ theta[width : width + chain] + theta[-1]
         off = (sigmoid(z) - y) / n
-        grad = np.concatenate([np.bincount(index, value * off[owner], width) + decay * theta[:width], earlier.T @ off, [off.sum()]])
+        grad = np.concatenate([np.bincount(index, value * off.astype(np.float32)[owner], width) + decay * theta[:width], earlier.T @ off, [off.sum()]])
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
     model.weights[used], model.chain, model.bias = theta[:width], theta[width : width + chain], float(theta[-1])
@@ -195,12 +194,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = 6_000) -> list[Linear]:
     """The chain, fitted in the driver on the bounded sample."""
-    got = training_rows(docs, labels, categories, sample).toPandas()
-    if not len(got):
+    got = training_rows(docs, labels, categories, sample).toArrow()
+    if not got.num_rows:
         return [Linear(np.zeros(WIDTH, np.float32), np.zeros(i), -30.0) for i in range(len(categories))]
-    got = got.sort_values(["fold", *categories], kind="stable", ignore_index=True)
-    rows = Rows.of(list(zip(got["index"], got["value"], strict=True)))
-    return fit_chain(rows, got[list(categories)].to_numpy(float), (got["fold"] % 2).to_numpy())
+    got = got.sort_by([("fold", "ascending"), *((c, "ascending") for c in categories)])  # tasks end in any order
+    index, value = (got[c].combine_chunks() for c in ("index", "value"))
+    rows = Rows.of(index.flatten().to_numpy(), value.flatten().to_numpy(), index.value_lengths().to_numpy())
+    labelled = np.column_stack([got[c].to_numpy() for c in categories])
+    return fit_chain(rows, labelled, got["fold"].to_numpy() % 2)
 
 
 class Scorer:
@@ -249,7 +250,7 @@ def score(docs: DataFrame, models: list[Linear], categories: dict[str, str] = CA
             yield pd.DataFrame(scorer(batch.tolist()), columns=names)
 
     fields = ", ".join(f"{n} double" for n in names)
-    apply = F.pandas_udf(run, f"struct<{fields}>", F.PandasUDFType.SCALAR_ITER)
+    apply = F.pandas_udf(run, f"struct<{fields}>")
     taken = {c.lower() for c in docs.columns}
     hold = next(n for n in (f"_p{i}" for i in range(1000)) if n not in taken)
     scored = docs.withColumn(hold, apply(F.col("text").cast("string")))
