@@ -6,18 +6,16 @@ those of its pieces one after the other. Pieces repeat, so most are looked up an
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 
-import numpy as np
-
 #: Entries kept in each generation of a worker's cache. This bounds memory only: what is not kept is encoded again.
-CACHE = 250_000
+CACHE = 600_000
 #: A longer piece is encoded but not kept.
 KEEP = 48
-BLANK = re.compile(r"[ \n]+")
-#: Letters whose ids don't depend on case or on a full stop or comma after them.
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,]?)")
+#: Letters, whose ids don't depend on case, and the signs after them, which the vocabulary's split takes apart.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -26,24 +24,23 @@ def byte_letters() -> dict[int, str]:
     return {byte: chr(0x100 + i) for i, byte in enumerate(b for b in range(0x100) if b not in printable)}
 
 
-class Recent(dict):
+class Recent:
     """A dict of two generations: when the younger is full, the older is forgotten."""
 
     def __init__(self):
-        super().__init__()
-        self.older: dict = {}
-
-    def __missing__(self, key):
-        found = self[key] = self.older[key]
-        return found
-
-    def known(self, key) -> bool:
-        return key in self or key in self.older
+        self.now: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def turn(self) -> None:
-        if len(self) > CACHE:
-            self.older = dict(self)
-            self.clear()
+        if len(self.now) > CACHE:
+            self.now, self.older = {}, self.now
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of the keys that neither generation has; what the older has moves to the younger."""
+        new = keys.difference(self.now)
+        again = new.intersection(self.older)
+        self.now.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        return new - again
 
 
 class Encoder:
@@ -54,38 +51,50 @@ class Encoder:
 
         self.tokenizer, self.pieces, self.cores = Tokenizer.from_file(path), Recent(), Recent()
         self.model, self.spelling = self.tokenizer.model, byte_letters()
+        self.ends: dict[str, bytes] = {"": b""}
 
-    def _fresh(self, texts: list[str]) -> dict[str, bytes]:
+    def _whole(self, texts: list[str]) -> dict[str, bytes]:
+        """By the tokenizer as it is."""
         got: dict[str, bytes] = {}
         for at in range(0, len(texts), 4096):
             part = texts[at : at + 4096]
             for text, made in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                got[text] = np.array(made.ids, "<u4").tobytes()
+                got[text] = struct.pack(f"<{len(made.ids)}I", *made.ids)
         return got
 
+    def _letters(self, core: str) -> bytes:
+        """By the vocabulary's model alone: lower-case letters need no splitting or normalising."""
+        spelled = core if core.isascii() else core.encode().decode("latin-1").translate(self.spelling)
+        made = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(made)}I", *made)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text (null: empty) its ids' bytes, without special tokens."""
+        gc.disable()  # no cycles are made here, and looking for them in large dicts takes long
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         self.pieces.turn()
         self.cores.turn()
-        split = [BLANK.split(x) if x else [] for x in texts]
-        new = [x for x in set().union(*split) if not self.pieces.known(x)]
-        parts = {x: (m[1].lower(), m[2]) for x in new if (m := PLAIN.fullmatch(x))}
-        letters = {pair[0] for pair in parts.values()}
-        others = {".", ",", ""} | {x for x in new if x not in parts}
-        fresh = self._fresh([x for x in others if not self.cores.known(x)])
-        for x in letters:
-            if not self.cores.known(x):
-                spelled = x if x.isascii() else x.encode().decode("latin-1").translate(self.spelling)
-                made = [t.id for t in self.model.tokenize(spelled)]
-                fresh[x] = struct.pack(f"<{len(made)}I", *made)
-        core = lambda x: fresh[x] if x in fresh else self.cores[x]
-        got = {x: core(parts[x][0]) + core(parts[x][1]) if x in parts else core(x) for x in new}
-        self.cores.update((k, v) for k, v in fresh.items() if len(k) <= KEEP)
-        self.pieces.update((k, v) for k, v in got.items() if len(k) <= KEEP)
-        kept = self.pieces
-        if all(len(x) <= KEEP for x in got):
-            return [b"".join(map(kept.__getitem__, own)) for own in split]
-        return [b"".join([got[x] if x in got else kept[x] for x in own]) for own in split]
+        split = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
+        new = self.pieces.missing(set().union(*split))
+        parts = {x: m.groups() for x in new if (m := PLAIN.fullmatch(x))}
+        lowered = {x: core.lower() for x, (core, _) in parts.items()}
+        cores, ends, letters = self.cores.now, self.ends, self._letters
+        for core in self.cores.missing(set(lowered.values())):
+            cores[core] = letters(core)
+        ends.update(self._whole([x for x in {end for _, end in parts.values()} if x not in ends]) if len(ends) < CACHE else {})
+        known = self.pieces.now
+        known.update((x, cores[lowered[x]] + ends[end]) for x, (_, end) in parts.items() if end in ends)
+        known.update(self._whole([x for x in new if x not in parts or parts[x][1] not in ends]))
+        made = [b"".join(map(known.__getitem__, own)) for own in split]
+        for kept in (known, cores):
+            for x in [x for x in (new if kept is known else lowered.values()) if len(x) > KEEP]:
+                kept.pop(x, None)
+        return made
 
 
 _ENCODERS: dict[str, Encoder] = {}
