@@ -1,0 +1,48 @@
+"""Store operations as set-based rewrites: upserts, merges, queues."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """Insert-or-replace: the last row of each key in order."""
+    at = Window.partitionBy(*key).orderBy(*(c.desc() for c in order))
+    return rows.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
+
+
+def first(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """First occurrence wins."""
+    at = Window.partitionBy(*key).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
+
+
+def upsert_text(rows: DataFrame, key: list[str], columns: list[str], order: str) -> DataFrame:
+    """Non-empty text overwrites, empty text never does."""
+    kept = [F.coalesce(F.max_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col(order))), F.lit("")).alias(c) for c in columns]
+    return rows.groupBy(*key).agg(*kept)
+
+
+def winners(rows: DataFrame, group: Column, order: list[Column]) -> DataFrame:
+    """In groups of more than one: place 1 wins, the others lose; `winner` is named on every row."""
+    at = Window.partitionBy("_group").orderBy(*order)
+    all_of = Window.partitionBy("_group")
+    out = rows.withColumn("_group", group).withColumn("place", F.row_number().over(at)).withColumn("_n", F.count("*").over(all_of))
+    return out.where("_n > 1").drop("_n")
+
+
+def round_robin(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
+    """turn: the row's place among those of its source; sorting by (turn, source) interleaves the sources."""
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def pop(frontier: DataFrame, domain: str, priority: str, budget: int, tie: str) -> DataFrame:
+    """The highest priorities within each domain's budget."""
+    at = Window.partitionBy(domain).orderBy(F.col(priority).desc(), F.col(tie))
+    return frontier.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= budget).drop("_n")
+
+
+def done(rows: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
+    """Resume: what the log hasn't completed."""
+    return rows.join(log.select(*key).distinct(), key, "left_anti")

@@ -1,10 +1,8 @@
-"""The registered queries: name -> (DataFrame plan, equivalent SQL)."""
+"""All registered queries: name -> (DataFrame plan, equivalent SQL)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import analysis, parts  # noqa: F401  registering
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
