@@ -1,0 +1,123 @@
+"""Statistics, clusters, network formulas, sources and state on small inputs."""
+
+import json
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from partlens.functions import network as net
+from partlens.functions import statistics as stats
+from partlens.operators import clusters
+from partlens.sources import readers, writers
+from partlens.streaming import state
+
+
+def test_beta_quantile():
+    assert abs(stats.beta_quantile(0.95, 1, 10) - (1 - 0.05 ** (1 / 10))) < 1e-9
+    assert abs(stats.beta_cdf(0.3, 2, 5) - 0.579825) < 1e-6
+
+
+def test_hazen_and_tail():
+    assert stats.hazen_quantile(np.array([1.0, 2, 3, 4]), 0.25) == 1.5
+    assert np.isnan(stats.tail_probability(np.ones(10)))
+    m = np.random.default_rng(0).normal(2, 1, 5000)
+    assert 0.005 < stats.tail_probability(m) < 0.06
+
+
+def test_average_linkage():
+    d = np.array([[0, 0.1, 0.9], [0.1, 0, 0.9], [0.9, 0.9, 0]])
+    assert stats.average_linkage(d, 0.6) == [0, 0, 1]
+    assert stats.average_linkage(np.array([[0, 0.6], [0.6, 0]]), 0.6) == [0, 0]
+
+
+def test_greedy_cut_and_modes():
+    assert stats.distinct_modes([{1, 2, 3, 4}, {1, 2, 3}, {8, 9}]) == [{1, 2, 3, 4}, {8, 9}]
+    kept = stats.greedy_cut([{1, 2, 3}, {3, 4}], {1: 5.0, 2: 1.0, 3: 9.0, 4: None})
+    assert len(kept & {1, 2, 3}) >= 2 and kept >= {3, 4}
+
+
+def test_correlation_and_r2():
+    x = np.random.default_rng(1).normal(size=(50, 1))
+    both = np.column_stack([x, 2 * x, -x])
+    assert abs(stats.mean_abs_correlation(both) - 1) < 1e-9 and stats.predict_r2(both, 0) > 0.999
+
+
+def test_cascade_of_lines_adds_loss():
+    f = net.grid(1, 10, 1)
+    a = net.line(f, 0.1 * f, 1e-9)
+    both = net.cascade(a, a)
+    assert np.allclose(20 * np.log10(abs(both[:, 1, 0])), -0.2 * f) and np.allclose(both[:, 0, 1], both[:, 1, 0])
+    j = net.junction(np.full(len(f), 0.2))
+    assert np.allclose(abs(j[:, 0, 0]) ** 2 + abs(j[:, 1, 0]) ** 2, 1)
+
+
+def test_grid_has_exact_ends():
+    g = net.grid(0, 10, 1, 2, 4)
+    assert g.tolist() == [0, 1, 2, 3, 4, 6, 8, 10]
+
+
+def test_l_match_residual():
+    found = net.l_match(50 + 0j, 20 - 30j)
+    assert found and all(r < 1e-9 for *_, r in found)
+
+
+def test_touchstone_round_trip(spark, tmp_path):
+    f = net.grid(1, 3, 1)
+    s = net.line(f, 0.5 * f, 1e-10)
+    (tmp_path / "a.s2p").write_text("! note\n" + net.write_touchstone(f, s) + "1 0.5 0.3 45 0.2\n")
+    samples, noise, z0 = net.read_touchstone((tmp_path / "a.s2p").read_text())
+    assert z0 == 50 and len(noise) == 1 and np.allclose([x[2] for x in samples], s[:, 1, 0])
+    assert readers.touchstone(spark, str(tmp_path / "a.s2p")).count() == 3
+
+
+def test_clusters(spark):
+    rows = [("1", "a", ["x", "y"]), ("1", "b", ["x", "y"]), ("1", "c", ["q"]), ("2", "d", [])]
+    got = {r.test: r.cluster for r in clusters.token_clusters(spark.createDataFrame(rows, "block string, test string, tokens array<string>")).collect()}
+    assert got == {"a": 0, "b": 0, "c": 1, "d": 0}
+
+
+def test_cycle_reports(spark):
+    rows = spark.createDataFrame([("u", "a", 1), ("u", "b", 2), ("u", "a", 3), ("u", "a", 4)], "dut string, test string, seq long")
+    assert [r.report_no for r in clusters.cycle_reports(rows).orderBy("seq").collect()] == [1, 1, 2, 3]
+
+
+def test_measurement_layouts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("dut_name,Part Number,measurement_name,data,units,upper_limit,lower_limit,test_report_id\nd,p,t,1.5,V,2,Inf,r\n ,p,t,1,V,2,0,r\nd,p,t,bad,V,2,0,r\n")
+    got = readers.measurements(spark, str(tmp_path / "a.csv")).collect()
+    assert [(r.data, r.lower) for r in got] == [(1.5, None), (None, 0.0)]
+    (tmp_path / "b.csv").write_text("Test Result Name,Legacy ID,Data,DUT Name,Units,Upper Limit,Lower Limit,Result Stop Date/Time\nt,p,1,d,V,2,0,2020-01-02 03:04:05\n")
+    assert readers.measurements(spark, str(tmp_path / "b.csv")).first().ts.hour == 3
+
+
+def test_catalogue_and_tables(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"parts": [{"part_number": "A1"}, {"part_number": None}]}))
+    assert [r.pn for r in readers.catalogue(spark, str(tmp_path / "c.json")).collect()] == ["A1"]
+    page = spark.createDataFrame([(1, "<table><tr><th>A</th></tr><tr><td><b>1</b> x</td></tr></table><table><tr><td>z</td></tr></table>")], "id long, html string")
+    assert [(r.row_ix, r.text) for r in readers.html_tables(page, "id").orderBy("row_ix").collect()] == [(0, "A"), (1, "1 x")]
+
+
+def test_file_kinds(spark):
+    rows = spark.createDataFrame([(bytearray(b"%PDF-1.4"),), (bytearray(b"<!DOCTYPE html>"),), (bytearray(b"PK\x03\x04"),), (bytearray(b"plain"),), (bytearray("�".encode() * 50),)], "content binary")
+    assert [r[0] for r in rows.select(readers.file_kind(F.col("content"))).collect()] == ["pdf", "html", "zip", "text", "corrupt"]
+
+
+def test_markdown(spark):
+    rows = spark.createDataFrame([(1, "A", 94, 3, 0)], "part_id long, tier string, fit int, met int, unknown int")
+    assert "## A" in writers.markdown(rows) and "## B" not in writers.markdown(rows)
+
+
+def test_frontier_push(spark):
+    old = spark.createDataFrame([("a", 5, "pending", 1), ("b", 5, "done", 2)], "url string, priority int, status string, seq long")
+    new = spark.createDataFrame([("a", 9, 3), ("b", 9, 4), ("c", 1, 5)], "url string, priority int, seq long")
+    assert sorted(tuple(r)[:3] for r in state.push(old, new).collect()) == [("a", 9, "pending"), ("b", 5, "done"), ("c", 1, "pending")]
+    assert sorted(tuple(r)[:3] for r in state.push(old, new, requeue=True).collect())[1] == ("b", 9, "pending")
+
+
+def test_stream_replay_equals_batch(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.to_timestamp("ts"))
+    events.write.parquet(str(tmp_path / "in"))
+    stream = state.windows(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), late="3650 days")
+    run = stream.writeStream.outputMode("complete").format("memory").queryName("replayed").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    key = lambda rows: sorted((str(r.start), r.event_type, r.n) for r in rows)
+    assert key(spark.table("replayed").collect()) == key(state.windows(events).collect())
