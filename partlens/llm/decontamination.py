@@ -122,6 +122,9 @@ def finder(benchmark: DataFrame, length: int = 10, gram: int = 5, block_words: i
         return F.flatten(F.transform(w, whole))
 
     def find(w: Column) -> Column:
+        return let(w, bound)
+
+    def bound(w: Column) -> Column:
         parts = [short_hits(w, index) for index, _, short in tables if short]
         if any(has_long for _, has_long, _ in tables):
             kept = _kept(_grams(w, gram), window)
