@@ -63,13 +63,16 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             out = []
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 own = shingle_set(text, size)
-                if doc is None or doc != doc or not len(own):
-                    out.append((doc if doc == doc else None, None, 0, None))
+                doc = None if doc is None else int(doc)
+                if doc is None or not len(own):
+                    out.append((doc, None, 0, None))
                 else:
-                    out.append((int(doc), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(text), band_hashes(own, bands, rows, times, plus)))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "size", "bands"]).astype({"doc_id": "Int64"})
+                    out.append((doc, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(text), band_hashes(own, bands, rows, times, plus)))
+            frame = pd.DataFrame([x[1:] for x in out], columns=["key", "size", "bands"])
+            frame.insert(0, "doc_id", pd.array([x[0] for x in out], dtype="Int64"))
+            yield frame
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, key binary, size long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, key binary, size long, bands array<long>")
 
 
 def _dense(index: np.ndarray, owner: np.ndarray, rows: int, lo: int, width: int) -> np.ndarray:

@@ -92,7 +92,7 @@ def sequences(docs: DataFrame, layout: Layout, domain: int, key: int, end_id: in
                 records = []
                 for doc, ids in zip(names[lo:hi], encoder(path).encode(texts[lo:hi]), strict=True):
                     ids, at = ids + end, 0
-                    doc = -1 if doc is None or doc != doc else int(doc)
+                    doc = -1 if doc is None else int(doc)
                     while at < len(ids):
                         if room == size:
                             first = (doc, at // 4)
@@ -108,7 +108,7 @@ def sequences(docs: DataFrame, layout: Layout, domain: int, key: int, end_id: in
         if held:
             yield frame([record()], made)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "position long, record binary")
+    return docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(run, "position long, record binary")
 
 
 def write_shards(docs: DataFrame, path: str, layout: Layout = Layout(), key: int = 1, shards: int | None = None, vocab: str | None = None) -> None:

@@ -86,14 +86,18 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, piece: int = 10
             waiting, filled = [], 0
             return rows
 
-        frame = lambda rows: pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "input_ids"])
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame([r[1:] for r in rows], columns=["start", "length", "doc_tokens", "sequence_id", "offset", "input_ids"])
+            out.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype="Int64"))
+            return out
+
         for batch in batches:
             ids_of, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             for lo, hi in chunks(texts, 3_000_000):
                 rows = []
                 for doc, ids in zip(ids_of[lo:hi], encoder(path).encode(texts[lo:hi]), strict=True):
                     ids += end
-                    doc = None if doc is None or doc != doc else int(doc)
+                    doc = None if doc is None else int(doc)
                     total = len(ids) // 4
                     whole = total - total % capacity
                     for start in range(0, whole, capacity):
@@ -111,4 +115,4 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, piece: int = 10
             yield frame(settle())
 
     schema = T.StructType.fromDDL(SCHEMA)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(run, schema)

@@ -338,3 +338,13 @@ def test_pipeline_keeps_columns(spark, small):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert docs.count() >= 0.8 * count
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).select("doc_id").distinct().count() == docs.count()
+
+
+def test_null_and_large_ids(spark):
+    big = 2**60 + 1
+    rows = spark.createDataFrame([(None, "a b c d e f"), (big, "a b c d e f"), (big + 1, "a b c d e f"), (None, None)], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in neardup.classes(rows).collect()) == [(0, 0, 0), (0, 0, 0), (big, big, 1), (big + 1, big, 1)]
+    assert sorted(r.doc_id or 0 for r in packing.pack(rows).collect()) == [0, 0, big, big + 1]
+    assert neardup.keep_one(rows).count() == 3 and pii.find(rows).count() == 4 and pii.mask(rows).count() == 4
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.reject(rows, none).count() == 4 and licenses.detect(rows).count() == 4
