@@ -2,10 +2,13 @@
 
 The page is read once into text nodes, each under its path of open tags from the root. For every path the nodes'
 text length and punctuation are summed and divided by the number of nodes. The two ratios are smoothed over
-neighbouring paths in page order, fused by multiplication and compared with a share of the page's average.
-Where the page says what a part is, that weighs in: paths through menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments weigh nothing, paths inside the main article weigh most. Paths above the
-threshold are content; all their text is kept, whole and in page order.
+neighbouring paths of the same part in page order, fused by multiplication and compared with a share of the page's
+average. Where the page says what a part is, that weighs in by finite factors: a path inside an article is scored by
+its article's ratio and to an eighth (geometrically) by its own, times ARTICLE; a path below a class or id that names a menu, header, sidebar, notice, advert or reader comments is scored times NAMED for each such name, and a name inside an article
+takes the article's mark away. A name on an element with more than half of the page's text and all of its
+articles says nothing. Only elements that can't be content (menus, asides, footers, forms, what is hidden) weigh
+nothing. Paths above the threshold are content; all their text is kept, whole and in page order, with the inline
+text of the same block and part.
 
 A block is the text between two starts or ends of block-level tags; a line break is white space. Unclosed
 paragraphs, items and cells end where the next one begins. Null and empty pages, and pages without content
@@ -47,7 +50,9 @@ ENDS = {
 #: Elements that are no content wherever they stand.
 ASIDE = frozenset("nav aside footer form button menu dialog search head".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Parts of class names and ids that mark what isn't content, and the article itself.
+#: What the marks of an article and of an aside name multiply a path's fused ratio by.
+ARTICLE, NAMED = 8.0, 0.05
+#: Parts of class names and ids that mark what is seldom content, and the article itself.
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer"
     " gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related"
@@ -66,6 +71,9 @@ class Element:
     aside: bool
     article: int
     header: bool
+    #: Numbers of the aside names at or above the article (or without one), and of those inside it.
+    above: tuple = ()
+    below: tuple = ()
 
 
 @dataclass
@@ -77,11 +85,13 @@ class Node:
     article: int
     block: int
     parts: list[str] = field(default_factory=list)
+    above: tuple = ()
+    below: tuple = ()
 
 
-def _said(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is no content, and whether it is the article, by its tag and attributes."""
-    aside, article = tag in ASIDE, tag in ("article", "main")
+def _said(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is no content, whether it is the article, and whether it has an aside name, by its tag and attributes."""
+    aside, article, named = tag in ASIDE, tag in ("article", "main"), False
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
@@ -94,24 +104,24 @@ def _said(tag: str, attributes: str) -> tuple[bool, bool]:
                 article |= value.lower() == "articlebody"
             elif name in ("class", "id"):
                 for part in value.split():
-                    aside |= tag not in ("html", "body") and not ASIDE_NAMES.isdisjoint(x.lower() for x in NAME.findall(part))
+                    named |= tag not in ("html", "body") and not ASIDE_NAMES.isdisjoint(x.lower() for x in NAME.findall(part))
                     article |= re.sub(r"[^a-z]", "", part.lower()) in ARTICLE_NAMES
-    return aside, article
+    return aside, article, named
 
 
 def nodes(page: str) -> list[Node]:
     """The page's text nodes in order."""
     stack = [Element("", (), False, -1, False)]
     found: list[Node] = []
-    at, block, articles, raw = 0, 0, 0, ""
+    at, block, articles, names, raw = 0, 0, 0, 0, ""
 
     def text(upto: int) -> None:
         if upto > at and not raw:
             top, part = stack[-1], page[at:upto]
-            if found and found[-1].block == block and found[-1].path == top.path:
+            if found and found[-1].block == block and (found[-1].path, found[-1].aside, found[-1].above, found[-1].below) == (top.path, top.aside, top.above, top.below):
                 found[-1].parts.append(part)
             else:
-                found.append(Node(top.path, top.aside, top.article, block, [part]))
+                found.append(Node(top.path, top.aside, top.article, block, [part], top.above, top.below))
 
     for m in TAG.finditer(page):
         tag = (m[2] or "").lower()
@@ -160,7 +170,8 @@ def nodes(page: str) -> list[Node]:
         if tag in VOID or m[3].endswith("/"):
             continue
         top = stack[-1]
-        aside, article = _said(tag, m[3])
+        aside, article, named = _said(tag, m[3])
+        aside, named = aside or named, False
         if tag == "header":
             aside |= top.article < 0
         if article and top.article < 0 and not (aside or top.aside):
@@ -170,7 +181,13 @@ def nodes(page: str) -> list[Node]:
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         in_header = tag == "header" or top.header
         out = (top.aside or aside) and not (heading and top.header and top.article >= 0 and not aside)
-        stack.append(Element(tag, (*top.path, tag), out, number, in_header))
+        above, below = top.above, top.below
+        if named:
+            above, below = (above, (*below, names)) if top.article >= 0 else ((*above, names), below)
+            names += 1
+        elif heading and top.header and top.article >= 0:
+            below = ()  # the article's own heading
+        stack.append(Element(tag, (*top.path, tag), out, number, in_header, above, below))
     text(len(page))
     return found
 
@@ -185,32 +202,63 @@ def smooth(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
-def content_paths(found: list[tuple[Node, str]], share: float = 0.1) -> set[tuple]:
-    """The keys (path, article) whose smoothed and fused ratios are above the threshold."""
-    sums: dict[tuple, list[float]] = {}
+def _keys(found: list[tuple[Node, str]]) -> list[tuple]:
+    """Each node's key: path, article, aside, and how many aside names count at or above its article and inside it."""
+    held: dict[int, int] = {}
+    inside: dict[int, set[int]] = {}
+    total, articles = 0, set()
     for node, text in found:
-        own = sums.setdefault((node.path, node.article, node.aside), [0, 0, 0])
+        if node.aside:
+            continue
+        total += len(text)
+        if node.article >= 0:
+            articles.add(node.article)
+        for name in (*node.above, *node.below):
+            held[name] = held.get(name, 0) + len(text)
+            inside.setdefault(name, set()).add(node.article)
+    wrappers = {n for n, size in held.items() if 2 * size > total and articles <= inside[n]}
+    return [(n.path, n.article, n.aside, sum(x not in wrappers for x in n.above), sum(x not in wrappers for x in n.below)) for n, _ in found]
+
+
+def _smoothed(keys: list[tuple], values: list[float]) -> list[float]:
+    """The values smoothed within each part of the page."""
+    parts: dict[tuple, list[int]] = {}
+    for i, k in enumerate(keys):
+        parts.setdefault(k[1:], []).append(i)
+    out = [0.0] * len(keys)
+    for own in parts.values():
+        for i, v in zip(own, smooth([values[i] for i in own]), strict=True):
+            out[i] = v
+    return out
+
+
+def content_paths(found: list[tuple[Node, str]], share: float = 0.1) -> tuple[list[tuple], set[tuple]]:
+    """The nodes' keys, and those whose smoothed, fused and weighted ratios are above the threshold."""
+    of, sums = _keys(found), {}
+    for k, (_, text) in zip(of, found, strict=True):
+        own = sums.setdefault(k, [0, 0, 0])
         own[0] += 1
         own[1] += len(text)
         own[2] += len(PUNCTUATION.findall(text))
-    lengths: dict[int, float] = {}
-    for (_, article, aside), (_, size, _) in sums.items():
-        if article >= 0 and not aside:
-            lengths[article] = lengths.get(article, 0) + size
-    longest = max(lengths.values(), default=0)
-    main = {a for a, size in lengths.items() if size >= longest / 4}
-    keys = list(sums)
-    by_length = smooth([sums[k][1] / sums[k][0] for k in keys])
-    by_signs = smooth([(sums[k][2] + 1) / sums[k][0] for k in keys])
-    weight = [0.0 if k[2] else 1.0 if not main else 1e6 if k[1] in main else 0.0 for k in keys]
-    fused = [a * b * w for a, b, w in zip(by_length, by_signs, weight, strict=True)]
-    size = sum(sums[k][1] for k, w in zip(keys, weight, strict=True) if w)
-    mean = sum(f * sums[k][1] for k, f in zip(keys, fused, strict=True)) / size if size else 0.0
-    chosen = set()
-    for k, f, w in zip(keys, fused, weight, strict=True):
-        if w >= 1e6 or w and f >= share * mean:
-            chosen.add(k)
-    return chosen
+    keys = [k for k in sums if not k[2]]
+    by_length = _smoothed(keys, [sums[k][1] / sums[k][0] for k in keys])
+    by_signs = _smoothed(keys, [(sums[k][2] + 1) / sums[k][0] for k in keys])
+    fused = {k: a * b for k, a, b in zip(keys, by_length, by_signs, strict=True)}
+    marked = lambda k: k[1] >= 0 and not k[4]
+    articles: dict[int, list] = {}
+    for k in keys:
+        if marked(k):
+            own = articles.setdefault(k[1], [0, 0.0])
+            own[0] += sums[k][1]
+            own[1] += fused[k] * sums[k][1]
+    scores = {}
+    for k in keys:
+        score = ARTICLE * fused[k] ** 0.125 * (articles[k[1]][1] / articles[k[1]][0]) ** 0.875 if marked(k) else fused[k]
+        scores[k] = score * NAMED ** (k[3] + k[4])
+    sizes = {k: sums[k][1] * NAMED ** (k[3] + k[4]) for k in keys}  # named text sets the average as little
+    mean = sum(scores[k] * sizes[k] for k in keys) / sum(sizes.values()) if keys else 0.0
+    chosen = {k for k in keys if scores[k] >= share * mean}
+    return of, chosen
 
 
 def main_text(page: str | None) -> str:
@@ -218,10 +266,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = [(n, t) for n in nodes(page) if not (t := entities.unescape("".join(n.parts))).isspace() and t]
-    chosen = content_paths(found)
+    of, chosen = content_paths(found)
+    held = {(node.block, *k[1:]) for k, (node, _) in zip(of, found, strict=True) if k in chosen}
     blocks: dict[int, list[str]] = {}
-    for node, text in found:
-        if (node.path, node.article, node.aside) in chosen:
+    for k, (node, text) in zip(of, found, strict=True):
+        if (node.block, *k[1:]) in held:
             blocks.setdefault(node.block, []).append(text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(x for x in joined if x)

@@ -276,6 +276,16 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+BODY = "A long paragraph of the body, with signs, and more of them than a teaser has; so it goes on, and on. " * 3
+
+
+def test_an_article_does_not_silence_the_rest():
+    body = BODY.strip()
+    for page, times in [(f"<div><p>{BODY}</p><p>{BODY}</p></div><article class='card'>Short teaser</article>", 2), (f"<article>{f'<p>{BODY}</p>' * 5}</article><article><p>{BODY}</p></article><article>x</article>", 6)]:
+        assert html.main_text(page) == "\n\n".join([body] * times)
+    assert html.main_text(f"<article><h1>H</h1><p>{BODY}</p><table><tr><td>7</td></tr></table></article><div>me</div>") == f"H\n\n{body}\n\n7"
+
+
 def test_extraction_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
