@@ -171,7 +171,6 @@ def nodes(page: str) -> list[Node]:
             continue
         top = stack[-1]
         aside, article, named = _said(tag, m[3])
-        aside, named = aside or named, False
         if tag == "header":
             aside |= top.article < 0
         if article and top.article < 0 and not (aside or top.aside):

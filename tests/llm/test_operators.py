@@ -286,6 +286,13 @@ def test_an_article_does_not_silence_the_rest():
     assert html.main_text(f"<article><h1>H</h1><p>{BODY}</p><table><tr><td>7</td></tr></table></article><div>me</div>") == f"H\n\n{body}\n\n7"
 
 
+@pytest.mark.parametrize("tag", ['div class="wrapper has-sidebar"', 'main class="no-sidebar"', 'div id="page" class="header-fixed"', 'article class="post no-comments"'])
+def test_a_name_does_not_veto_the_page(tag):
+    inner = f"<div class='sidebar'><p>Latest, of all.</p></div><p>{BODY}</p><p>See <a href='/x'>here</a>, too.</p><div id='comments'><p>Nice.</p></div>"
+    assert html.main_text(f"<{tag}>{inner}</{tag.split()[0]}><footer>f</footer>") == f"{BODY.strip()}\n\nSee here, too."
+    assert html.main_text(f"<{tag}><article>{inner}</article></{tag.split()[0]}>") == f"{BODY.strip()}\n\nSee here, too."
+
+
 def test_extraction_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
