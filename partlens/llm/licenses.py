@@ -1,7 +1,8 @@
 """License detection by ordered signature rules, in DataFrame functions alone.
 
-A text is scanned once for the rules' keywords; only texts that hold one go on. Their lower-cased words, joined by
-one blank, are what the rules' regular expressions see, and of these only those whose own keyword occurs are run.
+A text is scanned once for the gate: word runs one of which every rule and phrase needs. Only texts that hold one go on.
+Their lower-cased words, joined by one blank, are what the rules' regular expressions see, and of these only those
+one of whose own keywords occurs are run. Gate and keywords are derived from the expressions (`needed`).
 A detection is an interval of words with a priority. Detections are ordered by start (longer first); one that lies
 inside an earlier one of the same or a higher priority is suppressed, others stay.
 
@@ -14,6 +15,8 @@ The score is the greatest confidence of the kept detections.
 from __future__ import annotations
 
 import json
+from itertools import product
+from re import _parser as syntax
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,66 +26,66 @@ from .common import GAP, WORD, let, words
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Families: label, keyword that must occur, the name as it reads in lower-cased words.
+#: Families: label, the name as it reads in lower-cased words.
 FAMILIES = """
-mit | mit | (?:the )?mit(?: x11)?
-apache-2 | apache | (?:the )?apache(?: software)?(?: licen[sc]e)?(?: version)? v?2(?: 0)?
-apache-1 | apache | (?:the )?apache(?: software)?(?: licen[sc]e)?(?: version)? v?1(?: [01])?
-gpl-2 | g | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? ?v?2(?: 0)?
-gpl-3 | g | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? ?v?3(?: 0)?
-gpl | g | (?:the )?gnu (?:general public licen[sc]e|gpl)
-lgpl-2.1 | l | (?:the )?(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl)(?: version)? ?v?2(?: [01])?
-lgpl-3 | l | (?:the )?(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version)? ?v?3(?: 0)?
-agpl-3 | a | (?:the )?(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version)? ?v?3(?: 0)?
-gfdl | free documentation | (?:the )?gnu free documentation licen[sc]e
-bsd-2-clause | bsd | (?:the )?(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)
-bsd-3-clause | bsd | (?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)
-bsd-4-clause | bsd | (?:the )?(?:original bsd|bsd 4 clause|4 clause bsd)
-bsd | bsd | (?:the )?bsd(?: style)?
-isc | isc | (?:the )?isc
-zlib | zlib | (?:the )?zlib(?: libpng)?
-boost-1 | boost | (?:the )?boost software(?: licen[sc]e)?(?: version)?(?: 1(?: 0)?)?
-unlicense | unlicense | (?:the )?unlicense
-wtfpl | wtfpl | (?:the )?wtfpl
-mpl-1.1 | m | (?:the )?(?:mozilla public licen[sc]e|mpl)(?: version)? ?v?1 1
-mpl-2 | m | (?:the )?(?:mozilla public licen[sc]e|mpl)(?: version)? ?v?2(?: 0)?
-epl-1 | e | (?:the )?(?:eclipse public licen[sc]e|epl)(?: version)? ?v?1(?: 0)?
-epl-2 | e | (?:the )?(?:eclipse public licen[sc]e|epl)(?: version)? ?v?2(?: 0)?
-cddl-1 | c | (?:the )?(?:common development and distribution licen[sc]e|cddl)(?: version)?(?: 1(?: [01])?)?
-cpl-1 | common public | (?:the )?common public licen[sc]e(?: version)?(?: 1(?: 0)?)?
-artistic-1 | artistic | (?:the )?artistic licen[sc]e(?: version)? 1(?: 0)?
-artistic-2 | artistic | (?:the )?artistic licen[sc]e(?: version)? 2(?: 0)?
-eupl | e | (?:the )?(?:european union public licen[sc]e|eupl)(?: version)?(?: 1(?: [012])?)?
-osl-3 | open software | (?:the )?open software licen[sc]e(?: version)?(?: 3(?: 0)?)?
-afl-3 | academic free | (?:the )?academic free licen[sc]e(?: version)?(?: 3(?: 0)?)?
-ms-pl | microsoft public | (?:the )?microsoft public
-ms-rl | microsoft reciprocal | (?:the )?microsoft reciprocal
-ofl-1.1 | open font | (?:the )?(?:sil )?open font licen[sc]e(?: version)?(?: 1(?: 1)?)?
-psf | python software foundation | (?:the )?python software foundation
-php-3 | php | (?:the )?php licen[sc]e(?: version)?(?: 3(?: 0 ?1?)?)?
-w3c | w3c | (?:the )?w3c software
-x11 | x11 | (?:the )?x11
-ncsa | ncsa | (?:the )?(?:university of illinois )?ncsa(?: open source)?
-postgresql | postgresql | (?:the )?postgresql
-openssl | openssl | (?:the )?openssl
-vim | vim | (?:the )?vim
-curl | curl | (?:the )?curl
-cecill | cecill | (?:the )?cecill(?: [abc])?(?: version)?(?: 2(?: [01])?)?
-mulan-2 | mulan | (?:the )?mulan(?: psl| permissive software licen[sc]e)(?: version)? ?v?2
-upl-1 | universal permissive | (?:the )?universal permissive licen[sc]e(?: version)?(?: 1(?: 0)?)?
-bsl-1.1 | business source | (?:the )?business source licen[sc]e(?: version)?(?: 1(?: 1)?)?
-sspl-1 | s | (?:the )?(?:server side public licen[sc]e|sspl)(?: version)? ?v?1?
-elastic-2 | elastic | (?:the )?elastic licen[sc]e(?: version)?(?: 2(?: 0)?)?
-odbl-1 | o | (?:the )?(?:open database licen[sc]e|odbl)(?: version)?(?: 1(?: 0)?)?
-odc-by-1 | open data commons | (?:the )?open data commons attribution
-pddl-1 | public domain dedication | (?:the )?(?:open data commons )?public domain dedication
-cc0 | c | (?:the )?(?:creative commons zero|cc0|cc zero)(?: 1(?: 0)?)?
-cc-by | c | (?:the )?(?:creative commons attribution|cc by)(?: [1-4](?: [05])?)?(?= )(?! (?:nc|nd|sa|non|no|share))
-cc-by-sa | c | (?:the )?(?:creative commons attribution share ?alike|cc by sa)(?: [1-4](?: [05])?)?
-cc-by-nd | c | (?:the )?(?:creative commons attribution no ?deriv[a-z]*|cc by nd)(?: [1-4](?: [05])?)?
-cc-by-nc | c | (?:the )?(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4](?: [05])?)?(?= )(?! (?:nd|sa|no|share))
-cc-by-nc-sa | c | (?:the )?(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: [1-4](?: [05])?)?
-cc-by-nc-nd | c | (?:the )?(?:creative commons attribution non ?commercial no ?deriv[a-z]*|cc by nc nd)(?: [1-4](?: [05])?)?
+mit | (?:the )?mit(?: x11)?
+apache-2 | (?:the )?apache(?: software)?(?: licen[sc]e)?(?: version)? v?2(?: 0)?
+apache-1 | (?:the )?apache(?: software)?(?: licen[sc]e)?(?: version)? v?1(?: [01])?
+gpl-2 | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? ?v?2(?: 0)?
+gpl-3 | (?:the )?(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? ?v?3(?: 0)?
+gpl | (?:the )?gnu (?:general public licen[sc]e|gpl)
+lgpl-2.1 | (?:the )?(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl)(?: version)? ?v?2(?: [01])?
+lgpl-3 | (?:the )?(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version)? ?v?3(?: 0)?
+agpl-3 | (?:the )?(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version)? ?v?3(?: 0)?
+gfdl | (?:the )?gnu free documentation licen[sc]e
+bsd-2-clause | (?:the )?(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)
+bsd-3-clause | (?:the )?(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)
+bsd-4-clause | (?:the )?(?:original bsd|bsd 4 clause|4 clause bsd)
+bsd | (?:the )?bsd(?: style)?
+isc | (?:the )?isc
+zlib | (?:the )?zlib(?: libpng)?
+boost-1 | (?:the )?boost software(?: licen[sc]e)?(?: version)?(?: 1(?: 0)?)?
+unlicense | (?:the )?unlicense
+wtfpl | (?:the )?wtfpl
+mpl-1.1 | (?:the )?(?:mozilla public licen[sc]e|mpl)(?: version)? ?v?1 1
+mpl-2 | (?:the )?(?:mozilla public licen[sc]e|mpl)(?: version)? ?v?2(?: 0)?
+epl-1 | (?:the )?(?:eclipse public licen[sc]e|epl)(?: version)? ?v?1(?: 0)?
+epl-2 | (?:the )?(?:eclipse public licen[sc]e|epl)(?: version)? ?v?2(?: 0)?
+cddl-1 | (?:the )?(?:common development and distribution licen[sc]e|cddl)(?: version)?(?: 1(?: [01])?)?
+cpl-1 | (?:the )?common public licen[sc]e(?: version)?(?: 1(?: 0)?)?
+artistic-1 | (?:the )?artistic licen[sc]e(?: version)? 1(?: 0)?
+artistic-2 | (?:the )?artistic licen[sc]e(?: version)? 2(?: 0)?
+eupl | (?:the )?(?:european union public licen[sc]e|eupl)(?: version)?(?: 1(?: [012])?)?
+osl-3 | (?:the )?open software licen[sc]e(?: version)?(?: 3(?: 0)?)?
+afl-3 | (?:the )?academic free licen[sc]e(?: version)?(?: 3(?: 0)?)?
+ms-pl | (?:the )?microsoft public
+ms-rl | (?:the )?microsoft reciprocal
+ofl-1.1 | (?:the )?(?:sil )?open font licen[sc]e(?: version)?(?: 1(?: 1)?)?
+psf | (?:the )?python software foundation
+php-3 | (?:the )?php licen[sc]e(?: version)?(?: 3(?: 0 ?1?)?)?
+w3c | (?:the )?w3c software
+x11 | (?:the )?x11
+ncsa | (?:the )?(?:university of illinois )?ncsa(?: open source)?
+postgresql | (?:the )?postgresql
+openssl | (?:the )?openssl
+vim | (?:the )?vim
+curl | (?:the )?curl
+cecill | (?:the )?cecill(?: [abc])?(?: version)?(?: 2(?: [01])?)?
+mulan-2 | (?:the )?mulan(?: psl| permissive software licen[sc]e)(?: version)? ?v?2
+upl-1 | (?:the )?universal permissive licen[sc]e(?: version)?(?: 1(?: 0)?)?
+bsl-1.1 | (?:the )?business source licen[sc]e(?: version)?(?: 1(?: 1)?)?
+sspl-1 | (?:the )?(?:server side public licen[sc]e|sspl)(?: version)? ?v?1?
+elastic-2 | (?:the )?elastic licen[sc]e(?: version)?(?: 2(?: 0)?)?
+odbl-1 | (?:the )?(?:open database licen[sc]e|odbl)(?: version)?(?: 1(?: 0)?)?
+odc-by-1 | (?:the )?open data commons attribution
+pddl-1 | (?:the )?(?:open data commons )?public domain dedication
+cc0 | (?:the )?(?:creative commons zero|cc0|cc zero)(?: 1(?: 0)?)?
+cc-by | (?:the )?(?:creative commons attribution|cc by)(?: [1-4](?: [05])?)?(?= )(?! (?:nc|nd|sa|non|no|share))
+cc-by-sa | (?:the )?(?:creative commons attribution share ?alike|cc by sa)(?: [1-4](?: [05])?)?
+cc-by-nd | (?:the )?(?:creative commons attribution no ?deriv[a-z]*|cc by nd)(?: [1-4](?: [05])?)?
+cc-by-nc | (?:the )?(?:creative commons attribution non ?commercial|cc by nc)(?: [1-4](?: [05])?)?(?= )(?! (?:nd|sa|no|share))
+cc-by-nc-sa | (?:the )?(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)(?: [1-4](?: [05])?)?
+cc-by-nc-nd | (?:the )?(?:creative commons attribution non ?commercial no ?deriv[a-z]*|cc by nc nd)(?: [1-4](?: [05])?)?
 """
 #: Forms a family's name stands in: priority (1 is highest), confidence, expression with {} for the name.
 FORMS = [
@@ -92,47 +95,104 @@ FORMS = [
     (2, 0.8, "under (?:the )?(?:terms of )?(?:the )?{} licen[sc]e"),
     (3, 0.5, "{} licen[sc]e"),
 ]
-#: Further signatures: label, priority, confidence, keyword, expression.
+#: Further signatures: label, priority, confidence, expression.
 OTHERS = """
-mit | 1 | 0.9 | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy
-isc | 1 | 0.9 | permission to use | permission to use copy modify and or distribute this software for any purpose
-bsd | 1 | 0.9 | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
-gpl-3 | 2 | 0.8 | gnu general public license version 3 | gnu general public license version 3
-gpl-2 | 2 | 0.8 | gnu general public license version 2 | gnu general public license version 2
-gpl | 2 | 0.7 | either version | free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e
-apache-2 | 2 | 0.8 | apache license version 2 | apache license version 2(?: 0)?
-cc-by-nc | 2 | 0.8 | cc by nc | cc by nc(?: [1-4](?: 0)?)?(?= )(?! (?:nd|sa))
-cc-by-nc-sa | 2 | 0.8 | cc by nc sa | cc by nc sa(?: [1-4](?: 0)?)?
-cc-by-nc-nd | 2 | 0.8 | cc by nc nd | cc by nc nd(?: [1-4](?: 0)?)?
-cc-by-sa | 2 | 0.8 | cc by sa | cc by sa(?: [1-4](?: 0)?)?
-unlicense | 2 | 0.8 | unencumbered | this is free and unencumbered software released into the public domain
-public-domain | 2 | 0.6 | public domain | (?:released|dedicated|placed) (?:in|into|to) the public domain
-proprietary | 3 | 0.5 | all rights reserved | all rights reserved
-unknown-free | 3 | 0.3 | open source license | (?:an|the) open source licen[sc]e
+mit | 1 | 0.9 | permission is hereby granted free of charge to any person obtaining a copy
+isc | 1 | 0.9 | permission to use copy modify and or distribute this software for any purpose
+bsd | 1 | 0.9 | redistribution and use in source and binary forms with or without modification are permitted
+gpl-3 | 2 | 0.8 | gnu general public license version 3
+gpl-2 | 2 | 0.8 | gnu general public license version 2
+gpl | 2 | 0.7 | free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e
+apache-2 | 2 | 0.8 | apache license version 2(?: 0)?
+cc-by-nc | 2 | 0.8 | cc by nc(?: [1-4](?: 0)?)?(?= )(?! (?:nd|sa))
+cc-by-nc-sa | 2 | 0.8 | cc by nc sa(?: [1-4](?: 0)?)?
+cc-by-nc-nd | 2 | 0.8 | cc by nc nd(?: [1-4](?: 0)?)?
+cc-by-sa | 2 | 0.8 | cc by sa(?: [1-4](?: 0)?)?
+unlicense | 2 | 0.8 | this is free and unencumbered software released into the public domain
+public-domain | 2 | 0.6 | (?:released|dedicated|placed) (?:in|into|to) the public domain
+proprietary | 3 | 0.5 | all rights reserved
+unknown-free | 3 | 0.3 | (?:an|the) open source licen[sc]e
 """
-#: What a text must hold to be looked at: every rule and phrase needs one of these.
-GATE = (
-    rf"(?i)licen[sc]e|permission{GAP}+(?:is{GAP}+hereby|to{GAP}+use)|redistribution{GAP}+and|public{GAP}+domain|rights{GAP}+reserved|creative{GAP}+commons"
-    rf"|cc{GAP}*(?:by|0|zero)(?![a-z])|unencumbered|(?:under|by|to|with|of){GAP}+(?:the{GAP}+)?(?:terms{GAP}+of{GAP}+)?(?:the{GAP}+)?"
-    r"(?:mit|apache|gnu|[al]?gpl|bsd|isc|zlib|mozilla|mpl|eclipse|epl|cddl|wtfpl|eupl|sil|python|w3c|x11|ncsa|postgresql|openssl|vim|curl|cecill|mulan|microsoft|sspl|odbl|open|boost|freebsd|university|simplified|new|modified|revised|original|[234])(?![a-z])"
-)
-RULE = "array<struct<label:string,priority:int,confidence:double,keyword:string,pattern:string>>"
+RULE = "array<struct<label:string,priority:int,confidence:double,keywords:array<string>,pattern:string>>"
 SPANS = "array<struct<start:int,stop:int>>"
 
 
+def _strings(part, most: int = 64) -> set[str] | None:
+    """All strings that a piece of a parsed expression matches, None if there are more than `most`. Looking around takes no signs."""
+    kind, what = part
+    if kind is syntax.LITERAL:
+        return {chr(what)}
+    if kind is syntax.IN:
+        found = set()
+        for k, x in what:
+            if k not in (syntax.LITERAL, syntax.RANGE):
+                return None
+            found |= {chr(c) for c in (range(x[0], x[1] + 1) if k is syntax.RANGE else [x])}
+        return found if len(found) <= 8 else None
+    if kind in (syntax.ASSERT, syntax.ASSERT_NOT):
+        return {""}
+    if kind is syntax.SUBPATTERN:
+        choices = [what[3]]
+    elif kind is syntax.BRANCH:
+        choices = what[1]
+    elif kind is syntax.MAX_REPEAT and what[:2] == (0, 1):
+        choices = [what[2], []]
+    else:
+        return None
+    found = set()
+    for choice in choices:
+        own = {""}
+        for x in choice:
+            more = _strings(x, most)
+            if more is None or len(own) * len(more) > most:
+                return None
+            own = {a + b for a, b in product(own, more)}
+        found |= own
+    return found if len(found) <= most else None
+
+
+def _least(found: set[str]) -> set[str]:
+    """The strings that hold no other one."""
+    return {x for x in found if not any(y != x and y in x for y in found)}
+
+
+def needed(pattern: str, most: int = 8) -> set[str]:
+    """At most `most` strings one of which every match of the pattern (with a blank before it) holds: the longest such."""
+    best, run = {""}, {" "}
+    for part in syntax.parse(pattern):
+        own = _strings(part)
+        if own is None or len(run) * len(own) > 64:
+            run = own or {""}
+        else:
+            run = {a + b for a, b in product(run, own)}
+        least = _least(run)
+        if len(least) <= most and min(map(len, least)) > min(map(len, best)):
+            best = least
+    return best
+
+
 def rules() -> list[dict]:
     """All rules: each family in each form, and the other signatures."""
     made = []
     for line in FAMILIES.strip().splitlines():
-        label, keyword, name = (x.strip() for x in line.split(" | "))
+        label, name = (x.strip() for x in line.split(" | "))
         for priority, confidence, form in FORMS:
-            made.append({"label": label, "priority": priority, "confidence": confidence, "keyword": f" {keyword}", "pattern": f"(?<= )(?:{form.format(name)})(?= )"})
+            made.append({"label": label, "priority": priority, "confidence": confidence, "keywords": sorted(needed(name)), "pattern": f"(?<= )(?:{form.format(name)})(?= )"})
     for line in OTHERS.strip().splitlines():
-        label, priority, confidence, keyword, pattern = (x.strip() for x in line.split(" | "))
-        made.append({"label": label, "priority": int(priority), "confidence": float(confidence), "keyword": f" {keyword}", "pattern": f"(?<= ){pattern}(?= )"})
+        label, priority, confidence, pattern = (x.strip() for x in line.split(" | "))
+        made.append({"label": label, "priority": int(priority), "confidence": float(confidence), "keywords": sorted(needed(pattern)), "pattern": f"(?<= ){pattern}(?= )"})
     return made
 
 
+def gate() -> str:
+    """What a text must hold to be looked at: the words that a form, another signature or a base phrase needs."""
+    runs = set().union(*(needed(form.replace("{}", "[a-z]*"), 32) for _, _, form in FORMS), *(needed(line.split(" | ")[3].strip(), 32) for line in OTHERS.strip().splitlines()), *(needed(p) for p in BASE))
+    runs = sorted(x.removesuffix(" ") for x in _least(runs))
+    if not all(x.startswith(" ") and len(x) > 3 for x in runs):
+        raise ValueError(f"a rule needs no word: {runs}")
+    return rf"(?i)(?:^|{GAP})(?:{'|'.join(x.strip().replace(' ', f'{GAP}+') for x in runs)})"
+
+
 def _blanks(x: Column) -> Column:
     return F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -167,15 +227,18 @@ def _unsuppressed(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), start, step, lambda acc: acc["out"])
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, base (phrase places: start, label) and found (kept detections) of documents(doc_id, text)."""
+def detect(docs: DataFrame, prefilter: bool = True) -> DataFrame:
+    """doc_id, n_words, base (phrase places: start, label) and found (kept detections) of documents(doc_id, text).
+
+    Gate and keywords save work only; without `prefilter` every rule is run on every text.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = rows.select("doc_id", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.rlike(F.col("_text"), F.lit(GATE)), F.col("_text")).alias("_text"))
+    rows = rows.select("doc_id", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"), (F.when(F.rlike(F.col("_text"), F.lit(gate())), F.col("_text")) if prefilter else F.col("_text")).alias("_text"))
     rows = rows.withColumn("_line", F.when(F.col("_text").isNotNull(), F.concat(F.lit(" "), F.array_join(words(F.col("_text")), " "), F.lit(" "))))
     phrases = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(label).alias("label")) for p, label in BASE.items()))
     base = F.flatten(F.transform(phrases, lambda b: F.transform(spans(F.col("_line"), F.concat(F.lit("(?<= )"), b["phrase"], F.lit("(?= )"))), lambda s: F.struct(s["start"].alias("start"), b["label"].alias("label")))))
     table = F.from_json(F.lit(json.dumps(rules())), RULE)
-    usable = F.filter(table, lambda r: F.contains(F.col("_line"), r["keyword"]))
+    usable = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("_line"), k))) if prefilter else table
     found = F.flatten(F.transform(usable, lambda r: F.transform(spans(F.col("_line"), r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
     none = F.array().cast("array<struct<start:int,label:string>>")
     rows = rows.select("doc_id", "n_words", F.coalesce(F.when(F.col("_line").isNotNull(), base), none).alias("base"), F.when(F.col("_line").isNotNull(), found).alias("_found"))

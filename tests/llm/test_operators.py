@@ -176,6 +176,35 @@ def test_license_rules(spark, text, labels):
     assert queries.license_digest(licenses.detect(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first().labels == labels
 
 
+def example(parsed, n):
+    """A match of a parsed expression: of every choice the n-th one, in turn."""
+    out = ""
+    for kind, what in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            out += chr(what)
+        elif name == "IN":
+            signs = [chr(c) for k, x in what for c in (range(x[0], x[1] + 1) if str(k) == "RANGE" else [x])]
+            out += signs[n % len(signs)]
+        elif name == "SUBPATTERN":
+            out += example(what[3], n)
+        elif name == "BRANCH":
+            out += example(what[1][n % len(what[1])], n)
+        elif name == "MAX_REPEAT":
+            out += example(what[2], n) if n % 2 else ""
+    return out
+
+
+def test_license_prefilter_loses_nothing(spark):
+    lines = {example(licenses.syntax.parse(r["pattern"]), n) for r in licenses.rules() for n in range(11)}
+    own = ["Released under the GPLv2.", "distributed under the terms of the LGPLv3, see COPYING", "subject to the AGPLv3", "licensed under the FreeBSD license", "an open-source licence", "free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"]
+    rows = [*own, *(f"x-y {x.upper() if i % 2 else x}, z" for i, x in enumerate(sorted(lines)))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got, want = ({r.doc_id: r for r in licenses.detect(docs, prefilter=p).collect()} for p in (True, False))
+    assert got == want and sum(len(r.found) > 0 for r in want.values()) >= 0.98 * len(rows)
+    assert [r.labels for r in queries.license_digest(licenses.detect(docs.where("doc_id < 6"))).orderBy("doc_id").collect()] == ["gpl-2", "lgpl-3", "agpl-3", "bsd-2-clause", "unknown-free", "gpl"]
+
+
 def test_tokens_equal_the_tokenizers(texts):
     own = Encoder(vocabulary())
     odd = ["<|endoftext|> a\xa0b  c\td", "İx ﬁ é ́a don't we'll", "AB!! cd### ''s <x> 12a", " a\x1cb"]
