@@ -3,13 +3,15 @@
 Base: e-mail addresses, IP addresses, payment cards and phone numbers, leftmost and not overlapping within a kind;
 matches that fail their kind's test are dropped. A text is only scanned for a kind whose signs it holds.
 
-Bootstrapping: identifier-like tokens (6 to 200 signs with a digit) are instances; the words before them, their shape,
-and both together are lexical patterns. Base entities and values assigned to a credential's name are the seeds. In
+Bootstrapping: identifier-like tokens (6 signs or more with a digit) are instances; the words before them, their shape,
+and both together are lexical patterns. Base entities and values assigned to a credential's name (by a blank, quote,
+colon or '='; these of any length with a digit) are the seeds. In
 each round a pattern's confidence is the share of its distinct instances that are accepted (patterns with few accepted
 ones don't count), an instance's confidence is that some accepted pattern is right (noisy or), and instances above
-the threshold are accepted for the next round. The pattern-instance graph is a table of distinct edges in shared
-storage, so a line that repeats in a third of all rows is one edge each. Occurrences of accepted instances outside
-base spans are added as kind `id`.
+the threshold are accepted for the next round. Accepted ones stay so, and rounds go on until none is added. The
+pattern-instance graph is a table of distinct edges in shared storage, so a line that repeats in a third of all rows
+is one edge each; long instances and shapes stand in it by their hash. Occurrences of accepted instances outside
+base spans are added as kind `id`; those of under 6 signs only where they are assigned to a credential.
 
 Null texts are empty and have no spans; repeated rows have the same spans; positions are code points, ends exclusive.
 """
@@ -30,10 +32,13 @@ KINDS = [
 ]
 NAMES = [k for k, _, _ in KINDS] + ["id"]
 IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
-#: A token with a digit, and the signs that tokens are made of.
-TOKEN = r"(?<![A-Za-z0-9_@+/=.-])[A-Za-z_@+/=.-]*+[0-9][A-Za-z0-9_@+/=.-]*+"
 #: Names of credentials; what is assigned to them is a seed.
-CREDENTIALS = r"(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth)\s*(?:=|:|=>)\s*[\"']?$"
+CREDENTIAL = "(?:token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth)"
+#: Tokens with a digit, and the signs that they are made of. An '=' after a credential's name ends a token and begins another.
+EQUALS = rf"(?:(?<!(?i:{CREDENTIAL}))=++"
+TOKEN = rf"(?:(?<![A-Za-z0-9_@+/=.-])|(?<=(?i:{CREDENTIAL})=))[A-Za-z_@+/.-]*+{EQUALS}[A-Za-z_@+/.-]*+)*+[0-9][A-Za-z0-9_@+/.-]*+{EQUALS}[A-Za-z0-9_@+/.-]*+)*+"
+#: What stands before an assigned value; only a credential's '=' stands right before a token.
+CREDENTIALS = rf"{CREDENTIAL}\s*(?:=|:|=>)\s*[\"']?$|=$"
 SPAN = "array<struct<start:int,stop:int,kind:int,value:string>>"
 SEEN = "array<struct<start:int,stop:int,kind:int,value:string,before:string>>"
 
@@ -105,34 +110,45 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     rows = rows.select("doc_id", F.xxhash64("_text").alias("text_key"), F.when(F.rlike(F.col("_text"), F.lit("[0-9@]")), F.col("_text")).alias("_text"))
     text, none = F.col("_text"), F.array().cast(SEEN)
-    fits = lambda s: (s["stop"] - s["start"]).between(6, 200)
+    fits = lambda s: (s["stop"] - s["start"] >= 6) | _assigned(s["before"])
     tokens = F.filter(_spans(text, TOKEN, len(KINDS), context=True), fits)
     return rows.select("doc_id", "text_key", F.coalesce(F.when(text.isNotNull(), base_spans(text)), none).alias("base"), F.coalesce(F.when(text.isNotNull(), tokens), none).alias("tokens"))
 
 
+def _assigned(before: Column) -> Column:
+    return F.rlike(F.lower(before), F.lit(CREDENTIALS))
+
+
+def _key(value: Column) -> Column:
+    """The value, or its hash if it is long."""
+    return F.when(F.char_length(value) > 64, F.sha2(value, 256)).otherwise(value)
+
+
 def _trimmed(token: Column) -> Column:
     """The token without signs at its end that belong to the sentence."""
     return F.regexp_replace(token, r"[.=/+-]+$", "")
 
 
-def discover(scan: DataFrame, rounds: int = 3, support: int = 3, pattern_share: float = 0.7, accept: float = 0.8) -> DataFrame:
-    """value: the accepted instances after the last round."""
+def discover(scan: DataFrame, support: int = 3, pattern_share: float = 0.7, accept: float = 0.8) -> DataFrame:
+    """value: the keys of the accepted instances once no round adds any."""
     seen = scan.select(F.explode("tokens").alias("t"), "base").select(_trimmed(F.col("t.value")).alias("value"), F.col("t.before").alias("before"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), "base")
     inside = F.exists("base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"]))
-    seed = inside | F.rlike(F.lower("before"), F.lit(CREDENTIALS))
+    seed = inside | _assigned(F.col("before"))
     tail = F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace("before", "[0-9]", "9")), r"\s+", " ")), " ")
     last = F.when(F.size(tail) >= 1, F.element_at(tail, -1)).otherwise("")
     two = F.concat_ws(" ", F.when(F.size(tail) >= 2, F.element_at(tail, -2)).otherwise(""), last)
-    shape = _shape(F.col("value"))
-    edges = seen.where(F.char_length("value").between(6, 200)).select("value", seed.cast("int").alias("seed"), F.explode(F.array(F.concat(F.lit("before "), two), F.concat(F.lit("shape "), shape), F.concat_ws(" ", F.lit("both"), last, shape))).alias("pattern"))
+    shape = _key(_shape(F.col("value")))
+    edges = seen.where((F.char_length("value") >= 6) | seed).select(_key(F.col("value")).alias("value"), seed.cast("int").alias("seed"), F.explode(F.array(F.concat(F.lit("before "), two), F.concat(F.lit("shape "), shape), F.concat_ws(" ", F.lit("both"), last, shape))).alias("pattern"))
     edges = written(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "edges")
-    accepted = edges.where("seed = 1").select("value").distinct()
-    for _ in range(rounds):
+    accepted = written(edges.where("seed = 1").select("value").distinct(), "accepted")
+    before, count = -1, accepted.count()
+    while before < count:
         marked = edges.join(accepted.withColumn("good", F.lit(1)), "value", "left")
         patterns = marked.groupBy("pattern").agg(F.count("*").alias("n"), F.count("good").alias("good")).where(f"good >= {support} AND good >= {pattern_share} * n")
         patterns = patterns.select("pattern", (F.col("good") / (F.col("n") + 1)).alias("confidence"))
         scores = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.ln(1 - F.col("confidence"))))).alias("confidence"))
         accepted = written(scores.where(f"confidence >= {accept}").select("value").union(edges.where("seed = 1").select("value")).distinct(), "accepted")
+        before, count = count, accepted.count()
     return accepted
 
 
@@ -142,7 +158,8 @@ def find(docs: DataFrame, **options) -> DataFrame:
     accepted = discover(scan, **options)
     places = scan.select("doc_id", "text_key", "base", F.explode("tokens").alias("t")).select("doc_id", "text_key", "base", F.col("t.start").alias("start"), _trimmed(F.col("t.value")).alias("value"))
     places = places.withColumn("stop", F.col("start") + F.char_length("value")).where(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"])))
-    more = places.join(accepted, "value").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.col("text_key").alias("k2")).agg(F.collect_set(F.struct("start", "stop", F.lit(len(KINDS)).alias("kind"), "value")).alias("more"))
+    places = places.withColumn("key", _key(F.col("value")))
+    more = places.join(accepted.withColumnRenamed("value", "key"), "key").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.col("text_key").alias("k2")).agg(F.collect_set(F.struct("start", "stop", F.lit(len(KINDS)).alias("kind"), "value")).alias("more"))
     joined = scan.drop("tokens").join(more, (F.coalesce("doc_id", F.lit(-1)) == F.col("k1")) & (F.col("text_key") == F.col("k2")), "left")
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))
     every = F.array_sort(F.concat(base.cast(SPAN), F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN))))

@@ -139,6 +139,24 @@ def test_discovers_identifiers_by_context(spark):
     assert got[12] == "id:7:47" and got[13] == ""
 
 
+def test_masks_assigned_and_long_values(spark):
+    jwt = "eyJ" + "hb0cOi9JIUzI1.N-_" * 40 + "x"
+    texts = ["password=hunter2x9", "export API_KEY=abc123def456 now", "see http://h.org/?token=0a1b2c3d&n=1", f"token: {jwt}", f"it said {jwt} again", "pwd=a1", "user1_password=zz99top", "x=y1 and a1=b2c3d4", "a=b " + "=" * 20_000, "the year a1"]
+    got = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = ["password=[ID]", "export API_KEY=[ID] now", "see http://h.org/?token=[ID]&n=1", "token: [ID]", "it said [ID] again", "pwd=[ID]", "user1_password=[ID]", *texts[7:]]
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_discovery_goes_on_until_nothing_is_added(spark):
+    # shapes all differ, and each context holds 17 of the last one's 20 values and 3 new ones
+    values = ["q" + "7q" * (3 + i) for i in range(38)]
+    rows = [f'token = "{v}" ok' for v in values[:20]]
+    for k, word in enumerate(["alpha", "beta", "gamma", "delta", "omega", "sigma"]):
+        rows += [f"some {word} {v} ok" for v in values[3 * (k + 1) : 3 * (k + 1) + 20]]
+    got = {r.doc_id: r.spans for r in queries.pii_digest(pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
+    assert [i for i in range(len(rows)) if not got[i].startswith("id:")] == []
+
+
 def test_masking_keeps_columns(docs):
     got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
     assert got[100_007] == "mail [EMAIL] or [IP], [PHONE], under the MIT License" and got[100_001] is None and pii.mask(docs).columns == docs.columns
