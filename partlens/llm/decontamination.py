@@ -11,7 +11,8 @@ Nothing is shuffled, no document meets another. Items shorter than a window are
 by a hash of their first word and compared as well.
 
 Null texts and texts without words have no words and no hits; items without words have no windows; repeated
-items count once by item_id; an empty benchmark leaves every document clean.
+items count once by item_id; items without an item_id count like others, but no name stands for them in item_ids;
+an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -51,10 +52,10 @@ def _kept(grams: Column, window: int) -> Column:
 
 def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
     """The items' words (item_id, w) in blocks."""
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     sums = items.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)), F.count("*")).first()
     count = max(1, -(-sums[0] // block_words)) if sums[1] else 0
-    return [items.where(F.expr(f"pmod(xxhash64(item_id), {count})") == b) for b in range(count)]
+    return [items.where(F.expr(f"pmod(xxhash64(coalesce(item_id, array_join(w, ' '))), {count})") == b) for b in range(count)]
 
 
 def _index(block: DataFrame, length: int, gram: int) -> DataFrame:
@@ -86,7 +87,7 @@ def _literal(block: DataFrame, length: int, gram: int) -> tuple[Column, bool, bo
 
 
 def finder(benchmark: DataFrame, length: int = 10, gram: int = 5, block_words: int = 50_000):
-    """words -> distinct (start, length, item_id) of the benchmark's windows that occur, by start.
+    """words -> distinct (start, length, item_id) of the benchmark's windows that occur, by start; item_id is null for items without one.
 
     Everything is bound with let(), so the optimiser can move the expression without computing parts of it again.
     """
@@ -146,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram:
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["start"])).cast("long")).alias("n"))
 
     covered = F.when(F.size("_hits") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("_hits", start, grow, lambda acc: acc["n"]))
-    ids = F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["item_id"])))
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("_hits", lambda x: x["item_id"]), lambda x: x.isNotNull())))
     return found.select("doc_id", F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), ids.alias("item_ids"), F.col("_hits").alias("windows"))
 
 

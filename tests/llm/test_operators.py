@@ -291,6 +291,15 @@ def test_decontamination(spark, docs, texts):
     assert decontamination.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_by_items_without_a_name(spark):
+    rows = spark.createDataFrame([(1, "x " + " ".join(f"a{i}" for i in range(12))), (2, "so short it is"), (3, "clean")], "doc_id long, text string")
+    table = spark.createDataFrame([(None, " ".join(f"a{i}" for i in range(12))), (None, "short it"), (5, "a0 a1")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.item_ids) for r in decontamination.contaminated(rows, table).collect()}
+    assert got == {1: (12, ["5"]), 2: (2, []), 3: (0, [])}
+    assert [r.doc_id for r in decontamination.clean(rows, table).collect()] == [3]
+    assert len(decontamination._blocks(table, 2)) > 1 and max(b.count() for b in decontamination._blocks(table, 2)) < 3
+
+
 def test_decontamination_in_blocks(spark, docs, texts):
     items = [(i, " ".join(words(texts[i][1])[3:25])) for i in range(8)]
     table = spark.createDataFrame(items, "item_id long, text string")
