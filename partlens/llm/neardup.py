@@ -13,7 +13,9 @@
 
 Result: a row for each row of the input with doc_id, class_id (least doc_id of the class) and n_links (other
 rows whose similarity is at least the threshold, copies included). Texts that are null or hold no word, and
-rows whose doc_id is null, link with nothing. doc_id is taken to name a text: rows that repeat both are copies.
+rows whose doc_id is null, link with nothing. Rows of one doc_id with different texts are documents of their own: what
+is linked are shingle sets, numbered by a 64-bit hash of their 128-bit key (at 50 million sets a chance of 7e-5 that
+any two share a number).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -54,8 +56,12 @@ def band_hashes(shingles: np.ndarray, bands: int, rows: int, times: np.ndarray,
     return keys.view(np.int64)
 
 
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, the set's key (null without words), bytes of text, band hashes."""
+    """doc_id, a hash of the text, the set's key (null without words), bytes of text, band hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         times, plus = family(bands * rows)
@@ -70,9 +76,10 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     out.append((doc, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(text), band_hashes(own, bands, rows, times, plus)))
             frame = pd.DataFrame([x[1:] for x in out], columns=["key", "size", "bands"])
             frame.insert(0, "doc_id", pd.array([x[0] for x in out], dtype="Int64"))
+            frame.insert(1, "mark", batch["mark"].to_numpy())
             yield frame
 
-    return docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, key binary, size long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").cast("string"), _mark(F.col("text")).alias("mark"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, mark long, key binary, size long, bands array<long>")
 
 
 def _dense(index: np.ndarray, owner: np.ndarray, rows: int, lo: int, width: int) -> np.ndarray:
@@ -107,7 +114,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 def _settle(part: pd.DataFrame, size: int, threshold: float) -> list[tuple[int, int, int]]:
     """For each member of a task: its least linked member and the copies it links with."""
     seen: dict[int, tuple] = {}
-    for rep, key, side, copies, text in zip(part["rep"], part["key"], part["side"], part["copies"], part["text"], strict=True):
+    for rep, key, side, copies, text in zip(part["node"], part["key"], part["side"], part["copies"], part["text"], strict=True):
         if rep not in seen:
             own = shingle_set(text, size)
             if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == key:
@@ -138,19 +145,19 @@ def _settle(part: pd.DataFrame, size: int, threshold: float) -> list[tuple[int,
     return [(int(r), int(b), int(d)) for r, b, d in zip(ids, labels, degree, strict=True) if d]
 
 
-def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6) -> DataFrame:
-    """doc_id, class_id, n_links for each row of documents(doc_id, text)."""
+def classified(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6) -> DataFrame:
+    """doc_id, mark (hash of the text), class (null without words), class_id, n_links for each row of documents(doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = written(signatures(texts, size, bands, rows), "signatures")
-    reps = written(marks.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.min_by("bands", "doc_id").alias("bands")), "copies")
-    entries = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = entries.join(buckets, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(ties, "ties").join(reps.select(F.col("rep").alias("node"), "key", "copies", "size"), "node")
+    reps = written(marks.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"), F.min_by("bands", "doc_id").alias("bands")).withColumn("node", F.xxhash64("key")), "copies")
+    entries = reps.select("node", F.explode("bands").alias("band"))
+    buckets = entries.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    ties = entries.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    groups = components(ties, "ties").join(reps.select("node", "rep", "key", "copies", "size"), "node")
     total = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks"))
     dealt = groups.join(total, "root").withColumn("own", F.expr("pmod(xxhash64(node), blocks)"))
-    tasks = dealt.select("root", F.col("node").alias("rep"), "key", "copies", "size", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    tasks = tasks.select("root", "rep", "key", "copies", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    tasks = dealt.select("root", "node", "rep", "key", "copies", "size", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    tasks = tasks.select("root", "node", "rep", "key", "copies", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     tasks = written(tasks, "tasks")
     bins = max(1, -(-(tasks.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
     work = tasks.withColumn("bin", F.expr(f"pmod(xxhash64(root, i, j), {bins})")).join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
@@ -162,15 +169,24 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int =
         return pd.DataFrame(out, columns=["a", "b", "links"])
 
     links = written(work.groupBy("bin").applyInPandas(verify, "a long, b long, links long"), "links")
-    found = components(links.select("a", "b"), "classes").withColumnsRenamed({"node": "rep", "root": "class_id"})
-    degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    settled = reps.select("key", "rep", "copies").join(found, "rep", "left").join(degree, "rep", "left")
-    settled = settled.select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return marks.select("doc_id", "key").join(settled, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = components(links.select("a", "b"), "classes").join(reps.select("node", "rep"), "node")
+    found = found.join(found.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("node", "root", "class_id")
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    settled = reps.select("key", "node", "rep", "copies").join(found, "node", "left").join(degree, "node", "left")
+    settled = settled.select("key", F.coalesce("root", "node").alias("class"), F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return marks.select("doc_id", "mark", "key").join(settled, "key", "left").select("doc_id", "mark", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, n_links for each row of documents(doc_id, text)."""
+    return classified(docs, **options).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one of each class left, its least doc_id; of repeated rows one stays, rows without doc_id all stay."""
-    firsts = classes(docs, **options).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(firsts.select(F.col("doc_id").alias("_first")), F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    """The documents with one of each class left, its least doc_id; of rows that repeat doc_id and text one stays, rows without doc_id all stay."""
+    rows = classified(docs, **options).where("doc_id IS NOT NULL")
+    firsts = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select("f.doc_id", "f.mark")
+    firsts = firsts.union(rows.where("class IS NULL").select("doc_id", "mark")).distinct().select(F.col("doc_id").alias("_first"), F.col("mark").alias("_of"))
+    named = docs.where("doc_id IS NOT NULL").withColumn("_mark", _mark(F.col("text")))
+    named = named.join(firsts, (F.col("doc_id") == F.col("_first")) & (F.col("_mark") == F.col("_of")), "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
     return named.unionByName(docs.where("doc_id IS NULL"))

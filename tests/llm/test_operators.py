@@ -98,6 +98,16 @@ def test_keep_one(spark, docs, texts):
     assert neardup.keep_one(empty(spark)).count() == 0
 
 
+def test_one_doc_id_with_different_texts(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, two + " end"), (3, three), (3, one + " end"), (4, ""), (4, three + " end"), (5, "")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, extra int").repartition(3)
+    assert sorted(map(tuple, neardup.classes(docs).collect())) == brute_classes(rows)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, one), (1, two), (3, three), (4, ""), (5, "")])
+
+
 def luhn(s):
     t = 0
     for i, c in enumerate(reversed(s)):
