@@ -1,11 +1,10 @@
-"""Approximate nearest neighbours by cosine through multi-index hashing of learned rotated binary codes.
+"""Approximate nearest neighbours by cosine through a scan of learned rotated binary codes.
 
 1. On a bounded sample several rotations are learned (iterative quantisation from different starts); the signs of
    the rotated vectors are the code, `rotations` bits per dimension. The radius is the Hamming distance that holds
    a share `aim` of the sample's true neighbours.
-2. Codes are split into substrings of 8 bits. If two codes differ in at most r bits, some substring differs in at
-   most r // substrings: the pigeonhole probe takes the codes in such buckets of any substring's index, then keeps
-   those whose whole code lies within the radius. Every code within the radius is retrieved.
+2. Codes are bytes. Every code of a task is compared with every query's, a byte at a time, and those within the radius
+   are kept. There is no index by substrings: at such radii its buckets would fetch nearly all codes (see the README).
 3. What is kept is compared by the vectors themselves and the nearest are scored exactly.
 
 The table is dealt into buckets by a hash of vec_id, the queries into blocks, so a task holds bounded parts of
@@ -85,16 +84,8 @@ def learn(sample: np.ndarray, rotations: int = 4, rounds: int = 30, k: int = 5,
 
 
 def probed(queries: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarray:
-    """Which codes lie within the radius of which queries, by the pigeonhole over substrings."""
-    reach = radius // codes.shape[1]
-    total, near = np.zeros((len(queries), len(codes)), np.uint16), np.zeros((len(queries), len(codes)), bool)
-    every = np.arange(256, dtype=np.uint8)
-    for part in range(codes.shape[1]):
-        table = POPULATION[queries[:, part][:, None] ^ every[None, :]]  # a query's distance to each bucket
-        apart = table[:, codes[:, part]]
-        near |= apart <= reach
-        total += apart
-    return near & (total <= radius)
+    """Which codes lie within the radius of which queries."""
+    return hamming(queries, codes) <= radius
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, code: Code, k: int) -> list[tuple[int, int, float]]:
