@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from partlens.plans import catalogue
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame, columns):
     def plain(v):
-        if v is None or v != v:
+        if v is None or not hasattr(v, "__len__") and pd.isna(v):
             return None
         if hasattr(v, "item"):
             v = v.item()
