@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars, each round written to shared storage.
 
-A hub with very many neighbours is never gathered: minima are pre-aggregated before the shuffle and the
-join back is split where it is skewed. Rounds grow with the logarithm of the longest chain.
+A hub with very many neighbours is never gathered: each node's edges are dealt into parts, minima are taken by part,
+then over the parts, and go back to (node, part), so no task gets more than a part of a hub's edges. Rounds grow
+with the logarithm of the longest chain; of the tables of the rounds only the last one stays.
 """
 
 from __future__ import annotations
@@ -9,19 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
+
+
+#: Parts that a node's edges are dealt into, so that a hub's lie in many tasks.
+PARTS = 64
+
+
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges with their part, and for each node and part that has edges the node's least neighbour."""
+    dealt = edges.withColumn("part", F.expr(f"pmod(xxhash64(b), {PARTS})"))
+    parts = dealt.groupBy("a", "part").agg(F.min("b").alias("m"))
+    whole = parts.groupBy("a").agg(F.min("m").alias("m"))
+    return dealt, parts.select("a", "part").join(whole, "a")
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    dealt, least = _least(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    met = dealt.where("b > a").join(least, ["a", "part"])
+    return met.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    met = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    dealt, least = _least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    met = dealt.join(least, ["a", "part"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return met.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -34,6 +46,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = None
     while before != (after := state(now)):
-        before = after
+        before, last = after, now
         now = written(_small(_large(now)), name)
+        dropped(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

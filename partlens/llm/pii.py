@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import dropped, let, written
 
 #: Kinds in order: name, sign that a text must hold, expression. Possessive loops and looks behind keep them linear.
 KINDS = [
@@ -147,7 +147,8 @@ def discover(scan: DataFrame, support: int = 3, pattern_share: float = 0.7, acce
         patterns = marked.groupBy("pattern").agg(F.count("*").alias("n"), F.count("good").alias("good")).where(f"good >= {support} AND good >= {pattern_share} * n")
         patterns = patterns.select("pattern", (F.col("good") / (F.col("n") + 1)).alias("confidence"))
         scores = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.ln(1 - F.col("confidence"))))).alias("confidence"))
-        accepted = written(scores.where(f"confidence >= {accept}").select("value").union(edges.where("seed = 1").select("value")).distinct(), "accepted")
+        last, accepted = accepted, written(scores.where(f"confidence >= {accept}").select("value").union(edges.where("seed = 1").select("value")).distinct(), "accepted")
+        dropped(last)
         before, count = count, accepted.count()
     return accepted
 

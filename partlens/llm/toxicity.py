@@ -2,16 +2,18 @@
 
 Training takes a bounded sample of the labelled rows (`sample` documents, chosen by a hash of doc_id, so the
 same ones in every run). Later models are trained with out-of-fold probabilities of the earlier categories,
-so that they meet in training what they meet in scoring; the earlier models are then fitted once more on
-all folds. Folds go by a hash of the text: copies of a text never lie on both sides.
+so that they meet in training what they meet in scoring. Each category's final model is the mean of its folds' models,
+and its threshold comes from their out-of-fold probabilities; where these don't show with certainty that what is
+flagged is mostly right, nothing is flagged. Folds go by a hash of the text: copies of a text never lie on both sides.
 
 Features of a text: each distinct lower-cased word with its starts of 3 to 6 letters, hashed and scaled by
 the square root of the number of distinct words, and a few shares (capitals, symbols, repeated words, the
 most frequent word, length) in steps. Scoring runs over whole texts of all rows; a word's part in the sum
 is cached. The models are two arrays of fixed size, whatever the corpus.
 
-Results: null and empty texts score like a text without words; without usable labels (no rows, or one value
-only) a category's probability is its share among the labels, 0 without any; repeated rows score alike.
+Results: null and empty texts score like a text without words, very long ones by all their words; without usable
+labels (no rows, or one value only) a category's probability is near its share among the labels and nothing is
+flagged; repeated rows score alike; an empty table gives no rows; columns of docs named like a result keep their values.
 """
 
 import math
@@ -68,29 +70,49 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Rows:
-    """Sparse rows: feature numbers and values one row after the other, and where each begins."""
+    """Sparse rows, once by row and once by feature, so that both sums of a fitting step run along memory.
 
+    Features are numbered densely; `used` has their numbers among all. Arrays are of 32 bits and made once; folds are
+    told apart by weights of rows and copy nothing.
+    """
+
+    used: np.ndarray
     index: np.ndarray
     value: np.ndarray
     begin: np.ndarray
+    owner: np.ndarray
+    by_feature: np.ndarray
+    first: np.ndarray
 
     @classmethod
-    def of(cls, index: np.ndarray, value: np.ndarray, lengths: np.ndarray) -> "Rows":
-        """Only features that can get a weight: those in 3 rows or more, and in at most 30 % of them."""
-        often = np.bincount(index, minlength=WIDTH)
-        kept = (((often >= 3) & (often <= 0.3 * len(lengths))) | (np.arange(WIDTH) >= WIDTH - SHARES))[index]
-        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[kept]
-        begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(lengths)))])
-        return cls(index[kept].astype(np.int32), value[kept].astype(np.float32), begin)
-
-    def take(self, rows: np.ndarray) -> "Rows":
-        parts = [slice(self.begin[r], self.begin[r + 1]) for r in rows]
-        begin = np.concatenate([[0], np.cumsum(self.begin[rows + 1] - self.begin[rows])])
-        return Rows(np.concatenate([self.index[p] for p in parts]), np.concatenate([self.value[p] for p in parts]), begin)
+    def of(cls, index: np.ndarray, value: np.ndarray, lengths: np.ndarray, order: np.ndarray, least: int, most: float) -> "Rows":
+        """The rows in the given order with the features that lie in `least` rows or more and at most a share `most` of them; the shares of a text always count."""
+        often = np.zeros(WIDTH, np.int64)
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        for lo in range(0, len(index), 1 << 20):  # counting makes wide copies
+            often += np.bincount(index[lo : lo + (1 << 20)], minlength=WIDTH)
+        fit = (often >= max(1, least)) & (often <= most * len(lengths))
+        fit[WIDTH - SHARES :] = often[WIDTH - SHARES :] > 0
+        dense = np.cumsum(fit, dtype=np.int32) - 1
+        kept = [fit[index[at[r] : at[r + 1]]] for r in order]
+        begin = np.concatenate([[0], np.cumsum([k.sum() for k in kept])]).astype(np.int64)
+        columns, values = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32)
+        for i, (r, k) in enumerate(zip(order, kept, strict=True)):
+            columns[begin[i] : begin[i + 1]] = dense[index[at[r] : at[r + 1]][k]]
+            values[begin[i] : begin[i + 1]] = value[at[r] : at[r + 1]][k]
+        turn = np.argsort(columns, kind="stable").astype(np.int32)
+        owner = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(begin))[turn]
+        first = np.concatenate([[0], np.cumsum(often[fit])]).astype(np.int64)
+        return cls(np.flatnonzero(fit), columns, values, begin, owner, values[turn], first)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of weights (of the dense numbers) by row."""
         return np.add.reduceat(self.value * weights[self.index], self.begin[:-1])
 
+    def back(self, rows: np.ndarray) -> np.ndarray:
+        """Sums of the rows' numbers by feature."""
+        return np.add.reduceat(self.by_feature * rows[self.owner], self.first[:-1])
+
 
 @dataclass
 class Linear:
@@ -116,57 +138,67 @@ def as_input(p: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q)) / 4
 
 
-def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.25, decay: float = 1e-5) -> Linear:
-    """Logistic regression by Adam over all rows at once."""
-    n = len(y)
-    share = (y.sum() + 0.5) / (n + 1) if n else 0.0
-    model = Linear(np.zeros(WIDTH, np.float32), np.zeros(earlier.shape[1]), float(np.log(share / (1 - share))) if n else -30.0)
-    if n == 0 or y.min() == y.max():
-        return model
-    used = np.bincount(rows.index, minlength=WIDTH) > 0
-    index, value = (np.cumsum(used, dtype=np.int32) - 1)[rows.index], rows.value
-    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(rows.begin))
-    width, chain = int(used.sum()), earlier.shape[1]
-    theta = np.concatenate([np.zeros(width), np.zeros(chain), [model.bias]])
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, rounds + 1):
-        z = np.bincount(owner, value * theta[:width].astype(np.float32)[index], n) + earlier @ theta[width : width + chain] + theta[-1]
-        off = (sigmoid(z) - y) / n
-        grad = np.concatenate([np.bincount(index, value * off.astype(np.float32)[owner], width) + decay * theta[:width], earlier.T @ off, [off.sum()]])
-        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        theta -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
-    model.weights[used], model.chain, model.bias = theta[:width], theta[width : width + chain], float(theta[-1])
-    return model
-
-
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1 on out-of-fold probabilities, halfway (in logits) to the next lower one."""
+def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100, rate: float = 0.25, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression by Adam over all rows of weight 1: weights of the dense features, of the earlier categories, bias."""
+    n, width, chain = weight.sum(), len(rows.used), earlier.shape[1]
+    positive = float((weight * y).sum())
+    share = (positive + 0.5) / (n + 1)
+    theta = np.zeros(width + chain + 1)
+    theta[-1] = np.log(share / (1 - share))
+    if 0 < positive < n:
+        first, second = np.zeros_like(theta), np.zeros_like(theta)
+        for t in range(1, rounds + 1):
+            z = rows.dot(theta[:width].astype(np.float32)) + earlier @ theta[width : width + chain] + theta[-1]
+            off = weight * (sigmoid(z) - y) / n
+            grad = np.concatenate([rows.back(off.astype(np.float32)) + decay * theta[:width], earlier.T @ off, [off.sum()]])
+            first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+            theta -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
+    return theta[:width], theta[width : width + chain], float(theta[-1])
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray, sure: float = 0.5, z: float = 1.645) -> float:
+    """The threshold with the best F1 on out-of-fold probabilities, halfway (in logits) to the next lower one.
+
+    Only thresholds count at which the share of right ones among those flagged is `sure` or more with 95 % certainty
+    (the lower bound of Wilson's interval). Where the evidence is too thin for any, nothing is flagged: infinity.
+    """
     if not len(y) or y.min() == y.max():
-        return 0.5
+        return math.inf
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f1 = 2 * hits / (n + y.sum())
+    share = hits / n
+    lower = (share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     last = np.append(np.diff(p[order]) != 0, True)  # only between different probabilities
-    at = int(np.argmax(np.where(last, f1, -1)))
+    allowed = last & (lower >= sure)
+    if not allowed.any():
+        return math.inf
+    at = int(np.argmax(np.where(allowed, f1, -1)))
     logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
-    lower = p[order][at + 1] if at + 1 < len(y) else p[order][at] / 2
-    return float(sigmoid(np.array((logit(p[order][at]) + logit(lower)) / 2)))
+    below = p[order][at + 1] if at + 1 < len(y) else p[order][at] / 2
+    return float(sigmoid(np.array((logit(p[order][at]) + logit(below)) / 2)))
 
 
-def fit_chain(rows: Rows, labels: np.ndarray, fold: np.ndarray, folds: int = 2) -> list[Linear]:
-    """One model for each column of labels, in order; the earlier probabilities it is trained with are out of fold."""
+def fit_chain(rows: Rows, labels: np.ndarray, fold: np.ndarray, folds: int = 4) -> list[Linear]:
+    """One model for each column of labels, in order; the earlier probabilities it is trained with are out of fold.
+
+    A category's model is the mean of its folds' models (the mean of linear models is linear), so what the threshold is
+    chosen by, their out-of-fold probabilities, is on the scale of what it is used for.
+    """
     earlier, models = np.zeros((len(labels), 0)), []
     for c in range(labels.shape[1]):
-        y = labels[:, c]
-        model = fit(rows, earlier, y)
-        p = np.full(len(y), y.mean() if len(y) else 0.0)
+        y, p = labels[:, c], np.zeros(len(labels))
+        made = []
         for f in range(folds):
-            inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            if len(inside) and len(outside):
-                part = fit(rows.take(inside), earlier[inside], y[inside])
-                p[outside] = sigmoid(part.logit(rows.take(outside).dot(part.weights), earlier[outside]))
-        model.threshold = best_threshold(p, y)
-        models.append(model)
+            outside = fold == f
+            if not outside.all():
+                made.append(fit(rows, earlier, y, (~outside).astype(np.float64)))
+                if outside.any():
+                    w, chain, bias = made[-1]
+                    p[outside] = sigmoid((rows.dot(w.astype(np.float32)) + earlier @ chain + bias)[outside])
+        weights = np.zeros(WIDTH, np.float32)
+        weights[rows.used] = np.mean([w for w, _, _ in made], axis=0)
+        models.append(Linear(weights, np.mean([x for _, x, _ in made], axis=0), float(np.mean([b for _, _, b in made])), best_threshold(p, y)))
         earlier = np.column_stack([earlier, as_input(p)])
     return models
 
@@ -192,16 +224,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
     return some.join(named.where(chosen(F.col("doc_id"))), "doc_id").mapInPandas(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = 6_000) -> list[Linear]:
-    """The chain, fitted in the driver on the bounded sample."""
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = 6_000, folds: int = 4, least: int = 3, most: float = 0.3) -> list[Linear]:
+    """The chain, fitted in the driver on the bounded sample, by features in `least` rows or more and at most a share `most` of them."""
+    import pyarrow as pa
+
     got = training_rows(docs, labels, categories, sample).toArrow()
     if not got.num_rows:
-        return [Linear(np.zeros(WIDTH, np.float32), np.zeros(i), -30.0) for i in range(len(categories))]
-    got = got.sort_by([("fold", "ascending"), *((c, "ascending") for c in categories)])  # tasks end in any order
+        return [Linear(np.zeros(WIDTH, np.float32), np.zeros(i), -30.0, math.inf) for i in range(len(categories))]
+    labelled, fold = np.column_stack([got[c].to_numpy() for c in categories]), got["fold"].to_numpy()
+    order = np.lexsort((*labelled.T, fold))  # tasks end in any order
     index, value = (got[c].combine_chunks() for c in ("index", "value"))
-    rows = Rows.of(index.flatten().to_numpy(), value.flatten().to_numpy(), index.value_lengths().to_numpy())
-    labelled = np.column_stack([got[c].to_numpy() for c in categories])
-    return fit_chain(rows, labelled, got["fold"].to_numpy() % 2)
+    del got
+    rows = Rows.of(index.flatten().to_numpy(), value.flatten().to_numpy(), index.value_lengths().to_numpy(), order, least, most)
+    del index, value
+    pa.default_memory_pool().release_unused()
+    return fit_chain(rows, labelled[order], fold[order] % folds, folds)
 
 
 class Scorer:

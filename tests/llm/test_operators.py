@@ -411,16 +411,55 @@ def test_training_order_round_trip(spark, docs, texts, tmp_path):
     assert [zlib.crc32(r.input_ids) for r in again] == [zlib.crc32(r.input_ids) for r in got]
 
 
-def test_pipeline_keeps_columns(spark, small):
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on 1000 documents: what it keeps is exactly what brute force (for toxicity: the operator's verdict and the labels) says."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    count = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, small), name)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        assert docs.count() >= 0.8 * count
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).select("doc_id").distinct().count() == docs.count()
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages, columns = dict(corpus_pipeline.STAGES), docs.columns
+    rows = lambda df: sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    before = rows(docs)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    docs = corpus_pipeline.written(stages["toxicity"](spark, docs, sf_dir), "toxicity")
+    after = rows(docs)
+    flagged = {r.doc_id for r in toxicity.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("toxic").collect()}
+    assert after == [r for r in before if r[0] not in flagged] and docs.columns == columns
+    kept = {i for i, _ in after}
+    assert sum(i in kept for i, x in labels.items() if x == 0) >= 0.99 * sum(x == 0 for x in labels.values())
+    assert sum(i not in kept for i, x in labels.items() if x == 1) >= 0.9 * sum(x == 1 for x in labels.values())
+    before, docs = after, corpus_pipeline.written(stages["near_duplicates"](spark, docs, sf_dir), "near_duplicates")
+    after, firsts = rows(docs), {c for _, c, _ in brute_classes(before)}
+    assert after == [r for r in before if r[0] in firsts] and docs.columns == columns
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    before, docs = after, corpus_pipeline.written(stages["decontamination"](spark, docs, sf_dir), "decontamination")
+    after, hits = rows(docs), brute_hits(before, items)
+    assert after == [r for r in before if not hits[r[0]][1]] and len(after) < len(before) and docs.columns == columns
+    before, docs = after, corpus_pipeline.written(stages["personal_data"](spark, docs, sf_dir), "personal_data")
+    after = rows(docs)
+    assert [i for i, _ in after] == [i for i, _ in before] and docs.columns == columns
+    for (_, old), (_, new) in zip(before, after, strict=True):
+        assert brute_pii(new)[:4] == (0, 0, 0, 0) if brute_pii(old)[:4] != (0, 0, 0, 0) else True
+    got, own = collections.defaultdict(dict), Encoder(vocabulary())
+    for r in stages["packing"](spark, docs, sf_dir).collect():
+        got[r.doc_id][r.start] = bytes(r.input_ids)
+    assert {i: b"".join(x[s] for s in sorted(x)) for i, x in got.items()} == {i: own.encode([t])[0] + (2).to_bytes(4, "little") for i, t in after}
+
+
+def test_thin_evidence_flags_nothing():
+    y = np.array([1] * 5 + [0] * 60)
+    assert toxicity.best_threshold(np.linspace(1, 0, 65), y) < 1  # five of five: the lower bound is above a half
+    assert toxicity.best_threshold(np.concatenate([[0.9, 0.8], np.full(63, 0.1)]), np.array([1, 0] + [0] * 63)) == float("inf")
+    assert toxicity.best_threshold(np.array([0.2, 0.4]), np.array([1, 1])) == float("inf")
+
+
+def test_toxicity_of_few_labels(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.judge(docs, labels)
+    assert got.count() == docs.count() and got.where("toxic").count() <= 0.2 * docs.count()
+    one = labels.selectExpr("doc_id", "quality", "1 toxic")
+    assert toxicity.judge(docs, one).where("toxic").count() == 0
+    assert toxicity.judge(docs.limit(0), labels).count() == 0
 
 
 def test_null_and_large_ids(spark):
