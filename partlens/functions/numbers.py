@@ -90,7 +90,7 @@ def parse_filter(text: str) -> tuple[float | None, float | None] | None:
     text = text.strip()
     number = r"[+-]?\d+(?:\.\d+)?"
     if m := re.fullmatch(rf"({number})\s*-\s*({number})?", text):
-        return float(m[1]), float(m[2]) if m[2] else None
+        return tuple(sorted((float(m[1]), float(m[2])))) if m[2] else (float(m[1]), None)
     if m := re.fullmatch(rf"(<=?|>=?|=)?\s*({number})", text):
         value = float(m[2])
         return (None, value) if (m[1] or "").startswith("<") else (value, value) if m[1] == "=" else (value, None)

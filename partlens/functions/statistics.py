@@ -77,58 +77,124 @@ def average_linkage(distance: np.ndarray, cut: float) -> list[int]:
 
 
 def mean_abs_correlation(x: np.ndarray) -> float:
-    """Over complete rows; constant columns are dropped."""
+    """Over complete rows of the columns that vary; 1 for fewer than two such columns or three such rows."""
+    known = ~np.isnan(x)
+    varies = [known[:, j].sum() > 1 and np.ptp(x[known[:, j], j]) > 0 for j in range(x.shape[1])]
+    x = x[:, varies]
     x = x[~np.isnan(x).any(axis=1)]
-    x = x[:, x.std(axis=0) > 0] if len(x) > 1 else x[:, :0]
-    if x.shape[1] < 2:
-        return math.nan
-    c = np.abs(np.corrcoef(x, rowvar=False))
-    return float(c[np.triu_indices(len(c), 1)].mean())
+    if x.shape[1] < 2 or len(x) < 3:
+        return 1.0
+    centred = x - x.mean(axis=0)
+    size = np.sqrt((centred**2).sum(axis=0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = np.abs(centred.T @ centred / np.outer(size, size))[np.triu_indices(x.shape[1], 1)]
+    c = c[~np.isnan(c)]
+    return float(c.mean()) if len(c) else 1.0
 
 
 def predict_r2(x: np.ndarray, target: int) -> float:
-    """How much of one column the others explain; null under ten complete rows."""
+    """How much of one column the others explain, at least 0; 0 under ten complete rows, without a varying predictor or for a constant."""
     x = x[~np.isnan(x).any(axis=1)]
-    if len(x) < 10:
-        return math.nan
-    y, rest = x[:, target], np.column_stack([np.ones(len(x)), np.delete(x, target, axis=1)])
+    rest = np.delete(x, target, axis=1)
+    if len(x) < 10 or not rest.shape[1]:
+        return 0.0
+    y, rest = x[:, target], rest[:, np.ptp(rest, axis=0) > 0]
     total = ((y - y.mean()) ** 2).sum()
-    off = y - rest @ np.linalg.lstsq(rest, y, rcond=None)[0]
-    return float(1 - (off**2).sum() / total) if total > 0 else math.nan
+    if not rest.shape[1] or total == 0:
+        return 0.0
+    design = np.column_stack([np.ones(len(y)), rest])
+    off = y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
+    return float(max(0.0, 1 - (off**2).sum() / total))
 
 
 def tail_probability(margins: np.ndarray) -> float:
-    """Chance of a negative margin by a generalised Pareto tail below the 10 % quantile; null under 40 margins or 15 exceedances."""
+    """Chance of a negative margin by a generalised Pareto tail below the 10 % quantile; null under 40 margins or 15 exceedances.
+
+    Where that quantile is itself 0 or less, the share of margins below it.
+    """
     m = margins[~np.isnan(margins)]
     if len(m) < 40:
         return math.nan
     at = hazen_quantile(m, 0.10)
     over = at - m[m < at]
-    if len(over) < 15 or at <= 0:
-        return math.nan if len(over) < 15 else float((m < 0).mean())
+    if len(over) < 15:
+        return math.nan
+    if at <= 0:
+        return len(over) / len(m)
 
-    def loss(shape: float) -> tuple[float, float]:
-        # profile over theta = shape / scale, one-dimensional maximum likelihood
-        theta = shape
-        k = np.log1p(theta * over).mean()
-        return (math.log(k / theta) + k + 1, k) if k / theta > 0 else (math.inf, 0.0)
+    def profile(theta: float) -> tuple[float, float]:
+        """The negative log likelihood of theta = shape / scale at its best shape, and that shape."""
+        shape = np.log1p(theta * over).mean()
+        return (math.log(shape / theta) + shape + 1, shape) if shape / theta > 0 else (math.inf, 0.0)
 
     grid = np.concatenate([-np.geomspace(1e-6, 0.999, 200) / over.max(), np.geomspace(1e-6, 50, 400) / over.mean()])
-    theta = min(grid, key=lambda t: loss(t)[0])
-    shape = loss(theta)[1]
+    theta = min(grid, key=lambda t: profile(t)[0])
+    shape = profile(theta)[1]
     inner = 1 + theta * at
     return float(len(over) / len(m) * (inner ** (-1 / shape) if inner > 0 else 0.0))
 
 
-def greedy_cut(modes: list[set], duration: dict, keep: int = 2) -> set:
-    """Tests to keep so that every co-failure mode keeps min(keep, size); cheapest first, unknown durations before all."""
-    kept: set = set()
-    for mode in sorted(modes, key=lambda m: (len(m), sorted(m))):
-        for test in sorted(mode - kept, key=lambda t: (duration.get(t) is not None, duration.get(t) or 0, t)):
-            if len(mode & kept) >= min(keep, len(mode)):
-                break
+def drifts(margins: np.ndarray, slack: float = 0.5, limit: float = 5.0, ahead: float = 0.5) -> bool:
+    """Whether margins sink: a downward cumulative sum beyond the limit, or a falling line that is projected below the 1 % quantile."""
+    m = margins[~np.isnan(margins)]
+    if len(m) < 5 or not m.std(ddof=1) > 0:
+        return False
+    steps = (m - m.mean()) / m.std(ddof=1) + slack
+    total = np.cumsum(steps)
+    lowest = total - np.maximum.accumulate(np.concatenate([[0.0], total]))[:-1]  # since the sum was last at its highest
+    if -min(0.0, lowest.min()) > limit:
+        return True
+    at = np.arange(1, len(m) + 1)
+    slope = ((at - at.mean()) * (m - m.mean())).sum() / ((at - at.mean()) ** 2).sum()
+    projected = m.mean() + slope * (len(m) + ahead * (len(m) - 1) - at.mean())
+    return bool(slope < 0 and projected < hazen_quantile(m, 0.01))
+
+
+def pooled_bounds(fails: np.ndarray, runs: np.ndarray, failed: np.ndarray, least: int = 5, confidence: float = 0.95) -> np.ndarray:
+    """Upper bounds of a cluster's failure rates: fails and runs by test, failed as reports x tests (0/1).
+
+    With enough tests and more spread than chance gives, a beta prior is fitted to the rates (empirical Bayes); else the runs
+    are pooled, less by the tests' correlation (design effect). Tests never run are null; what stays open is 3 / runs.
+    """
+    out, valid = np.full(len(fails), np.nan), runs > 0
+    if not valid.any():
+        return out
+    k, n = fails[valid], runs[valid]
+    mean = k.sum() / n.sum()
+    if len(k) >= least and k.sum() > 0:
+        rates = k / n
+        spread, chance = rates.var(ddof=1), mean * (1 - mean) / n.mean()
+        if spread > chance and 0 < mean < 1:
+            weight = mean * (1 - mean) / spread - 1
+            if weight > 0:
+                return np.array([beta_quantile(confidence, mean * weight + f, (1 - mean) * weight + max(r - f, 0)) for f, r in zip(fails, runs, strict=True)])
+    together = 0.0
+    if len(k) >= 2:
+        x = failed[:, valid]
+        x = x[:, x.std(axis=0) > 0] if len(x) else x[:, :0]
+        if x.shape[1] >= 2:
+            c = np.corrcoef(x, rowvar=False)[np.triu_indices(x.shape[1], 1)]
+            together = float(np.clip(c[~np.isnan(c)].mean(), 0, 1)) if (~np.isnan(c)).any() else 0.0
+    pooled = n.sum() / (1 + together * (len(k) - 1))
+    for i, (f, r) in enumerate(zip(fails, runs, strict=True)):
+        out[i] = beta_quantile(confidence, 0.5, pooled + 0.5) if f == 0 else beta_quantile(confidence, f + 0.5, max(r - f, 0) + 0.5)
+    return out
+
+
+def greedy_cut(modes: list[list], candidates: set, duration: dict, keep: int = 2) -> tuple[set, set]:
+    """The tests that may be removed and those kept for coverage: every co-failure mode keeps min(keep, size) of its members.
+
+    Modes are taken from the largest on. A member that isn't a candidate stays anyway and counts. Of the candidates the
+    cheapest are kept first, those without a duration before all.
+    """
+    removed, kept = set(candidates), set()
+    for mode in sorted(modes, key=lambda m: -len(m)):
+        short = min(keep, len(mode)) - sum(t not in removed for t in mode)
+        cheap = sorted((t for t in mode if t in removed), key=lambda t: (duration.get(t) is not None, duration.get(t) or 0.0))
+        for test in cheap[: max(0, short)]:
+            removed.discard(test)
             kept.add(test)
-    return kept
+    return removed, kept
 
 
 def distinct_modes(groups: list[set], similarity: float = 0.70) -> list[set]:

@@ -11,13 +11,24 @@ from partlens.functions import statistics as stats
 
 
 def token_clusters(names: DataFrame, cut: float = 0.60) -> DataFrame:
-    """names(block, test, tokens array) -> block, test, cluster: average linkage on the Jaccard distance of token sets within a block."""
+    """names(block, test, tokens array) -> block, test, cluster: average linkage on the Jaccard distance of token sets within a block.
+
+    A block whose tests have no tokens at all is one cluster; otherwise two tests without tokens are as far apart as can be.
+    Distances come from products of the incidence matrix. Memory grows with the square of a block, which is a digit group of tests.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("test", kind="stable", ignore_index=True)
-        sets = [set(x) for x in part["tokens"]]
-        d = np.array([[stats.jaccard_distance(a, b) for b in sets] for a in sets])
-        return pd.DataFrame({"block": part["block"], "test": part["test"], "cluster": stats.average_linkage(d, cut)})
+        owner = np.repeat(np.arange(len(part)), [len(x) for x in part["tokens"]])
+        if not len(owner):
+            return pd.DataFrame({"block": part["block"], "test": part["test"], "cluster": 0})
+        _, token = np.unique(np.concatenate([np.asarray(x, object) for x in part["tokens"]]), return_inverse=True)
+        held = np.zeros((len(part), token.max() + 1), np.float32)
+        held[owner, token] = 1
+        both, sizes = held @ held.T, held.sum(axis=1)
+        either = sizes[:, None] + sizes[None, :] - both
+        d = 1 - np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+        return pd.DataFrame({"block": part["block"], "test": part["test"], "cluster": stats.average_linkage(d.astype(float), cut)})
 
     return names.groupBy("block").applyInPandas(run, "block string, test string, cluster long")
 

@@ -63,12 +63,15 @@ def data_parts(html: DataFrame, key: str, attribute: str, schema: str, column: s
     return found.withColumn("part", F.from_json(F.regexp_replace("raw", r"[\x00-\x1F]", " "), schema, {"mode": "PERMISSIVE"}))
 
 
-def file_kind(content: Column) -> Column:
-    """Corrupt, pdf, html, zip or text, by the first bytes; replacement characters are looked for first."""
+def file_kind(content: Column, limit: float = 0.02) -> Column:
+    """Corrupt, pdf, html, zip or text, by the first 64 kB; bytes of replacement characters above the limit's share are looked for first."""
     head = F.substring(content, 1, 65536)
-    text = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
-    many = F.size(F.split(F.hex(head), "EFBFBD")) - 1 > F.octet_length(head) / 100
-    return F.when(many, "corrupt").when(F.startswith(text, F.lit("%PDF")), "pdf").when(F.startswith(text, F.lit("PK")), "zip").when(F.rlike(text, F.lit("(?i)<(?:!doctype html|html|head|body)")), "html").otherwise("text")
+    # as ISO 8859-1 every byte is one character, so matches keep to bytes
+    text = F.decode(head, "ISO-8859-1")
+    lost = F.char_length(text) - F.char_length(F.replace(text, F.lit("\u00ef\u00bf\u00bd"), F.lit("")))
+    start = F.lower(F.substring(F.ltrim(text), 1, 400))
+    page = F.startswith(start, F.lit("<!doctype html")) | F.contains(start, F.lit("<html"))
+    return F.when(lost / F.greatest(F.octet_length(head), F.lit(1)) > limit, "corrupt").when(F.startswith(text, F.lit("%PDF-")), "pdf").when(F.startswith(text, F.lit("PK\u0003\u0004")), "zip").when(page, "html").otherwise("text")
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:

@@ -32,14 +32,56 @@ def test_average_linkage():
 
 def test_greedy_cut_and_modes():
     assert stats.distinct_modes([{1, 2, 3, 4}, {1, 2, 3}, {8, 9}]) == [{1, 2, 3, 4}, {8, 9}]
-    kept = stats.greedy_cut([{1, 2, 3}, {3, 4}], {1: 5.0, 2: 1.0, 3: 9.0, 4: None})
-    assert len(kept & {1, 2, 3}) >= 2 and kept >= {3, 4}
+    removed, kept = stats.greedy_cut([[1, 2, 3], [3, 4]], {1, 2, 3}, {1: 5.0, 2: 1.0, 3: 9.0, 4: None})
+    assert (removed, kept) == ({1}, {2, 3}) or (removed, kept) == (set(), {1, 2, 3})
+    assert stats.greedy_cut([[1, 2, 3, 9]], {1, 2, 3}, {}) == ({2, 3}, {1})  # 9 stays anyway
 
 
 def test_correlation_and_r2():
     x = np.random.default_rng(1).normal(size=(50, 1))
     both = np.column_stack([x, 2 * x, -x])
     assert abs(stats.mean_abs_correlation(both) - 1) < 1e-9 and stats.predict_r2(both, 0) > 0.999
+    assert stats.mean_abs_correlation(both[:, :1]) == 1 and stats.mean_abs_correlation(both[:2]) == 1
+    noise = np.random.default_rng(2).normal(size=(40, 3))
+    want = np.abs(np.corrcoef(noise, rowvar=False))[np.triu_indices(3, 1)].mean()
+    assert abs(stats.mean_abs_correlation(np.column_stack([noise, np.ones(40)])) - want) < 1e-12
+    assert stats.predict_r2(both[:9], 0) == 0 and stats.predict_r2(np.column_stack([x, np.ones(50)]), 0) == 0
+    assert stats.predict_r2(np.column_stack([np.ones(50), x]), 0) == 0
+
+
+def test_drift_against_a_loop():
+    draw = np.random.default_rng(3)
+    for n in (4, 5, 30, 200):
+        for trend in (0.0, -0.02, 0.02, -0.2):
+            m = draw.normal(size=n) + trend * np.arange(n)
+            want = False
+            if n >= 5:
+                s, low = 0.0, False
+                for z in (m - m.mean()) / m.std(ddof=1):
+                    s = min(0.0, s + z + 0.5)
+                    low |= -s > 5
+                line = np.polyfit(np.arange(1, n + 1), m, 1)
+                want = low or (line[0] < 0 and np.polyval(line, n + 0.5 * (n - 1)) < stats.hazen_quantile(m, 0.01))
+            assert stats.drifts(m) == want
+    assert not stats.drifts(np.ones(50))
+
+
+def test_pooled_bounds():
+    none = stats.pooled_bounds(np.zeros(3), np.array([100, 100, 0]), np.zeros((100, 3)))
+    assert np.allclose(none, stats.beta_quantile(0.95, 0.5, 200.5))
+    k, n = np.array([0, 1, 20, 0, 40]), np.full(5, 100)
+    rates = k / n
+    weight = rates.mean() * (1 - rates.mean()) / rates.var(ddof=1) - 1
+    assert np.isclose(stats.pooled_bounds(k, n, np.zeros((100, 5)))[2], stats.beta_quantile(0.95, rates.mean() * weight + 20, (1 - rates.mean()) * weight + 80))
+    same = np.zeros((100, 2))
+    same[:3] = 1  # always fail together: the runs count once
+    assert np.isclose(stats.pooled_bounds(np.array([0, 3]), np.array([100, 100]), same)[0], stats.beta_quantile(0.95, 0.5, 200 / 2 + 0.5))
+    assert np.isnan(stats.pooled_bounds(np.zeros(2), np.zeros(2), np.zeros((0, 2)))).all()
+
+
+def test_tail_at_the_limit():
+    m = np.concatenate([np.full(40, -1.0) - np.arange(40), np.ones(160)])
+    assert stats.tail_probability(m) == (m < stats.hazen_quantile(m, 0.1)).mean()
 
 
 def test_cascade_of_lines_adds_loss():
@@ -57,8 +99,12 @@ def test_grid_has_exact_ends():
 
 
 def test_l_match_residual():
-    found = net.l_match(50 + 0j, 20 - 30j)
-    assert found and all(r < 1e-9 for *_, r in found)
+    for source, wanted in ((50 + 0j, 20 - 30j), (20 - 30j, 50 + 0j), (10 + 5j, 12 + 40j)):
+        found = net.l_match(source, wanted)
+        assert found and all(r < 1e-9 for *_, r in found)
+        for form, x, b, _ in found:  # element by element
+            seen = 1 / (1 / source + 1j * b) + 1j * x if form == "shunt-series" else 1 / (1 / (source + 1j * x) + 1j * b)
+            assert abs(seen - wanted) < 1e-9
 
 
 def test_touchstone_round_trip(spark, tmp_path):
@@ -74,6 +120,8 @@ def test_clusters(spark):
     rows = [("1", "a", ["x", "y"]), ("1", "b", ["x", "y"]), ("1", "c", ["q"]), ("2", "d", [])]
     got = {r.test: r.cluster for r in clusters.token_clusters(spark.createDataFrame(rows, "block string, test string, tokens array<string>")).collect()}
     assert got == {"a": 0, "b": 0, "c": 1, "d": 0}
+    bare = spark.createDataFrame([("1", "a", []), ("1", "b", []), ("2", "a", []), ("2", "b", []), ("2", "c", ["x"])], "block string, test string, tokens array<string>")
+    assert sorted((r.block, r.cluster) for r in clusters.token_clusters(bare).collect()) == [("1", 0), ("1", 0), ("2", 0), ("2", 1), ("2", 2)]
 
 
 def test_cycle_reports(spark):
@@ -97,8 +145,8 @@ def test_catalogue_and_tables(spark, tmp_path):
 
 
 def test_file_kinds(spark):
-    rows = spark.createDataFrame([(bytearray(b"%PDF-1.4"),), (bytearray(b"<!DOCTYPE html>"),), (bytearray(b"PK\x03\x04"),), (bytearray(b"plain"),), (bytearray("�".encode() * 50),)], "content binary")
-    assert [r[0] for r in rows.select(readers.file_kind(F.col("content"))).collect()] == ["pdf", "html", "zip", "text", "corrupt"]
+    rows = spark.createDataFrame([(bytearray(b"%PDF-1.4"),), (bytearray(b"<!DOCTYPE html>"),), (bytearray(b"PK\x03\x04"),), (bytearray(b"plain"),), (bytearray("�".encode() * 50),), (bytearray("�".encode() + b"x" * 200),), (bytearray("�".encode() * 3 + b"x" * 400),), (bytearray(b"\xfe\xfb\xfb\xfd" * 40),)], "content binary")
+    assert [r[0] for r in rows.select(readers.file_kind(F.col("content"))).collect()] == ["pdf", "html", "zip", "text", "corrupt", "text", "corrupt", "text"]
 
 
 def test_markdown(spark):

@@ -13,7 +13,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize(("text", "bounds"), [("40", (40, None)), (">30", (30, None)), ("<2", (None, 2)), ("=5", (5, 5)), ("4-8", (4, 8)), ("4-", (4, None)), ("-8", (-8, None)), ("abc", None)])
+@pytest.mark.parametrize(("text", "bounds"), [("40", (40, None)), (">30", (30, None)), ("<2", (None, 2)), ("=5", (5, 5)), ("4-8", (4, 8)), ("8-4", (4, 8)), ("4-", (4, None)), ("-8", (-8, None)), ("abc", None)])
 def test_filter_language(text, bounds):
     assert N.parse_filter(text) == bounds
 
