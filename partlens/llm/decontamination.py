@@ -1,18 +1,22 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
-Both sides hash every run of `gram` words and keep the least hash of each window of `length - gram + 1` runs
-(the leftmost of equal ones). A span of `length` words holds exactly such a window, so every shared span of
-that length shares a kept hash. Kept hashes of the documents are looked up in a hash table of the benchmark's,
-hits are aligned and each window around a hit is compared word by word, so a collision never counts.
-
-The benchmark's table is bounded: items are dealt into blocks of about `block_words` words, each block's table is
-a literal of the plan, and the documents are taken through the blocks one after the other within the same row.
-Nothing is shuffled, no document meets another. Items shorter than a window are whole windows; they are found
-by a hash of their first word and compared as well.
+1. Both sides hash every run of `gram` words and keep the least hash of each window of `length - gram + 1` runs
+   (the leftmost of equal ones). A span of `length` words holds exactly such a window, so every shared span of
+   that length shares a kept hash.
+2. Kept hashes of the documents are joined with the distinct kept hashes of the benchmark. Hits are gathered by text (a
+   128-bit hash of it stands for the text, so copies are one).
+3. Hits are extended: each window of `length` words around a hit is joined, word by word, with the windows of the items, so a
+   collision never counts. What is met covers the document's words and names the items.
+
+Items shorter than a window are whole windows; they are found by their first word and extended in the same way.
+Joins broadcast the smaller side only where its counted rows are at most BROADCAST; otherwise both sides are shuffled. A place of
+a document meets distinct windows, not places of items, so texts that repeat one word cost no more than others.
 
 Null texts and texts without words have no words and no hits; items without words have no windows; repeated
 items count once by item_id; items without an item_id count like others, but no name stands for them in item_ids;
-an empty benchmark leaves every document clean.
+an empty benchmark leaves every document clean; an empty table gives no rows; repeated documents have the same result each;
+texts of any length are taken whole (places have 31 bits, as many as an array can have); columns other than doc_id and text are
+ignored, whatever their names, and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -20,16 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import WORD, let, words, written
 
 #: A kept hash and its place in one number: the place in the lower bits.
-PLACE_BITS = 26
+PLACE_BITS = 31
 PLACES = (1 << PLACE_BITS) - 1
+#: Rows up to which a side of a join is broadcast: at most about 30 MB.
+BROADCAST = 200_000
 
 
 def _hash(parts: list[Column]) -> Column:
-    """37 bits of a hash of some words."""
-    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 37) - 1))
+    """32 bits of a hash of some words."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 32) - 1))
 
 
 def _grams(w: Column, gram: int) -> Column:
@@ -50,108 +56,82 @@ def _kept(grams: Column, window: int) -> Column:
     return let(grams, least)
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
-    """The items' words (item_id, w) in blocks."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    sums = items.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)), F.count("*")).first()
-    count = max(1, -(-sums[0] // block_words)) if sums[1] else 0
-    return [items.where(F.expr(f"pmod(xxhash64(coalesce(item_id, array_join(w, ' '))), {count})") == b) for b in range(count)]
-
-
-def _index(block: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row: the items' names and words by number, their kept hashes and the first words of short ones, by slot."""
-    window = length - gram + 1
-    listed = block.agg(F.array_sort(F.collect_set(F.struct("item_id", "w"))).alias("items"))
-    long_part = F.flatten(F.transform("items", lambda x, n: F.when(F.size(x["w"]) >= length, F.transform(_kept(_grams(x["w"], gram), window), lambda v: F.struct(F.shiftright(v, PLACE_BITS).alias("h"), n.alias("item"), v.bitwiseAND(F.lit(PLACES)).cast("int").alias("place")))).otherwise(F.array().cast(ENTRY))))
-    short_part = F.flatten(F.transform("items", lambda x, n: F.when(F.size(x["w"]) < length, F.array(F.struct(_hash([F.get(x["w"], F.lit(0))]).alias("h"), n.alias("item"), F.lit(0).alias("place")))).otherwise(F.array().cast(ENTRY))))
-    entries = listed.select("items", long_part.alias("long"), short_part.alias("short"))
-    return entries.withColumn("slots", F.greatest(F.lit(1), F.size("long") * 2, F.size("short") * 2))
-
+def _key(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(whole).alias("_k1"), F.xxhash64(F.lit(7), whole).alias("_k2")]
 
-ENTRY = "array<struct<h:bigint,item:int,place:int>>"
-INDEX = f"items array<struct<item_id:string,w:array<string>>>, long array<{ENTRY}>, short array<{ENTRY}>"
 
+def _joined(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
+    return left.join(F.broadcast(right) if rows <= BROADCAST else right, on, how)
 
-def _slotted(entries: DataFrame, column: str) -> DataFrame:
-    """The entries of one column as an array by slot; empty without entries."""
-    one = entries.select(F.explode(column).alias("e"), "slots").groupBy((F.col("e.h") % F.col("slots")).cast("int").alias("slot")).agg(F.collect_list("e").alias("all"))
-    full = entries.where(F.size(column) > 0).select(F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")).join(one, "slot", "left")
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("all", F.array().cast(ENTRY)).alias("all")))), lambda x: x["all"]).alias(column))
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, w: the words of the items that have any."""
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
 
-def _literal(block: DataFrame, length: int, gram: int) -> tuple[Column, bool, bool]:
-    """The block's index as a literal, and whether it has long and short items. Its size is bounded by the block's."""
-    entries = _index(block, length, gram)
-    row = entries.select("items").join(_slotted(entries, "long")).join(_slotted(entries, "short")).select(F.size("long") > 0, F.size("short") > 0, F.to_json(F.struct("items", "long", "short"))).first()
-    return F.from_json(F.lit(row[2]), INDEX), row[0], row[1]
 
+def _windows(items: DataFrame, length: int) -> DataFrame:
+    """phrase, item_id: the distinct windows of the items."""
+    size = F.least(F.size("w"), F.lit(length))
+    phrases = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))
+    return items.select("item_id", F.explode(F.array_distinct(phrases)).alias("phrase")).distinct()
 
-def finder(benchmark: DataFrame, length: int = 10, gram: int = 5, block_words: int = 50_000):
-    """words -> distinct (start, length, item_id) of the benchmark's windows that occur, by start; item_id is null for items without one.
 
-    Everything is bound with let(), so the optimiser can move the expression without computing parts of it again.
-    """
+def _hits(texts: DataFrame, items: DataFrame, length: int, gram: int) -> DataFrame:
+    """_k1, _k2, places: where a text (_k1, _k2, w) has a kept hash of the benchmark (size 0) or the first word of a short item (its size)."""
     window = length - gram + 1
-    none = F.array().cast("array<struct<start:int,length:int,item_id:string>>")
-    tables = [_literal(block, length, gram) for block in _blocks(benchmark, block_words)]
-
-    def long_hits(w: Column, kept: Column, index: Column) -> Column:
-        items, table = index["items"], index["long"]
-
-        def lookup(v: Column) -> Column:
-            h = F.shiftright(v, PLACE_BITS)
-            same = F.filter(F.get(table, (h % F.size(table)).cast("int")), lambda e: e["h"] == h)
-            return F.transform(same, lambda e: F.struct(e["item"].alias("item"), e["place"].alias("place"), v.bitwiseAND(F.lit(PLACES)).cast("int").alias("at")))
-
-        def windows(hit: Column) -> Column:
-            own, shift = F.get(items, hit["item"])["w"], hit["at"] - hit["place"]
-            first, last = F.greatest(hit["place"] - (window - 1), F.lit(0)), F.least(hit["place"], F.size(own) - length)
-            fits = F.filter(F.sequence(first, last), lambda s: (s + shift >= 0) & (F.slice(w, F.greatest(s + shift, F.lit(0)) + 1, length) == F.slice(own, s + 1, length)))
-            return F.transform(fits, lambda s: F.struct((s + shift).alias("start"), F.lit(length).alias("length"), F.get(items, hit["item"])["item_id"].alias("item_id")))
-
-        return let(F.flatten(F.transform(kept, lookup)), lambda found: F.when(F.size(found) > 0, F.flatten(F.transform(found, windows))).otherwise(none))
-
-    def short_hits(w: Column, index: Column) -> Column:
-        items, firsts = index["items"], index["short"]
-        own = lambda e: F.get(items, e["item"])["w"]
-
-        def whole(word: Column, at: Column) -> Column:
-            h = _hash([word])
-            fits = F.filter(F.get(firsts, (h % F.size(firsts)).cast("int")), lambda e: (e["h"] == h) & (F.slice(w, at + 1, F.size(own(e))) == own(e)))
-            return F.transform(fits, lambda e: F.struct(at.alias("start"), F.size(own(e)).alias("length"), F.get(items, e["item"])["item_id"].alias("item_id")))
-
-        return F.flatten(F.transform(w, whole))
-
-    def find(w: Column) -> Column:
-        return let(w, bound)
-
-    def bound(w: Column) -> Column:
-        parts = [short_hits(w, index) for index, _, short in tables if short]
-        if any(has_long for _, has_long, _ in tables):
-            kept = _kept(_grams(w, gram), window)
-            parts.append(let(kept, lambda k: F.concat(none, *(long_hits(w, k, index) for index, has_long, _ in tables if has_long))))
-        return F.array_sort(F.array_distinct(F.concat(none, *parts)))
-
-    return find
+    numbers = lambda w: _kept(_grams(w, gram), window)
+    index = written(items.where(F.size("w") >= length).select(F.explode(numbers(F.col("w"))).alias("v")).select(F.shiftright("v", PLACE_BITS).alias("h")).distinct(), "index")
+    kept = texts.select("_k1", "_k2", F.explode(numbers(F.col("w"))).alias("v"))
+    kept = kept.select("_k1", "_k2", F.shiftright("v", PLACE_BITS).alias("h"), F.col("v").bitwiseAND(F.lit(PLACES)).cast("int").alias("at"))
+    found = _joined(kept, index, ["h"], index.count()).select("_k1", "_k2", F.struct("at", F.lit(0).alias("size")).alias("place"))
+    firsts = written(items.where(F.size("w") < length).select(F.get("w", F.lit(0)).alias("word"), F.size("w").alias("size")).distinct(), "firsts")
+    if short := firsts.count():
+        every = texts.select("_k1", "_k2", F.posexplode("w").alias("at", "word"))
+        found = found.union(_joined(every, firsts, ["word"], short).select("_k1", "_k2", F.struct("at", "size").alias("place")))
+    return found.groupBy("_k1", "_k2").agg(F.collect_set("place").alias("places"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, length: int, gram: int) -> tuple[DataFrame, int]:
+    """_k1, _k2, windows (start, length; by start), item_ids (sorted) of the texts that hold a window, and the number of rows."""
+    items = _items(benchmark)
+    texts = docs.select(*_key(F.col("text")), words(F.col("text").cast("string")).alias("w"))
+    hits = written(_hits(texts, items, length, gram), "hits")
+    around = lambda p: F.when(p["size"] > 0, F.array(F.struct(p["at"].alias("start"), p["size"].alias("length")))).otherwise(
+        F.transform(F.sequence(F.greatest(p["at"] - (length - gram), F.lit(0)), p["at"]), lambda s: F.struct(s.alias("start"), F.lit(length).alias("length")))
+    )
+    weight = hits.agg(F.coalesce(F.sum(F.size("places") + 4), F.lit(0))).first()[0]
+    met = _joined(docs.select(*_key(F.col("text")), F.col("text").cast("string").alias("_text")), hits, ["_k1", "_k2"], weight)
+    tried = lambda w: F.transform(
+        F.filter(F.array_distinct(F.flatten(F.transform("places", around))), lambda x: x["start"] + x["length"] <= F.size(w)),
+        lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.array_join(F.slice(w, x["start"] + 1, x["length"]), " ").alias("phrase")),
+    )
+    tried_rows = met.select("_k1", "_k2", F.explode(let(words(F.col("_text")), tried)).alias("x")).select("_k1", "_k2", "x.start", "x.length", "x.phrase")
+    windows = written(_windows(items, length), "windows")
+    same = _joined(tried_rows, windows, ["phrase"], windows.count())
+    found = same.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("windows"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    found = written(found, "found")
+    return found, found.agg(F.coalesce(F.sum(F.size("windows") + F.size("item_ids") + 4), F.lit(0))).first()[0]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram: int = 5) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside windows that occur), item_ids (sorted) and the windows."""
-    find = finder(benchmark, length, gram)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(words(F.col("text").cast("string")), lambda w: F.struct(F.size(w).alias("n"), find(w).alias("hits"))).alias("_found"))
-    found = found.select("doc_id", F.col("_found.n").alias("n"), F.col("_found.hits").alias("_hits"))
+    found, weight = _found(docs, benchmark, length, gram)
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
     def grow(acc: Column, x: Column) -> Column:
         end = x["start"] + x["length"]
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["start"])).cast("long")).alias("n"))
 
-    covered = F.when(F.size("_hits") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("_hits", start, grow, lambda acc: acc["n"]))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("_hits", lambda x: x["item_id"]), lambda x: x.isNotNull())))
-    return found.select("doc_id", F.col("n").cast("long").alias("n_words"), covered.alias("n_hit"), ids.alias("item_ids"), F.col("_hits").alias("windows"))
+    found = found.withColumn("n_hit", F.aggregate("windows", start, grow, lambda acc: acc["n"]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"), *_key(F.col("text")))
+    none = F.array().cast("array<string>")
+    return _joined(rows, found, ["_k1", "_k2"], weight, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("windows", F.array().cast("array<struct<start:int,length:int>>")).alias("windows"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram: int = 5) -> DataFrame:
     """The documents without any benchmark window, with the columns they had."""
-    find = finder(benchmark, length, gram)
-    return docs.where(let(words(F.col("text").cast("string")), lambda w: F.size(find(w)) == 0))
+    found, weight = _found(docs, benchmark, length, gram)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *_key(F.col("text")))
+    return _joined(rows, found.select("_k1", "_k2"), ["_k1", "_k2"], weight, "left_anti").select("_row.*")
