@@ -31,6 +31,37 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Elements that are combined one after the other; appending to an array copies it, so longer arrays are taken in blocks.
+RUN = 64
+
+
+def running(values: Column, kind: str, combine) -> Column:
+    """For each element of an array its combination with all before it; `combine` has to be associative. About linear in the size."""
+    none, nothing = F.array().cast(f"array<{kind}>"), F.lit(None).cast(kind)
+
+    def run(block: Column) -> Column:
+        def step(acc: Column, v: Column) -> Column:
+            now = F.when(acc["last"].isNull(), v).otherwise(combine(acc["last"], v))
+            return F.struct(now.alias("last"), F.array_append(acc["out"], now).alias("out"))
+
+        return F.aggregate(block, F.struct(nothing.alias("last"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def joined(own: Column) -> Column:
+        ends = run(F.transform(own, lambda o: F.element_at(o, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(own, lambda o, i: F.when(i == 0, o).otherwise(F.transform(o, lambda v: combine(F.get(e, i - 1), v))))))
+
+    def blocks(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda i: F.slice(v, i * RUN + 1, RUN))
+        return let(F.transform(cut, run), joined)
+
+    return let(values, lambda v: F.when(F.size(v) <= RUN, run(v)).otherwise(blocks(v)))
+
+
+def before(totals: Column, i: Column, zero: int = 0) -> Column:
+    """What a running combination was before place i."""
+    return F.when(i == 0, F.lit(zero)).otherwise(F.get(totals, i - 1))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, gets one of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)

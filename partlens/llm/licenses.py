@@ -21,7 +21,7 @@ from re import _parser as syntax
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, let, words
+from .common import GAP, WORD, before, let, running, words
 
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -201,13 +201,9 @@ def spans(line: Column, pattern: Column) -> Column:
     """The word intervals (stop excluded) of a pattern's matches in blank-joined words with a blank at both ends."""
 
     def walk(found: Column, between: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            first = acc["seen"] + _blanks(F.get(between, i))
-            last = first + _blanks(F.get(found, i))
-            return F.struct(last.alias("seen"), F.array_append(acc["out"], F.struct((first - 1).alias("start"), last.alias("stop"))).cast(SPANS).alias("out"))
-
-        start = F.struct(F.lit(0).alias("seen"), F.array().cast(SPANS).alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
+        steps = F.transform(found, lambda v, i: _blanks(v) + _blanks(F.get(between, i)))
+        one = lambda stops: lambda v, i: F.struct((F.get(stops, i) - _blanks(v) - 1).alias("start"), F.get(stops, i).alias("stop"))
+        return let(running(steps, "int", lambda x, y: x + y), lambda stops: F.transform(found, one(stops)).cast(SPANS))
 
     found = F.regexp_extract_all(line, pattern, F.lit(0))
     return let(found, lambda m: F.when(F.size(m) == 0, F.array().cast(SPANS)).otherwise(let(F.split(line, pattern, -1), lambda p: walk(m, p))))
@@ -215,16 +211,13 @@ def spans(line: Column, pattern: Column) -> Column:
 
 def _unsuppressed(found: Column) -> Column:
     """Detections (start, back = -stop, priority, label, confidence), ordered, without those inside an earlier one of no lower priority."""
-    kept = "array<struct<start:int,back:int,priority:int,label:string,confidence:double>>"
+    ends = lambda own, p: running(F.transform(own, lambda d: F.when(d["priority"] <= p, -d["back"]).otherwise(-1)), "int", F.greatest)
 
-    def step(acc: Column, d: Column) -> Column:
-        stop = -d["back"]
-        over = F.when(d["priority"] == 1, acc["e1"]).when(d["priority"] == 2, F.greatest(acc["e1"], acc["e2"])).otherwise(F.greatest(acc["e1"], acc["e2"], acc["e3"]))
-        ends = [F.when(d["priority"] == p, F.greatest(acc[f"e{p}"], stop)).otherwise(acc[f"e{p}"]).alias(f"e{p}") for p in (1, 2, 3)]
-        return F.struct(*ends, F.when(over >= stop, acc["out"]).otherwise(F.array_append(acc["out"], d)).cast(kept).alias("out"))
+    def kept(own: Column, reach: Column) -> Column:
+        over = lambda d, i: before(F.get(reach, d["priority"] - 1), i, -1)
+        return F.filter(own, lambda d, i: over(d, i) < -d["back"])
 
-    start = F.struct(*(F.lit(-1).alias(f"e{p}") for p in (1, 2, 3)), F.array().cast(kept).alias("out"))
-    return F.aggregate(F.array_sort(found), start, step, lambda acc: acc["out"])
+    return let(F.array_sort(found), lambda own: let(F.array(*(ends(own, p) for p in (1, 2, 3))), lambda reach: kept(own, reach)))
 
 
 def detect(docs: DataFrame, prefilter: bool = True) -> DataFrame:

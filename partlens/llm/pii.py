@@ -13,7 +13,9 @@ pattern-instance graph is a table of distinct edges in shared storage, so a line
 is one edge each; long instances and shapes stand in it by their hash. Occurrences of accepted instances outside
 base spans are added as kind `id`; those of under 6 signs only where they are assigned to a credential.
 
-Null texts are empty and have no spans; repeated rows have the same spans; positions are code points, ends exclusive.
+Null texts are empty and have no spans; an empty table gives no rows; repeated rows have the same spans; positions are
+code points, ends exclusive. The work on a text grows with its length and its number of spans, not with their product.
+Columns other than doc_id and text are ignored by `find`, whatever their names, and kept by `mask`.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, let, written
+from .common import RUN, before, dropped, let, running, written
 
 #: Kinds in order: name, sign that a text must hold, expression. Possessive loops and looks behind keep them linear.
 KINDS = [
@@ -41,6 +43,9 @@ TOKEN = rf"(?:(?<![A-Za-z0-9_@+/=.-])|(?<=(?i:{CREDENTIAL})=))[A-Za-z_@+/.-]*+{E
 CREDENTIALS = rf"{CREDENTIAL}\s*(?:=|:|=>)\s*[\"']?$|=$"
 SPAN = "array<struct<start:int,stop:int,kind:int,value:string>>"
 SEEN = "array<struct<start:int,stop:int,kind:int,value:string,before:string>>"
+TOKENS = "array<struct<start:int,stop:int,value:string,before:string,inside:boolean>>"
+#: Parts that the edges of a value or pattern, and the places of a value, are dealt into.
+PARTS = 64
 
 
 def _spans(text: Column, pattern: str, kind: int, context: bool = False) -> Column:
@@ -48,15 +53,12 @@ def _spans(text: Column, pattern: str, kind: int, context: bool = False) -> Colu
     none = F.array().cast(SEEN)
 
     def walk(found: Column, between: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.char_length(F.get(between, i))
-            stop = start + F.char_length(F.get(found, i))
-            before = F.right(F.get(between, i), F.lit(60)) if context else F.lit("")
-            one = F.struct(start.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), F.get(found, i).alias("value"), before.alias("before"))
-            return F.struct(stop.alias("at"), F.array_append(acc["out"], one).cast(SEEN).alias("out"))
-
-        first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda acc: acc["out"])
+        steps = F.transform(found, lambda v, i: F.char_length(v) + F.char_length(F.get(between, i)))
+        one = lambda stops: lambda v, i: F.struct(
+            (F.get(stops, i) - F.char_length(v)).alias("start"), F.get(stops, i).alias("stop"), F.lit(kind).alias("kind"), v.alias("value"),
+            (F.right(F.get(between, i), F.lit(60)) if context else F.lit("")).alias("before"),
+        )
+        return let(running(steps, "int", lambda x, y: x + y), lambda stops: F.transform(found, one(stops)).cast(SEEN))
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda p: walk(m, p))))
@@ -105,6 +107,29 @@ def _shape(value: Column) -> Column:
     return F.when(F.rlike(value, F.lit("^[0-9a-fA-F]{16,}$")) & F.rlike(value, F.lit("[a-fA-F]")), F.concat(F.lit("hex"), F.char_length(value).cast("string"))).otherwise(plain)
 
 
+def _tokens(found: Column, base: Column) -> Column:
+    """The tokens without the sentence's signs, and whether each overlaps a base span.
+
+    One does if, of the base spans that start before its end, one ends after its start: their ends' running maximum, by position.
+    """
+    trimmed = F.transform(found, lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.char_length(_trimmed(t["value"]))).alias("stop"), _trimmed(t["value"]).alias("value"), t["before"].alias("before")))
+    none = F.array().cast(TOKENS)
+
+    def marked(t: Column) -> Column:
+        events = F.array_sort(F.concat(F.transform(t, lambda x: F.struct(x["stop"].alias("at"), F.lit(0).alias("base"), F.lit(-1).alias("end"))), F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["stop"].alias("end")))))
+        return let(events, lambda e: let(running(F.transform(e, lambda x: x["end"]), "int", F.greatest), lambda ends: let(_where(e, ends), lambda own: told(t, own))))
+
+    def _where(events: Column, ends: Column) -> Column:
+        pairs = F.transform(events, lambda x, i: F.struct(x["base"].alias("base"), F.get(ends, i).alias("end")))
+        return F.filter(pairs, lambda x: x["base"] == 0)
+
+    def told(t: Column, own: Column) -> Column:
+        return F.transform(t, lambda x, i: F.struct(x["start"], x["stop"], x["value"], x["before"], F.get(own, i)["end"] > x["start"])).cast(TOKENS)
+
+    plain = lambda t: F.transform(t, lambda x: F.struct(x["start"], x["stop"], x["value"], x["before"], F.lit(False))).cast(TOKENS)
+    return F.when(F.size(found) == 0, none).otherwise(let(trimmed, lambda t: F.when(F.size(base) == 0, plain(t)).otherwise(marked(t))))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """One scan of all texts: doc_id, key of the text, base spans, and identifier-like tokens with what stands before them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
@@ -112,7 +137,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     text, none = F.col("_text"), F.array().cast(SEEN)
     fits = lambda s: (s["stop"] - s["start"] >= 6) | _assigned(s["before"])
     tokens = F.filter(_spans(text, TOKEN, len(KINDS), context=True), fits)
-    return rows.select("doc_id", "text_key", F.coalesce(F.when(text.isNotNull(), base_spans(text)), none).alias("base"), F.coalesce(F.when(text.isNotNull(), tokens), none).alias("tokens"))
+    found = let(base_spans(text), lambda b: F.struct(b.alias("base"), let(tokens, lambda t: _tokens(t, b)).alias("tokens")))
+    rows = rows.select("doc_id", "text_key", F.when(text.isNotNull(), found).alias("f"))
+    return rows.select("doc_id", "text_key", F.coalesce("f.base", none).alias("base"), F.coalesce("f.tokens", F.array().cast(TOKENS)).alias("tokens"))
 
 
 def _assigned(before: Column) -> Column:
@@ -129,26 +156,35 @@ def _trimmed(token: Column) -> Column:
     return F.regexp_replace(token, r"[.=/+-]+$", "")
 
 
+def _part(column: str) -> Column:
+    return F.expr(f"pmod(xxhash64({column}), {PARTS})")
+
+
 def discover(scan: DataFrame, support: int = 3, pattern_share: float = 0.7, accept: float = 0.8) -> DataFrame:
-    """value: the keys of the accepted instances once no round adds any."""
-    seen = scan.select(F.explode("tokens").alias("t"), "base").select(_trimmed(F.col("t.value")).alias("value"), F.col("t.before").alias("before"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), "base")
-    inside = F.exists("base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"]))
-    seed = inside | _assigned(F.col("before"))
+    """value: the keys of the accepted instances once no round adds any.
+
+    A value's edges are dealt into parts by their pattern, a pattern's by their value; what is known of either goes to
+    (itself, part), so neither a hot value nor a hot pattern ends in one task.
+    """
+    seen = scan.select(F.explode("tokens").alias("t")).select("t.value", "t.before", (F.col("t.inside") | _assigned(F.col("t.before"))).alias("seed"))
     tail = F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace("before", "[0-9]", "9")), r"\s+", " ")), " ")
     last = F.when(F.size(tail) >= 1, F.element_at(tail, -1)).otherwise("")
     two = F.concat_ws(" ", F.when(F.size(tail) >= 2, F.element_at(tail, -2)).otherwise(""), last)
     shape = _key(_shape(F.col("value")))
-    edges = seen.where((F.char_length("value") >= 6) | seed).select(_key(F.col("value")).alias("value"), seed.cast("int").alias("seed"), F.explode(F.array(F.concat(F.lit("before "), two), F.concat(F.lit("shape "), shape), F.concat_ws(" ", F.lit("both"), last, shape))).alias("pattern"))
-    edges = written(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "edges")
-    accepted = written(edges.where("seed = 1").select("value").distinct(), "accepted")
+    edges = seen.where((F.char_length("value") >= 6) | F.col("seed")).select(_key(F.col("value")).alias("value"), F.col("seed").cast("int").alias("seed"), F.explode(F.array(F.concat(F.lit("before "), two), F.concat(F.lit("shape "), shape), F.concat_ws(" ", F.lit("both"), last, shape))).alias("pattern"))
+    edges = written(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")).withColumn("by_value", _part("pattern")).withColumn("by_pattern", _part("value")), "edges")
+    of_value, of_pattern = edges.select("value", "by_value").distinct(), edges.select("pattern", "by_pattern").distinct()
+    seeds = edges.where("seed = 1").select("value")
+    accepted = written(seeds.distinct(), "accepted")
     before, count = -1, accepted.count()
     while before < count:
-        marked = edges.join(accepted.withColumn("good", F.lit(1)), "value", "left")
-        patterns = marked.groupBy("pattern").agg(F.count("*").alias("n"), F.count("good").alias("good")).where(f"good >= {support} AND good >= {pattern_share} * n")
-        patterns = patterns.select("pattern", (F.col("good") / (F.col("n") + 1)).alias("confidence"))
-        scores = edges.join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.ln(1 - F.col("confidence"))))).alias("confidence"))
-        last, accepted = accepted, written(scores.where(f"confidence >= {accept}").select("value").union(edges.where("seed = 1").select("value")).distinct(), "accepted")
-        dropped(last)
+        good = of_value.join(accepted, "value").withColumn("good", F.lit(1))
+        marked = edges.join(good, ["value", "by_value"], "left")
+        patterns = marked.groupBy("pattern", "by_pattern").agg(F.count("*").alias("n"), F.count("good").alias("good")).groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+        patterns = patterns.where(f"good >= {support} AND good >= {pattern_share} * n").select("pattern", (F.col("good") / (F.col("n") + 1)).alias("confidence"))
+        scores = edges.join(of_pattern.join(patterns, "pattern"), ["pattern", "by_pattern"]).groupBy("value").agg((1 - F.exp(F.sum(F.ln(1 - F.col("confidence"))))).alias("confidence"))
+        last_table, accepted = accepted, written(scores.where(f"confidence >= {accept}").select("value").union(seeds).distinct(), "accepted")
+        dropped(last_table)
         before, count = count, accepted.count()
     return accepted
 
@@ -156,11 +192,10 @@ def discover(scan: DataFrame, support: int = 3, pattern_share: float = 0.7, acce
 def find(docs: DataFrame, **options) -> DataFrame:
     """doc_id, text_key, base and spans (start, stop, kind, value) of documents(doc_id, text), in the rows' number."""
     scan = written(scanned(docs), "scan")
-    accepted = discover(scan, **options)
-    places = scan.select("doc_id", "text_key", "base", F.explode("tokens").alias("t")).select("doc_id", "text_key", "base", F.col("t.start").alias("start"), _trimmed(F.col("t.value")).alias("value"))
-    places = places.withColumn("stop", F.col("start") + F.char_length("value")).where(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"])))
-    places = places.withColumn("key", _key(F.col("value")))
-    more = places.join(accepted.withColumnRenamed("value", "key"), "key").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.col("text_key").alias("k2")).agg(F.collect_set(F.struct("start", "stop", F.lit(len(KINDS)).alias("kind"), "value")).alias("more"))
+    accepted = discover(scan, **options).withColumnRenamed("value", "key")
+    places = scan.select("doc_id", "text_key", F.explode("tokens").alias("t")).where("NOT t.inside").select("doc_id", "text_key", "t.start", "t.stop", "t.value", _key(F.col("t.value")).alias("key")).withColumn("part", _part("text_key"))
+    known = places.select("key", "part").distinct().join(accepted, "key")
+    more = places.join(known, ["key", "part"]).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.col("text_key").alias("k2")).agg(F.collect_set(F.struct("start", "stop", F.lit(len(KINDS)).alias("kind"), "value")).alias("more"))
     joined = scan.drop("tokens").join(more, (F.coalesce("doc_id", F.lit(-1)) == F.col("k1")) & (F.col("text_key") == F.col("k2")), "left")
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))
     every = F.array_sort(F.concat(base.cast(SPAN), F.coalesce(F.col("more").cast(SPAN), F.array().cast(SPAN))))
@@ -168,17 +203,26 @@ def find(docs: DataFrame, **options) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans leave one mark."""
+    """The text with each span replaced by its kind in brackets; overlapping spans leave one mark.
+
+    A part of a text is found by counting signs from its start, so the text is cut once for every RUN spans and these are taken from the cut.
+    """
     names = F.array(*(F.lit(f"[{n.upper()}]") for n in NAMES))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, kept).otherwise(acc["out"]).alias("out"))
+    def cut(ends: Column, c: Column) -> Column:
+        first = before(ends, c * RUN)
+        whole = F.substring(text, first + 1, F.get(ends, F.least((c + 1) * RUN, F.size(spans)) - 1) - first)
+        return let(F.struct(first.alias("first"), whole.alias("text")), lambda own: F.array_join(F.transform(F.slice(spans, c * RUN + 1, RUN), lambda s, i: piece(own, before(ends, c * RUN + i), s)), ""))
+
+    def piece(own: Column, reach: Column, s: Column) -> Column:
+        kept = F.concat(F.substring(own["text"], reach - own["first"] + 1, s["start"] - reach), F.get(names, s["kind"]))
+        return F.when(s["start"] >= reach, kept).otherwise("")
+
+    def whole(ends: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int")), lambda c: cut(ends, c))
+        return F.concat(F.array_join(cuts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.char_length(text)))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(running(F.transform(spans, lambda s: s["stop"]), "int", F.greatest), whole)).otherwise(text)
 
 
 def mask(docs: DataFrame) -> DataFrame:
