@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from partlens.llm import decontamination, html, licenses, neardup, neighbours, ordering, packing, pii, queries, toxicity, urls
+from partlens.llm import common, decontamination, graph, html, licenses, neardup, neighbours, ordering, packing, pii, queries, toxicity, urls
 from partlens.llm.graph import components
 from partlens.llm.tokens import Encoder, vocabulary
 
@@ -38,10 +39,12 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7), (None, 3)]
+@pytest.mark.parametrize("hub", [100_000, 5])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7), (None, 3)] + [(i % 5, i) for i in range(200, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert got == {i: 0 for i in [*range(41), *range(200, 300)]} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -167,6 +170,40 @@ def test_discovery_goes_on_until_nothing_is_added(spark):
     assert [i for i in range(len(rows)) if not got[i].startswith("id:")] == []
 
 
+def test_many_spans_in_one_text(spark):
+    """40 000 addresses take seconds, and where they lie is right over all blocks."""
+    long = "É " + " ".join(f"u{i}@h{i}.org, 10.0.{i % 256}.{i % 9}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, long, 0), (2, "a@b.co", 0), (3, None, 0)], "doc_id long, text string, key int")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in queries.pii_digest(pii.find(docs)).collect()}
+    assert got == {i: brute_pii(t) for i, t in [(1, long), (2, "a@b.co"), (3, None)]} and time.perf_counter() - began < 60
+    began = time.perf_counter()
+    new = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert new == {1: "É " + " ".join(["[EMAIL], [IP]"] * 20_000), 2: "[EMAIL]", 3: None} and time.perf_counter() - began < 60
+    assert pii.find(docs.limit(0)).count() == 0 and pii.mask(docs).columns == docs.columns
+
+
+def test_masking_against_a_loop(spark):
+    draw = np.random.default_rng(8)
+    for n in (0, 1, 63, 64, 65, 300):
+        text = "".join(chr(x) for x in draw.integers(0x20, 0x250, 1500))
+        spans = sorted((int(s), int(s + w), int(k)) for s, w, k in zip(draw.integers(0, 1490, n), draw.integers(1, 9, n), draw.integers(0, 5, n), strict=True))
+        out, at = "", 0
+        for s, e, k in spans:
+            if s >= at:
+                out += text[at:s] + f"[{pii.NAMES[k].upper()}]"
+            at = max(at, e)
+        rows = spark.createDataFrame([(text, [(*s, "") for s in spans])], f"t string, s {pii.SPAN}")
+        assert rows.select(pii.masked(F.col("t"), F.col("s"))).first()[0] == out + text[at:]
+
+
+def test_running(spark):
+    for n in (0, 1, 64, 65, 200, 5000):
+        x = np.random.default_rng(n).integers(-9, 9, n).tolist()
+        row = spark.createDataFrame([(x,)], "x array<int>").select(common.running(F.col("x"), "int", lambda a, b: a + b).alias("s"), common.running(F.col("x"), "int", F.greatest).alias("m")).first()
+        assert row.s == np.cumsum(x).tolist() and row.m == (np.maximum.accumulate(x).tolist() if n else [])
+
+
 def test_masking_keeps_columns(docs):
     got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
     assert got[100_007] == "mail [EMAIL] or [IP], [PHONE], under the MIT License" and got[100_001] is None and pii.mask(docs).columns == docs.columns
@@ -233,6 +270,30 @@ def test_license_prefilter_loses_nothing(spark):
     assert [r.labels for r in queries.license_digest(licenses.detect(docs.where("doc_id < 6"))).orderBy("doc_id").collect()] == ["gpl-2", "lgpl-3", "agpl-3", "bsd-2-clause", "unknown-free", "gpl"]
 
 
+def brute_licenses(text):
+    """Detections by a loop over all rules."""
+    line, found = " " + " ".join(words(text)) + " ", []
+    for r in licenses.rules():
+        for m in re.finditer(r["pattern"], line):
+            first = line[: m.start()].count(" ") - 1
+            found.append((first, -(first + 1 + m[0].count(" ")), r["priority"], r["label"], r["confidence"]))
+    kept = []
+    for k, d in enumerate(sorted(found)):
+        if not any(e[2] <= d[2] and -e[1] >= -d[1] for e in sorted(found)[:k]):
+            kept.append(d)
+    return kept
+
+
+def test_licenses_against_a_loop(spark, texts):
+    rows = texts + [(300_000, "Under the MIT License, version 2 of the GPL license. " * 40), (300_001, "the apache license version 2.0 license; the bsd license " * 150), (300_002, "the isc license " * 4000)]
+    got = collections.defaultdict(set)
+    for r in licenses.detect(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, rules int")).collect():
+        got[r.doc_id].add(tuple(tuple(d) for d in r.found))
+    for doc, text in rows[:-1]:
+        assert tuple(brute_licenses(text)) in got[doc]
+    assert [len(x) for x in got[300_002]] == [4000] and licenses.detect(empty(spark)).count() == 0
+
+
 def test_tokens_equal_the_tokenizers(texts):
     own = Encoder(vocabulary())
     odd = ["<|endoftext|> a\xa0b  c\td", "İx ﬁ é ́a don't we'll", "AB!! cd### ''s <x> 12a", " a\x1cb"]
@@ -307,15 +368,24 @@ def test_decontamination_by_items_without_a_name(spark):
     got = {r.doc_id: (r.n_hit, r.item_ids) for r in decontamination.contaminated(rows, table).collect()}
     assert got == {1: (12, ["5"]), 2: (2, []), 3: (0, [])}
     assert [r.doc_id for r in decontamination.clean(rows, table).collect()] == [3]
-    assert len(decontamination._blocks(table, 2)) > 1 and max(b.count() for b in decontamination._blocks(table, 2)) < 3
 
 
-def test_decontamination_in_blocks(spark, docs, texts):
-    items = [(i, " ".join(words(texts[i][1])[3:25])) for i in range(8)]
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_decontamination_by_either_join(spark, docs, texts, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST", most)
+    items = [(i, " ".join(words(texts[i][1])[3:25])) for i in range(8)] + [(9, "one two")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    find = decontamination.finder(table, block_words=100)
-    got = docs.select("doc_id", F.size(find(decontamination.words(F.col("text")))).alias("n")).where("n > 0")
-    assert {r.doc_id for r in got.collect()} == {i for i, (_, n, _) in brute_hits(texts, items).items() if n}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontamination.contaminated(docs, table).collect()}
+    assert got == brute_hits(texts, items)
+
+
+def test_decontamination_of_repeated_words_and_long_texts(spark):
+    rows = [(1, "a " * 3000), (2, "a " * 3000), (3, "b " + "a " * 9 + "c " + "a " * 10), (4, " ".join(f"w{i % 5000}" for i in range(120_000))), (5, "x " * 12)]
+    items = [(1, "a " * 400), (2, "a " * 12 + "b"), (3, " ".join(f"w{i}" for i in range(300, 420))), (4, "x x x")]
+    docs, table = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, phrase int"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontamination.contaminated(docs, table).collect()}
+    assert got == brute_hits(rows, items)
+    assert decontamination.clean(docs, table).columns == docs.columns and decontamination.contaminated(docs.limit(0), table).count() == 0
 
 
 def test_urls(spark):
@@ -365,12 +435,28 @@ def test_extraction_rows(spark):
     assert sorted((r.page_id, r.text == html.main_text(PAGE)) for r in got.collect()) == [(1, True), (1, True), (2, False)]
 
 
+def test_probing_retrieves_every_code_within_the_radius():
+    draw = np.random.default_rng(4)
+    codes = np.packbits(draw.random((4000, 128)) < 0.5, axis=1)
+    codes[1000:1400] = codes[0]  # a hot bucket in every substring
+    codes[:3000] ^= np.packbits(draw.random((3000, 128)) < 0.08, axis=1)
+    for radius in (0, 5, 16, 23, 40, 128):
+        index, queries = neighbours.Index(codes, radius), codes[::200]
+        apart = np.unpackbits(queries[:, None] ^ codes[None], axis=2).sum(axis=2)
+        for own, rows in zip(apart, index.within(queries), strict=True):
+            assert sorted(rows.tolist()) == np.flatnonzero(own <= radius).tolist()
+        if radius <= 16:  # few codes are fetched
+            assert index.marked(queries).mean() < 0.35
+    assert {neighbours.Index(codes, r).bits for r in (5, 40)} == {8, 16}
+
+
 def test_neighbours_recall_and_ties(spark):
     draw = np.random.default_rng(2)
     x = draw.standard_normal((1500, 32))
     x[700:720] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 32), (5050, [float("nan")] + [1.0] * 31), (5100, [1.0])]
-    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).toPandas()
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(i, v, 1) for i, v in [(5000, None), (5001, [0.0] * 32), (5050, [float("nan")] + [1.0] * 31), (5100, [1.0]), (5101, [2.0]), (5102, [-1.0]), (5150, [None] * 32)]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, width int")
+    got = neighbours.search(table, F.col("vec_id") % 50 == 0).toPandas()
     n = np.sqrt((x * x).sum(1))
     near = x @ x.T / n[:, None] / n[None]
     np.fill_diagonal(near, -2)
@@ -381,34 +467,86 @@ def test_neighbours_recall_and_ties(spark):
         hit += len(set(best) & set(own.vec_id))
         assert np.allclose(own.score, near[q][own.vec_id], atol=1e-12)
     assert hit >= 0.9 * 150 and got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [700, 701, 702, 703, 704]
+    assert got[got.query_id >= 5000].sort_values(["query_id", "rank"])[["query_id", "vec_id", "score"]].values.tolist() == [[5100, 5101, 1.0], [5100, 5102, -1.0]]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in neighbours.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [2, 1]
     assert neighbours.search(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_recall_against_brute_force_on_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {(r.query_id, r.vec_id) for r in neighbours.search(table, F.col("vec_id") % 50 == 0).collect()}
+    all_rows = table.select("vec_id", "embedding").toPandas()
+    ids, x = all_rows.vec_id.to_numpy(), neighbours.unit_rows(np.stack(all_rows.embedding.to_list()).astype(float))
+    want = set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        order = [j for j in np.lexsort((ids, -(x @ x[q]))) if ids[j] != ids[q]][:5]
+        want |= {(ids[q], ids[j]) for j in order}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_permutation_is_a_bijection():
     for domain in (1, 2, 1000, 4097):
         assert sorted(ordering.permuted(np.arange(domain), domain, 9).tolist()) == list(range(domain))
 
 
-def test_training_order_round_trip(spark, docs, texts, tmp_path):
-    layout, own = ordering.Layout(length=128), Encoder(vocabulary())
+def feistel(x, domain, key):
+    """The slot of a number, by a plain loop."""
+    def spread(h):
+        h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD % 2**64
+        h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 % 2**64
+        return h ^ h >> 33
+
+    half = max(1, ((domain - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = x >> half, x % 2**half
+        for r in range(4):
+            left, right = right, left ^ spread(right ^ (key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % 2**64) % 2**half
+        x = left << half | right
+        if x < domain:
+            return x
+
+
+def test_training_order_against_a_loop(spark, texts, tmp_path):
+    layout, own = ordering.Layout(length=128, records=50), Encoder(vocabulary())
+    path = f"file://{tmp_path}/shards"
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, shard string, slot int").coalesce(1)
+    ids, first = [], []
+    for r in docs.collect():  # one partition: the order of the rows
+        new = [*np.frombuffer(own.encode([r.text])[0], "<u4").tolist(), 2]
+        first += [(r.doc_id, k) for k in range(len(new))]
+        ids += new
+    count = -(-len(ids) // 128)
+    assert ordering.write_shards(docs, path, layout, key=3, together=2) == count
+    want = {feistel(n, count, 3): (*first[128 * n], ids[128 * n : 128 * (n + 1)]) for n in range(count)}
+    got = ordering.read_slots(spark, path, layout).orderBy("slot").collect()
+    assert [(r.slot, r.doc_id, r.start, np.frombuffer(r.input_ids, "<u4").tolist()) for r in got] == [(s, *want[s]) for s in range(count)]
+    assert [(r.shard, r.byte_offset) for r in got] == [(s // 50, s % 50 * layout.stride) for s in range(count)]
+    for resume in (0, 49, 50, 77, count - 1):
+        late = ordering.read_slots(spark, path, layout, first_slot=resume)
+        assert sorted(r.slot for r in late.collect()) == list(range(resume, count))
+        assert [(s, d, p, x.tolist()) for s, d, p, x in ordering.records_from(spark, path, layout, resume, at_once=7)] == [(s, *want[s]) for s in range(resume, count)]
+    assert list(ordering.records_from(spark, path, layout, count)) == []
+    sizes = sorted(f.stat().st_size for f in tmp_path.glob("shards/shard=*/part-*"))
+    assert sizes[1:] == [50 * layout.stride] * (count // 50) and sizes[0] == (count % 50) * layout.stride
+
+
+def test_training_order_of_partitions(spark, docs, texts, tmp_path):
+    layout, own = ordering.Layout(length=128, records=64), Encoder(vocabulary())
     path = f"file://{tmp_path}/shards"
-    ordering.write_shards(docs, path, layout, key=3, shards=3)
+    count = ordering.write_shards(docs, path, layout, key=3)
     got = ordering.read_slots(spark, path, layout).orderBy("slot").collect()
-    assert [r.slot for r in got] == list(range(len(got)))
-    ids = collections.Counter()
-    for r in got:
-        ids.update(np.frombuffer(r.input_ids, "<u4").tolist())
+    assert [r.slot for r in got] == list(range(count))
+    ids = collections.Counter(x for r in got for x in np.frombuffer(r.input_ids, "<u4").tolist())
     want = collections.Counter()
     for _, t in texts:
         want.update([*np.frombuffer(own.encode([t])[0], "<u4").tolist(), 2])
     assert ids == want
-    late = ordering.read_slots(spark, path, layout, first_slot=10).orderBy("slot").collect()
-    assert [(r.slot, zlib.crc32(r.input_ids)) for r in late] == [(r.slot, zlib.crc32(r.input_ids)) for r in got[10:]]
-    ordering.write_shards(docs, path + "2", layout, key=3, shards=3)
+    ordering.write_shards(docs, path + "2", layout, key=3)
     again = ordering.read_slots(spark, path + "2", layout).orderBy("slot").collect()
     assert [zlib.crc32(r.input_ids) for r in again] == [zlib.crc32(r.input_ids) for r in got]
+    assert ordering.write_shards(empty(spark), path + "3", layout) == 0
+    assert ordering.read_slots(spark, path + "3", layout).count() == 0 and list(ordering.records_from(spark, path + "3", layout)) == []
 
 
 def test_pipeline_stages_against_brute_force(spark):
