@@ -21,6 +21,7 @@ rows are documents of their own; an empty table gives no shards; only doc_id and
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ from .tokens import chunks, encoder, vocabulary
 
 HEAD = "<Iqq"
 HEAD_SIZE = struct.calcsize(HEAD)
+#: Records that a worker holds at full length at a time.
+AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,7 @@ class Layout:
     length: int = 2048
     wide: bool = False
     #: Records of a shard, which bounds what a task holds of it.
-    records: int = 8192
+    records: int = 4096
 
     @property
     def ids(self) -> np.dtype:
@@ -77,22 +80,25 @@ def permuted(numbers: np.ndarray, domain: int, key: int, rounds: int = 4) -> np.
     return out
 
 
-def squeezed(head: bytes, ids: np.ndarray) -> bytes:
-    """A record without its padding, compressed for the way to its shard."""
+@functools.cache
+def _codec():
+    """Functions that squeeze and widen; one context for a worker."""
     try:
         import zstandard
     except ImportError:
-        return zlib.compress(head + ids.tobytes(), 1)
-    return zstandard.ZstdCompressor(level=1).compress(head + ids.tobytes())
+        return lambda raw: zlib.compress(raw, 1), lambda packed, size: zlib.decompress(packed)
+    squeeze, widen = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return squeeze.compress, lambda packed, size: widen.decompress(packed, max_output_size=size)
+
+
+def squeezed(head: bytes, ids: np.ndarray) -> bytes:
+    """A record without its padding, compressed for the way to its shard."""
+    return _codec()[0](head + ids.tobytes())
 
 
 def widened(packed: bytes, size: int) -> bytes:
     """The record of `size` bytes (without the line feed) that was squeezed."""
-    try:
-        import zstandard
-    except ImportError:
-        return zlib.decompress(packed).ljust(size, b"\0")
-    return zstandard.ZstdDecompressor().decompress(packed, max_output_size=size).ljust(size, b"\0")
+    return _codec()[1](packed, size).ljust(size, b"\0")
 
 
 def sequences(docs: DataFrame, layout: Layout, end_id: int = 2, vocab: str | None = None) -> DataFrame:
@@ -156,7 +162,9 @@ def write_shards(docs: DataFrame, path: str, layout: Layout = Layout(), key: int
 
     def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"value": [widened(x, layout.stride - 1) for x in batch["packed"]], "shard": batch["shard"]})
+            for lo in range(0, len(batch), AT_ONCE):
+                own = batch.iloc[lo : lo + AT_ONCE]
+                yield pd.DataFrame({"value": [widened(x, layout.stride - 1) for x in own["packed"]], "shard": own["shard"].to_numpy()})
 
     dealt = made.mapInPandas(numbered, "shard int, slot long, packed binary").withColumn("task", F.expr(f"shard div {together}").cast("int"))
     ordered = dealt.repartitionById(-(-shards // together), F.col("task")).sortWithinPartitions("shard", "slot").select("shard", "packed")
@@ -184,9 +192,9 @@ def read_slots(spark: SparkSession, path: str, layout: Layout = Layout(), first_
         for batch in batches:
             for shard, content in zip(batch["shard"], batch["content"], strict=True):
                 view, count, slot = memoryview(content), len(content) // layout.stride, int(shard) * layout.records
-                for lo in range(max(0, first_slot - slot), count, 1024):
+                for lo in range(max(0, first_slot - slot), count, AT_ONCE):
                     rows = []
-                    for i in range(lo, min(lo + 1024, count)):
+                    for i in range(lo, min(lo + AT_ONCE, count)):
                         doc, start, ids = decoded(view[i * layout.stride : (i + 1) * layout.stride], layout)
                         rows.append((slot + i, shard, i * layout.stride, doc, start, len(ids), ids.astype("<u4").tobytes()))
                     yield pd.DataFrame(rows, columns=["slot", "shard", "byte_offset", "doc_id", "start", "n_tokens", "input_ids"])
