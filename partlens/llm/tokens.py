@@ -7,15 +7,18 @@ those of its pieces one after the other. Pieces repeat, so most are looked up an
 from __future__ import annotations
 
 import gc
-import re
 import struct
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries kept in each generation of a worker's cache. This bounds memory only: what is not kept is encoded again.
 CACHE = 600_000
 #: A longer piece is encoded but not kept.
 KEEP = 48
 #: Letters, whose ids don't depend on case, and the signs after them, which the vocabulary's split takes apart.
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+PLAIN = r"^(?P<core>[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{00FF}]+)(?P<end>[!-&(-/:-@\[-`{-~]*)$"
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,9 +52,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pieces, self.cores = Tokenizer.from_file(path), Recent(), Recent()
+        self.tokenizer, self.pieces, self.cores, self.ends = Tokenizer.from_file(path), Recent(), Recent(), Recent()
         self.model, self.spelling = self.tokenizer.model, byte_letters()
-        self.ends: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> dict[str, bytes]:
         """By the tokenizer as it is."""
@@ -62,11 +64,13 @@ class Encoder:
                 got[text] = struct.pack(f"<{len(made.ids)}I", *made.ids)
         return got
 
-    def _letters(self, core: str) -> bytes:
+    def _spell(self, cores: list[str]) -> dict[str, bytes]:
         """By the vocabulary's model alone: lower-case letters need no splitting or normalising."""
-        spelled = core if core.isascii() else core.encode().decode("latin-1").translate(self.spelling)
-        made = [t.id for t in self.model.tokenize(spelled)]
-        return struct.pack(f"<{len(made)}I", *made)
+        tokenize, made = self.model.tokenize, {}
+        for core in cores:
+            ids = [t.id for t in tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(self.spelling))]
+            made[core] = struct.pack(f"<{len(ids)}I", *ids)
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text (null: empty) its ids' bytes, without special tokens."""
@@ -77,24 +81,45 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        """Arrow tells pieces, letters and the signs after them apart, so that each distinct one is looked up once; numpy puts the ids together."""
         self.pieces.turn()
         self.cores.turn()
-        split = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        new = self.pieces.missing(set().union(*split))
-        parts = {x: m.groups() for x in new if (m := PLAIN.fullmatch(x))}
-        lowered = {x: core.lower() for x, (core, _) in parts.items()}
-        cores, ends, letters = self.cores.now, self.ends, self._letters
-        for core in self.cores.missing(set(lowered.values())):
-            cores[core] = letters(core)
-        ends.update(self._whole([x for x in {end for _, end in parts.values()} if x not in ends]) if len(ends) < CACHE else {})
-        known = self.pieces.now
-        known.update((x, cores[lowered[x]] + ends[end]) for x, (_, end) in parts.items() if end in ends)
-        known.update(self._whole([x for x in new if x not in parts or parts[x][1] not in ends]))
-        made = [b"".join(map(known.__getitem__, own)) for own in split]
-        for kept in (known, cores):
-            for x in [x for x in (new if kept is known else lowered.values()) if len(x) > KEEP]:
-                kept.pop(x, None)
-        return made
+        cut = pc.split_pattern(pc.replace_substring(pa.array([x or "" for x in texts], pa.large_string()), "\n", " "), " ")
+        coded = pc.dictionary_encode(cut.flatten())
+        which, matched = coded.indices.to_numpy(), pc.extract_regex(coded.dictionary, PLAIN)
+        plain = np.asarray(matched.is_valid())
+        odd = coded.dictionary.filter(pa.array(~plain)).to_pylist()
+        segments, core = self._looked_up(pc.utf8_lower(matched.field("core")), plain, self.cores, self._spell)
+        more, end = self._looked_up(matched.field("end"), plain, self.ends, self._whole)
+        rest = self._found(odd, self.pieces, self._whole)
+        # a piece is two segments: its letters and the signs, or the whole of it and nothing
+        left, right = core, end + len(segments)
+        left[~plain] = len(segments) + len(more) + np.arange(len(odd))
+        right[~plain] = len(segments) + len(more) + len(rest)
+        segments += [*more, *rest, b""]
+        ids, sizes = np.frombuffer(b"".join(segments), "<u4"), np.fromiter(map(len, segments), np.int64, len(segments)) // 4
+        both = np.column_stack([left[which], right[which]]).ravel()
+        own, first = sizes[both], (np.cumsum(sizes) - sizes)[both]
+        ends = np.cumsum(own)
+        made = ids[np.repeat(first - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.concatenate([[0], ends])[2 * (np.asarray(cut.offsets) - cut.offsets[0].as_py())]
+        return [made[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _looked_up(self, texts: pa.Array, valid: np.ndarray, cache: Recent, encode) -> tuple[list[bytes], np.ndarray]:
+        """The ids of an Arrow array's distinct texts, and for each element the number of its own (0 where it isn't valid)."""
+        coded = pc.dictionary_encode(texts.filter(pa.array(valid)))
+        number = np.zeros(len(texts), np.int64)
+        number[valid] = coded.indices.to_numpy()
+        return self._found(coded.dictionary.to_pylist(), cache, encode), number
+
+    def _found(self, distinct: list[str], cache: Recent, encode) -> list[bytes]:
+        """The ids of distinct texts: from the cache, or encoded; long ones aren't kept."""
+        new = cache.missing(set(distinct))
+        cache.now.update(encode(list(new)))
+        found = list(map(cache.now.__getitem__, distinct))
+        for x in [x for x in new if len(x) > KEEP]:
+            del cache.now[x]
+        return found
 
 
 _ENCODERS: dict[str, Encoder] = {}
