@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, words, written
+from .common import let, words, written
 
 #: A kept hash and its place in one number: the place in the lower bits.
 PLACE_BITS = 31
@@ -78,26 +78,30 @@ def _windows(items: DataFrame, length: int) -> DataFrame:
     return items.select("item_id", F.explode(F.array_distinct(phrases)).alias("phrase")).distinct()
 
 
-def _hits(texts: DataFrame, items: DataFrame, length: int, gram: int) -> DataFrame:
-    """_k1, _k2, places: where a text (_k1, _k2, w) has a kept hash of the benchmark (size 0) or the first word of a short item (its size)."""
-    window = length - gram + 1
-    numbers = lambda w: _kept(_grams(w, gram), window)
-    index = written(items.where(F.size("w") >= length).select(F.explode(numbers(F.col("w"))).alias("v")).select(F.shiftright("v", PLACE_BITS).alias("h")).distinct(), "index")
-    kept = texts.select("_k1", "_k2", F.explode(numbers(F.col("w"))).alias("v"))
+def _prepared(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """doc_id, _k1, _k2, n (words), kept (numbers of the kept hashes): all that the texts are read for, written once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(F.col("text")), let(words(F.col("text").cast("string")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _kept(_grams(w, gram), length - gram + 1).alias("kept"))).alias("w"))
+    return written(texts.select("doc_id", "_k1", "_k2", "w.n", "w.kept"), "fingerprints")
+
+
+def _hits(prepared: DataFrame, docs: DataFrame, items: DataFrame, length: int, gram: int) -> DataFrame:
+    """_k1, _k2, places: where a text has a kept hash of the benchmark (size 0) or the first word of a short item (its size)."""
+    kept_of = lambda w: _kept(_grams(w, gram), length - gram + 1)
+    index = written(items.where(F.size("w") >= length).select(F.explode(kept_of(F.col("w"))).alias("v")).select(F.shiftright("v", PLACE_BITS).alias("h")).distinct(), "index")
+    kept = prepared.select("_k1", "_k2", F.explode("kept").alias("v"))
     kept = kept.select("_k1", "_k2", F.shiftright("v", PLACE_BITS).alias("h"), F.col("v").bitwiseAND(F.lit(PLACES)).cast("int").alias("at"))
     found = _joined(kept, index, ["h"], index.count()).select("_k1", "_k2", F.struct("at", F.lit(0).alias("size")).alias("place"))
     firsts = written(items.where(F.size("w") < length).select(F.get("w", F.lit(0)).alias("word"), F.size("w").alias("size")).distinct(), "firsts")
     if short := firsts.count():
-        every = texts.select("_k1", "_k2", F.posexplode("w").alias("at", "word"))
+        every = docs.select(*_key(F.col("text")), F.posexplode(words(F.col("text").cast("string"))).alias("at", "word"))
         found = found.union(_joined(every, firsts, ["word"], short).select("_k1", "_k2", F.struct("at", "size").alias("place")))
     return found.groupBy("_k1", "_k2").agg(F.collect_set("place").alias("places"))
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, length: int, gram: int) -> tuple[DataFrame, int]:
+def _found(prepared: DataFrame, docs: DataFrame, benchmark: DataFrame, length: int, gram: int) -> tuple[DataFrame, int]:
     """_k1, _k2, windows (start, length; by start), item_ids (sorted) of the texts that hold a window, and the number of rows."""
     items = _items(benchmark)
-    texts = docs.select(*_key(F.col("text")), words(F.col("text").cast("string")).alias("w"))
-    hits = written(_hits(texts, items, length, gram), "hits")
+    hits = written(_hits(prepared, docs, items, length, gram), "hits")
     around = lambda p: F.when(p["size"] > 0, F.array(F.struct(p["at"].alias("start"), p["size"].alias("length")))).otherwise(
         F.transform(F.sequence(F.greatest(p["at"] - (length - gram), F.lit(0)), p["at"]), lambda s: F.struct(s.alias("start"), F.lit(length).alias("length")))
     )
@@ -117,7 +121,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, length: int, gram: int) -> tup
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram: int = 5) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside windows that occur), item_ids (sorted) and the windows."""
-    found, weight = _found(docs, benchmark, length, gram)
+    prepared = _prepared(docs, length, gram)
+    found, weight = _found(prepared, docs, benchmark, length, gram)
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
     def grow(acc: Column, x: Column) -> Column:
@@ -125,13 +130,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram:
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["start"])).cast("long")).alias("n"))
 
     found = found.withColumn("n_hit", F.aggregate("windows", start, grow, lambda acc: acc["n"]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"), *_key(F.col("text")))
+    rows = prepared.select("doc_id", F.col("n").alias("n_words"), "_k1", "_k2")
     none = F.array().cast("array<string>")
     return _joined(rows, found, ["_k1", "_k2"], weight, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("windows", F.array().cast("array<struct<start:int,length:int>>")).alias("windows"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, length: int = 10, gram: int = 5) -> DataFrame:
     """The documents without any benchmark window, with the columns they had."""
-    found, weight = _found(docs, benchmark, length, gram)
+    found, weight = _found(_prepared(docs, length, gram), docs, benchmark, length, gram)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), *_key(F.col("text")))
     return _joined(rows, found.select("_k1", "_k2"), ["_k1", "_k2"], weight, "left_anti").select("_row.*")
