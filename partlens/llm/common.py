@@ -21,9 +21,8 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The lower-cased words of a text; null counts as empty."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    return F.transform(found, lower_ascii)
+    """The lower-cased words of a text; null counts as empty. What separates words is split off, which is far quicker than finding words."""
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP + "+"), "")
 
 
 def let(value: Column, use) -> Column:

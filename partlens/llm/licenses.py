@@ -21,7 +21,7 @@ from re import _parser as syntax
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, before, let, running, words
+from .common import GAP, before, let, running, words
 
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -226,7 +226,7 @@ def detect(docs: DataFrame, prefilter: bool = True) -> DataFrame:
     Gate and keywords save work only; without `prefilter` every rule is run on every text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = rows.select("doc_id", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"), (F.when(F.rlike(F.col("_text"), F.lit(gate())), F.col("_text")) if prefilter else F.col("_text")).alias("_text"))
+    rows = rows.select("doc_id", F.size(words(F.col("_text"))).cast("long").alias("n_words"), (F.when(F.rlike(F.col("_text"), F.lit(gate())), F.col("_text")) if prefilter else F.col("_text")).alias("_text"))
     rows = rows.withColumn("_line", F.when(F.col("_text").isNotNull(), F.concat(F.lit(" "), F.array_join(words(F.col("_text")), " "), F.lit(" "))))
     phrases = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(label).alias("label")) for p, label in BASE.items()))
     base = F.flatten(F.transform(phrases, lambda b: F.transform(spans(F.col("_line"), F.concat(F.lit("(?<= )"), b["phrase"], F.lit("(?= )"))), lambda s: F.struct(s["start"].alias("start"), b["label"].alias("label")))))
