@@ -35,6 +35,11 @@ BODIES = "QFN LFCSP LGA BGA DFN SOIC MSOP TSSOP SOP CSP WLCSP SMA CH DIP PDIP QF
 NUMBERED, MAYBE_NUMBERED = ["TO", "WR"], ["SOT"]
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression that is mentioned twice is otherwise computed twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _table(values: dict) -> Column:
     return F.create_map(*(F.lit(v) for pair in values.items() for v in pair))
 
@@ -66,8 +71,10 @@ def _ghz(value: Column, unit: Column, largest: Column) -> Column:
 
 def band_ghz(text: Column, hint: Column | None = None) -> Column:
     """struct(lo, hi) in GHz: a unit at either end of a range holds for both; `DC`, `up to` and `<=` begin at 0; implausible is null."""
-    hint = F.lit(None).cast("string") if hint is None else hint
-    tokens = _tokens(text)
+    return let(_tokens(text), lambda tokens: _band(tokens, F.lit(None).cast("string") if hint is None else hint))
+
+
+def _band(tokens: Column, hint: Column) -> Column:
     at = lambda i: F.get(tokens, i)
     unit = lambda i: F.when(F.try_element_at(_table(FREQUENCIES), at(i)).isNotNull(), at(i))
     named = lambda i: unit(i).isNotNull().cast("int")
@@ -78,27 +85,33 @@ def band_ghz(text: Column, hint: Column | None = None) -> Column:
         ends = number(at(i)).isNotNull() & at(middle).isin(BETWEEN) & number(at(middle + 1)).isNotNull()
         return F.when(ends, F.struct(number(at(i)).alias("a"), unit(i + 1).alias("ua"), number(at(middle + 1)).alias("b"), unit(middle + 2).alias("ub")))
 
-    found = _first(F.transform(_places(tokens), span))
-    most = F.greatest(found["a"], found["b"])
-    left = _ghz(found["a"], F.coalesce(found["ua"], found["ub"], hint), most)
-    right = _ghz(found["b"], F.coalesce(found["ub"], found["ua"], hint), most)
+    def ends(found: Column) -> Column:
+        most = F.greatest(found["a"], found["b"])
+        left = _ghz(found["a"], F.coalesce(found["ua"], found["ub"], hint), most)
+        right = _ghz(found["b"], F.coalesce(found["ub"], found["ua"], hint), most)
+        return F.struct(F.least(left, right).alias("lo"), F.greatest(left, right).alias("hi"))
+
     single = _first(F.transform(tokens, number))
     stated = _first(F.transform(_places(tokens), unit))
-    point = _ghz(single, F.coalesce(stated, hint), single)
     upto = F.exists(_places(tokens), lambda i: at(i).isin("dc", "upto", "<", "≤") | ((at(i) == "up") & (at(i + 1) == "to")))
-    low, high = F.coalesce(F.least(left, right), F.when(upto, 0.0).otherwise(point)), F.coalesce(F.greatest(left, right), point)
-    return F.when((high > 0) & (high <= PLAUSIBLE_GHZ), F.struct(F.round(low, 6).alias("lo"), F.round(high, 6).alias("hi")))
+    point = let(_ghz(single, F.coalesce(stated, hint), single), lambda p: F.struct(F.when(upto, 0.0).otherwise(p).alias("lo"), p.alias("hi")))
+    band = let(_first(F.transform(_places(tokens), span)), lambda found: F.when(found.isNotNull(), ends(found)).otherwise(point))
+    return let(band, lambda x: F.when((x["hi"] > 0) & (x["hi"] <= PLAUSIBLE_GHZ), F.struct(F.round(x["lo"], 6).alias("lo"), F.round(x["hi"], 6).alias("hi"))))
 
 
 def time_ns(text: Column, hint: Column | None = None) -> Column:
     """struct(lo, hi) in nanoseconds; a time whose unit neither the text nor the hint states is refused."""
-    tokens, scale = _tokens(text), _table(TIMES)
+    return let(_tokens(text), lambda tokens: _times(tokens, hint))
+
+
+def _times(tokens: Column, hint: Column | None) -> Column:
+    scale = _table(TIMES)
     signed = lambda i: number(F.get(tokens, i)) * F.when((i > 0) & (F.get(tokens, F.greatest(i - 1, F.lit(0))) == "-"), -1).otherwise(1)
     timed = F.filter(F.transform(_places(tokens), lambda i: signed(i) * F.try_element_at(scale, F.get(tokens, i + 1))), lambda x: x.isNotNull())
     factor = F.try_element_at(scale, F.lower(hint)) if hint is not None else F.lit(None).cast("double")
     bare = F.filter(F.transform(_places(tokens), lambda i: signed(i) * factor), lambda x: x.isNotNull())
-    every = F.when(F.size(timed) > 0, timed).otherwise(bare)
-    return F.when(F.size(every) > 0, F.struct(F.array_min(every).alias("lo"), F.array_max(every).alias("hi")))
+    every = let(timed, lambda t: F.when(F.size(t) > 0, t).otherwise(bare))
+    return let(every, lambda e: F.when(F.size(e) > 0, F.struct(F.array_min(e).alias("lo"), F.array_max(e).alias("hi"))))
 
 
 def throw_name(poles: Column, throws: Column) -> Column:
@@ -112,7 +125,10 @@ def throw_layout(text: Column) -> Column:
 
     A compact form is a token, or two neighbours read as one: a pole sign, P, a throw sign, T. One out of bounds (4 poles, 32 throws) says nothing.
     """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), _layout)
+
+
+def _layout(tokens: Column) -> Column:
     at = lambda i: F.get(tokens, i)
     sign = lambda letters, x: F.coalesce(F.try_element_at(_table(letters), x), x.try_cast("int"))
     runs = F.flatten(F.transform(_places(tokens), lambda i: F.array(at(i), F.concat(at(i), F.coalesce(at(i + 1), F.lit(""))))))
@@ -120,17 +136,17 @@ def throw_layout(text: Column) -> Column:
     def compact(x: Column) -> Column:
         poles, throws = sign({"s": 1, "d": 2}, F.substring(x, 1, 1)), sign({"s": 1, "d": 2, "t": 3, "q": 4}, F.substr(x, F.lit(3), F.char_length(x) - 3))
         shaped = F.char_length(x).between(4, 5) & (F.substring(x, 2, 1) == "p") & F.endswith(x, F.lit("t"))
-        return F.when(shaped & poles.isNotNull() & throws.isNotNull(), F.struct(poles.alias("poles"), throws.alias("throws")))
+        return F.when(shaped, let(F.struct(poles.alias("poles"), throws.alias("throws")), lambda c: F.when(c["poles"].isNotNull() & c["throws"].isNotNull(), c)))
 
     def worded(i: Column) -> Column:
         few = {w: n for w, n in WORDS.items() if n <= 4}
         poles, throws = F.try_element_at(_table(few), at(i)), F.try_element_at(_table(WORDS), at(i + 2))
         return F.when((at(i + 1) == "pole") & (at(i + 3) == "throw") & poles.isNotNull() & throws.isNotNull(), F.struct(poles.alias("poles"), throws.alias("throws")))
 
-    short, long = _first(F.transform(runs, compact)), _first(F.transform(_places(tokens), worded))
-    bounded = short["poles"].between(1, 4) & short["throws"].between(1, 32)
-    transfer = F.exists(_places(tokens), lambda i: (at(i) == "transfer") & (at(i + 1) == "switch"))
-    return F.when(short.isNotNull(), F.when(bounded, throw_name(short["poles"], short["throws"])).otherwise("")).when(long.isNotNull(), throw_name(long["poles"], long["throws"])).when(transfer, "TRANSFER").otherwise("")
+    transfer = F.when(F.exists(_places(tokens), lambda i: (at(i) == "transfer") & (at(i + 1) == "switch")), "TRANSFER").otherwise("")
+    by_words = let(_first(F.transform(_places(tokens), worded)), lambda w: F.when(w.isNotNull(), throw_name(w["poles"], w["throws"])).otherwise(transfer))
+    bounded = lambda c: c["poles"].between(1, 4) & c["throws"].between(1, 32)
+    return let(_first(F.transform(runs, compact)), lambda c: F.when(c.isNull(), by_words).when(bounded(c), throw_name(c["poles"], c["throws"])).otherwise(""))
 
 
 def dedupe_commas(text: Column) -> Column:
@@ -143,19 +159,28 @@ def dedupe_commas(text: Column) -> Column:
 
 def spoken(text: Column, terms: str) -> Column:
     """Whether a text has one of the terms between commas as whole words; a term with a star, as the beginning of words."""
-    line = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
+    return _said(_line(text), terms)
+
+
+def _line(text: Column) -> Column:
+    """The words of a text in one line, with blanks around each."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def _said(line: Column, terms: str) -> Column:
     wanted = [f" {t.strip()[:-1]}" if t.strip().endswith("*") else f" {t.strip()} " for t in terms.split(",")]
     return F.exists(F.array(*map(F.lit, wanted)), lambda t: F.contains(line, t))
 
 
 def package(text: Column) -> Column:
     """struct(mount, body, hermetic); what isn't stated stays null."""
-    mount = F.coalesce(*(F.when(spoken(text, terms), name) for name, terms in MOUNTS.items()))
+    mount = let(_line(text), lambda line: F.coalesce(*(F.when(_said(line, terms), name) for name, terms in MOUNTS.items())))
 
     def body(token: Column) -> Column:
         """Letters, and a number with or without a hyphen: the name, with the number where it belongs to it."""
-        name = F.regexp_extract(token, "^[A-Z]+", 0)
-        rest = F.substr(token, F.char_length(name) + 1)
+        return let(F.regexp_extract(token, "^[A-Z]+", 0), lambda name: let(F.substr(token, F.char_length(name) + 1), lambda rest: kind(token, name, rest)))
+
+    def kind(token: Column, name: Column, rest: Column) -> Column:
         figures = F.regexp_replace(rest, "^-", "").try_cast("long").isNotNull()
         whole = name.isin(NUMBERED) & figures | name.isin(MAYBE_NUMBERED) & (figures | (rest == ""))
         return F.when(whole, token).when(name.isin(BODIES) & ((rest == "") | F.startswith(rest, F.lit("-"))), name)
@@ -176,20 +201,30 @@ def spec_of(name: Column) -> Column:
 
     Without the brackets at the end there are no values, and the type is what follows the first ` - `, else the whole name.
     """
-    text = F.trim(name)
+    return let(F.trim(name), lambda text: let(_after_token(text), lambda rest: _spec(name, rest)))
+
+
+def _after_token(text: Column) -> Column:
+    """What follows the hyphen after the first token, or else the last hyphen inside it before a bracket; null without one."""
     first = F.get(F.split(text, r"\s+"), F.lit(0))
-    after = F.substr(text, F.char_length(first) + 1)
-    # the hyphen after the first token, or else the last one inside it before a bracket
-    inner = F.substring_index(F.substring_index(first, "(", 1), "-", -1)
-    joined = F.concat(F.substr(first, F.char_length(F.substring_index(first, "(", 1)) - F.char_length(inner) + 1), after)
-    rest = F.when(F.startswith(F.ltrim(after), F.lit("-")), F.substr(F.ltrim(after), F.lit(2))).when(F.contains(F.substring_index(first, "(", 1), F.lit("-")), joined)
+
+    def cut(first: Column) -> Column:
+        after, inside = F.substr(text, F.char_length(first) + 1), F.substring_index(first, "(", 1)
+        inner = F.substring_index(inside, "-", -1)
+        joined = F.concat(F.substr(first, F.char_length(inside) - F.char_length(inner) + 1), after)
+        return F.when(F.startswith(F.ltrim(after), F.lit("-")), F.substr(F.ltrim(after), F.lit(2))).when(F.contains(inside, F.lit("-")), joined)
+
+    return let(first, cut)
+
+
+def _spec(name: Column, rest: Column) -> Column:
     opened = F.instr(rest, "(")
     whole = F.coalesce((opened > 1) & F.endswith(rest, F.lit(")")), F.lit(False))
     kind, inside = F.trim(F.substr(rest, F.lit(1), opened - 1)), F.substr(rest, opened + 1, F.char_length(rest) - opened - 1)
     cut = F.transform(F.split(F.trim(inside), r"\s+"), lambda t: F.struct(F.substr(t, F.lit(1), F.char_length(t) - F.char_length(F.substring_index(t, "-", -1)) - 1).alias("k"), F.substring_index(t, "-", -1).alias("v")))
     pairs = F.when(whole, F.filter(cut, lambda p: (F.coalesce(p["k"], F.lit("")) != "") & (p["v"] != ""))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    last = lambda own: lambda k: F.element_at(F.filter(own, lambda p: p["k"] == k), -1)["v"]
+    values = let(pairs, lambda own: let(F.array_distinct(F.transform(own, lambda p: p["k"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, last(own)))))
     dash = F.instr(name, " - ")
     plain = F.trim(F.when(dash > 0, F.substr(name, dash + 3)).otherwise(name))
     return F.struct(F.coalesce(F.nullif(F.when(whole, kind).otherwise(plain), F.lit("")), F.lit("(untyped)")).alias("type"), values.alias("values"))

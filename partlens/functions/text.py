@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vocabulary as V
+
 
 def mpn_norm(x: Column) -> Column:
     """White space out, upper case."""
@@ -66,3 +68,13 @@ def weighted_score(x: Column, evidence: list[tuple[str, float]]) -> Column:
 def family_key(x: Column) -> Column:
     """The part number without its grade suffix."""
     return F.regexp_replace(mpn_norm(x), r"-(?:SP|SEP|EP|QV|QR)$", "")
+
+
+def canonical_vendor(x: Column) -> Column:
+    """One spelling for each manufacturer: without dots, commas and company words it is looked up; unknown names stay as they are."""
+    plain = F.coalesce(F.trim(x), F.lit(""))
+    words = F.filter(F.split(F.lower(plain), r"[\s.,]+"), lambda w: (w != "") & ~w.isin(V.COMPANY))
+    bare = F.trim(F.array_join(words, " "))
+    bare = F.regexp_replace(bare, "^[ -]+|[ -]+$", "")
+    table = F.create_map(*(F.lit(v) for pair in V.VENDORS.items() for v in pair))
+    return F.coalesce(F.try_element_at(table, bare), plain)

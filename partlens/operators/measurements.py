@@ -36,15 +36,19 @@ def dead_reports(cells_: DataFrame, least_tests: int, least_reports: int, floor:
 
 
 def cofailures(cells_: DataFrame, least_joint: int = 2, similarity: float = 0.5) -> DataFrame:
-    """Pairs of tests that fail together: Jaccard of failing reports where both were run."""
+    """Pairs of tests that fail together: Jaccard of failing reports where both were run.
+
+    Presence is counted only for pairs that fail together often enough.
+    """
     fails = cells_.where("failed = 1").select("report", "test")
     a, b = fails.select("report", F.col("test").alias("a")), fails.select("report", F.col("test").alias("b"))
-    joint = a.join(b, "report").where("a < b").groupBy("a", "b").agg(F.count("*").alias("joint"))
-    seen = cells_.select("report", F.col("test").alias("other"))
-    here = fails.join(seen, "report").groupBy("test", "other").agg(F.count("*").alias("n"))
-    out = joint.join(here.select(F.col("test").alias("a"), F.col("other").alias("b"), F.col("n").alias("na")), ["a", "b"]).join(here.select(F.col("test").alias("b"), F.col("other").alias("a"), F.col("n").alias("nb")), ["a", "b"])
+    joint = a.join(b, "report").where("a < b").groupBy("a", "b").agg(F.count("*").alias("joint")).where(F.col("joint") >= least_joint)
+    both = joint.select("a", "b").union(joint.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    seen = cells_.select("report", F.col("test").alias("b"))
+    here = a.join(both, "a").join(seen, ["report", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    out = joint.join(here.withColumnRenamed("n", "na"), ["a", "b"]).join(here.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n").alias("nb")), ["a", "b"])
     out = out.withColumn("similarity", F.col("joint") / (F.col("na") + F.col("nb") - F.col("joint")))
-    return out.where((F.col("joint") >= least_joint) & (F.col("similarity") >= similarity)).select("a", "b", "joint", "similarity")
+    return out.where(F.col("similarity") >= similarity).select("a", "b", "joint", "similarity")
 
 
 def key_tests(cells_: DataFrame) -> DataFrame:
@@ -69,9 +73,14 @@ def time_reports(rows: DataFrame, least_gap: float, factor: float) -> DataFrame:
     return opened.withColumn("session", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def islands(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Runs of at least two consecutive global values that a group covers."""
-    every = rows.select(value).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(value)))
-    own = rows.select(group, value).distinct().join(F.broadcast(every), value)
-    own = own.withColumn("_island", F.col("_rank") - F.row_number().over(Window.partitionBy(group).orderBy(value)))
-    return own.groupBy(group, "_island").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).where("n >= 2").drop("_island")
+def islands(rows: DataFrame, group: str, value: str, key: str | None = None) -> DataFrame:
+    """Runs of at least two neighbouring values that a group covers; neighbours are among all values, of the same key if there are keys.
+
+    Without a key the values are ranked by one window over the distinct ones, which are few by nature (settings of a parameter).
+    """
+    keys = [key] if key else []
+    ranked = Window.partitionBy(*keys).orderBy(value) if keys else Window.orderBy(value)
+    every = rows.select(*keys, value).distinct().withColumn("_rank", F.row_number().over(ranked))
+    own = rows.select(group, *keys, value).distinct().join(every, [*keys, value])
+    own = own.withColumn("_island", F.col("_rank") - F.row_number().over(Window.partitionBy(group, *keys).orderBy(value)))
+    return own.groupBy(group, *keys, "_island").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).where("n >= 2").drop("_island")

@@ -14,6 +14,17 @@ def by_confidence(specs: DataFrame, keys: list[str], value: str, confidence: str
     return specs.groupBy(*keys).agg(best.alias(value))
 
 
+def wide_by_order(rows: DataFrame, keys: list[str], values: dict[str, str], order: list[Column]) -> DataFrame:
+    """For each value its last one in order (of equal places the greatest), as a column: rows that hold several values are grouped as they are, not taken apart first."""
+    return rows.groupBy(*keys).agg(*(F.max_by(v, F.struct(*order, v)).alias(name) for name, v in values.items()))
+
+
+def as_rows(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """keys, key, value: the columns named as rows, missing values left out."""
+    pairs = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in names)), lambda p: p["value"].isNotNull())
+    return wide.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.key", "p.value")
+
+
 def pick(preference: str, low: Column, typical: Column, high: Column) -> Column:
     """The guaranteed edge first: min, typ, max for `min`; max, typ, min for `max`; typ, max, min for `typ`."""
     order = {"min": (low, typical, high), "max": (high, typical, low), "typ": (typical, high, low)}

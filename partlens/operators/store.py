@@ -24,11 +24,12 @@ def upsert_text(rows: DataFrame, key: list[str], columns: list[str], order: str)
     return rows.groupBy(*key).agg(*kept)
 
 
-def winners(rows: DataFrame, group: Column, order: list[Column]) -> DataFrame:
-    """In groups of more than one: place 1 wins, the others lose; `winner` is named on every row."""
+def winners(rows: DataFrame, group: Column, order: list[Column], name: str | None = None) -> DataFrame:
+    """In groups of more than one: place 1 wins, the others lose; with a name, the winner's value of that column stands on every row as `winner`."""
     at = Window.partitionBy("_group").orderBy(*order)
     all_of = Window.partitionBy("_group")
     out = rows.withColumn("_group", group).withColumn("place", F.row_number().over(at)).withColumn("_n", F.count("*").over(all_of))
+    out = out.withColumn("winner", F.first(name).over(at)) if name else out
     return out.where("_n > 1").drop("_n")
 
 

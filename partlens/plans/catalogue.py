@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, parts  # noqa: F401  registering
+from . import analysis, parts, search  # noqa: F401  registering
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -24,13 +24,18 @@ def specs(t):
     return rows.select("part_id", "s.key", "s.value", "source", "confidence", "s1", "s2")
 
 
+VALUES = {"qty": "l_quantity", "price": "l_extendedprice", "disc": "l_discount", "tax": "l_tax"}
+
+
 def resolved(t):
-    return R.by_confidence(specs(t), ["part_id", "key"], "value", "confidence", ["s1", "s2", "source", "value"])
+    """One row for each part: the value of the highest confidence for each key, of equal ones the last."""
+    order = [(1 - F.col("l_discount")).alias("c"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
+    return R.wide_by_order(t("lineitem").withColumnRenamed("l_partkey", "part_id"), ["part_id"], VALUES, order)
 
 
 @query(f"WITH {RESOLVED} SELECT part_id, key, value FROM resolved")
 def resolve_confidence(t):
-    return resolved(t)
+    return R.as_rows(resolved(t), ["part_id"], list(VALUES))
 
 
 PICK = "min(CASE WHEN l_discount > 0 THEN l_discount END) AS a, avg(CASE WHEN l_tax > 0.04 THEN l_tax END) AS b, max(CASE WHEN l_quantity > 45 THEN l_quantity END) AS c"
@@ -86,10 +91,13 @@ SCORED = RESOLVED + """, wide AS (SELECT part_id, max(CASE WHEN key = 'price' TH
 
 
 def scored(t):
-    """Parts with three criteria: the band covers 10..40, price at least 30 000, discount at most 0.05."""
-    wide = resolved(t).groupBy("part_id").agg(F.max(F.when(F.col("key") == "price", F.col("value"))).alias("price"), F.max(F.when(F.col("key") == "disc", F.col("value"))).alias("disc"))
-    band = R.fold_band(t("lineitem").withColumnRenamed("l_partkey", "part_id"), ["part_id"], F.col("l_quantity"))
-    rows = t("part").select(F.col("p_partkey").alias("part_id")).join(wide, "part_id", "left").join(band, "part_id", "left")
+    """Parts with three criteria: the band covers 10..40, price at least 30 000, discount at most 0.05. One pass over the rows gives values and band."""
+    rows = t("lineitem").withColumnRenamed("l_partkey", "part_id")
+    order = [(1 - F.col("l_discount")).alias("c"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
+    last = lambda v: F.max_by(v, F.struct(*order, v))
+    lo, hi = F.min("l_quantity"), F.max("l_quantity")
+    wide = rows.groupBy("part_id").agg(last(VALUES["price"]).alias("price"), last(VALUES["disc"]).alias("disc"), F.when(lo < hi, lo).alias("lo"), F.when(lo < hi, hi).alias("hi"))
+    rows = t("part").select(F.col("p_partkey").alias("part_id")).join(wide, "part_id", "left")
     met, missed, unknown = R.criteria({"band": (F.col("lo") <= 10) & (F.col("hi") >= 40), "price": F.col("price") >= 30000, "disc": F.col("disc") <= 0.05})
     rows = rows.select("part_id", "price", met.alias("met"), missed.alias("missed"), unknown.alias("unknown"))
     return rows.withColumn("fit", R.fit(F.col("met"), F.col("unknown"), 3)).withColumn("tier", R.tier(F.col("missed"), F.col("unknown")))
@@ -106,9 +114,9 @@ def tier_counts(t):
     return scored(t).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey AS part_id, p_size, p_retailprice FROM part WHERE p_size >= 10 AND p_size <= 20 AND p_retailprice >= 1000")
+@query("SELECT p_partkey AS part_id, p_size, p_retailprice FROM part WHERE p_size >= 10 AND p_size <= 40 AND p_retailprice >= 900")
 def spec_filter_range(t):
-    size, price = N.parse_filter("10-20"), N.parse_filter(">1000")
+    size, price = N.parse_filter("40-10"), N.parse_filter(">900")
     return t("part").where(N.in_range(F.col("p_size"), *size) & N.in_range(F.col("p_retailprice"), *price)).select(F.col("p_partkey").alias("part_id"), "p_size", "p_retailprice")
 
 
@@ -169,7 +177,7 @@ LADDER = "CASE WHEN p_size >= 40 THEN 'qualified' WHEN p_size >= 20 THEN 'grade'
 def pedigree_distribution(t):
     parts = t("part").select("p_partkey", F.expr(LADDER).alias("pedigree"))
     ladder = F.explode(F.array(*map(F.lit, ("qualified", "grade", "hi_rel", "none", "unused")))).alias("pedigree")
-    return t("part").limit(1).select(ladder).join(parts, "pedigree", "left").groupBy("pedigree").agg(F.count("p_partkey").alias("n"))
+    return parts.sparkSession.range(1).select(ladder).join(parts, "pedigree", "left").groupBy("pedigree").agg(F.count("p_partkey").alias("n"))
 
 
 FAMILY = "split_part(p_name, ' ', 1)"
@@ -208,10 +216,12 @@ def merge_duplicates_winners(t):
 @query(f"""WITH {RANKED}, {SPECS}, owned AS (SELECT w.part_id AS winner, key, source, value, r.place, s1, s2 FROM ranked r JOIN ranked w ON r.k = w.k AND w.place = 1 AND w.n > 1 JOIN specs ON specs.part_id = r.part_id)
  SELECT winner, key, source, value FROM (SELECT *, row_number() OVER (PARTITION BY winner, key, source ORDER BY place, s1 DESC, s2 DESC, value DESC) AS x FROM owned) WHERE x = 1""")
 def merge_duplicates_specs(t):
-    places = ranked(t).select("_group", "p_partkey", "place")
-    win = places.where("place = 1").select("_group", F.col("p_partkey").alias("winner"))
-    moved = specs(t).join(places.join(win, "_group").select(F.col("p_partkey").alias("part_id"), "winner", "place"), "part_id")
-    return S.first(moved, ["winner", "key", "source"], [F.col("place"), F.desc("s1"), F.desc("s2"), F.desc("value")]).select("winner", "key", "source", "value")
+    """The winner's rows first, then the losers' in their order; of one part's rows the last."""
+    group = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_brand"))
+    places = S.winners(t("part"), group, [F.desc("p_size"), F.desc("p_retailprice"), F.desc("p_partkey")], "p_partkey").select(F.col("p_partkey").alias("l_partkey"), "winner", "place")
+    moved = t("lineitem").join(places, "l_partkey").withColumnRenamed("l_suppkey", "source")
+    wide = R.wide_by_order(moved, ["winner", "source"], VALUES, [(-F.col("place")).alias("p"), F.col("l_orderkey"), F.col("l_linenumber")])
+    return R.as_rows(wide, ["winner", "source"], list(VALUES)).select("winner", "key", "source", "value")
 
 
 @query("SELECT user_id % 7 AS vendor, event_type AS kind, CAST(value > 50 AS BOOLEAN) AS done, count(*) AS n, round(sum(value), 6) AS parts FROM events GROUP BY 1, 2, 3")
@@ -342,7 +352,9 @@ def templates_min_hits(t):
 
 @query(f"""WITH {SPECS} SELECT part_id, key, source, value FROM (SELECT *, row_number() OVER (PARTITION BY part_id, key, source ORDER BY s1 DESC, s2 DESC, value DESC) AS n FROM specs) WHERE n = 1""")
 def upsert_latest(t):
-    return S.latest(specs(t), ["part_id", "key", "source"], [F.col("s1"), F.col("s2"), F.col("value")]).select("part_id", "key", "source", "value")
+    rows = t("lineitem").withColumnsRenamed({"l_partkey": "part_id", "l_suppkey": "source"})
+    wide = R.wide_by_order(rows, ["part_id", "source"], VALUES, [F.col("l_orderkey"), F.col("l_linenumber")])
+    return R.as_rows(wide, ["part_id", "source"], list(VALUES)).select("part_id", "key", "source", "value")
 
 
 @query("""SELECT user_id, coalesce(arg_max(event_type, event_id) FILTER (value > 30), '') AS kind, coalesce(arg_max(props, event_id) FILTER (props <> ''), '') AS props FROM events GROUP BY 1""")
@@ -351,9 +363,9 @@ def upsert_text_fields(t):
     return S.upsert_text(rows, ["user_id"], ["kind", "props"], "event_id")
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT event_id, user_id, event_type FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE value > 190)")
 def resume_skip(t):
-    return S.done(t("events"), t("events").where("event_type = 'purchase'"), ["user_id"]).select("event_id", "user_id")
+    return S.done(t("events"), t("events").where("value > 190"), ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
 
 
 @query("SELECT l_partkey AS part_id, count(*) AS n_specs, string_agg(l_suppkey || ':' || l_returnflag, ',' ORDER BY l_suppkey, l_returnflag) AS specs FROM lineitem GROUP BY 1")
