@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries kept in each generation of a worker's cache. This bounds memory only: what is not kept is encoded again.
-CACHE = 600_000
+CACHE = 250_000
 #: A longer piece is encoded but not kept.
 KEEP = 48
 #: Letters, whose ids don't depend on case, and the signs after them, which the vocabulary's split takes apart.
@@ -79,6 +79,7 @@ class Encoder:
             return self._encode(texts)
         finally:
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Arrow tells pieces, letters and the signs after them apart, so that each distinct one is looked up once; numpy puts the ids together."""
