@@ -297,7 +297,8 @@ def band_of(attributes: Column) -> Column:
 def _band_of(own: Column, stated) -> Column:
     first = lambda keep: P._first(F.transform(F.filter(own, keep), lambda a: a["band"]))
     has = lambda a, *words: reduce(lambda x, y: x | y, [F.contains(a["label"], F.lit(w)) for w in words])
-    by = lambda labels: F.coalesce(*(first(lambda a, label=label: a["label"] == label) for label in labels))
+    is_ = lambda label: lambda a: a["label"] == label
+    by = lambda labels: F.coalesce(*(first(is_(label)) for label in labels))
     general = first(lambda a: has(a, "frequency", "passband") & ~has(a, "bandwidth") & ~a["label"].isin(POINT_LABELS))
     wide = F.get(F.filter(own, lambda a: has(a, "bandwidth")), F.lit(0))
 
