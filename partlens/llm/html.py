@@ -3,7 +3,7 @@
 The page is read once into text nodes, each under its path of open tags from the root. For every path the nodes'
 text length and punctuation are summed and divided by the number of nodes. The two ratios are smoothed over
 neighbouring paths of the same part in page order, fused by multiplication and compared with a share of the page's
-average. Where the page says what a part is, that weighs in by finite factors: a path inside an article is scored by
+average; a heading goes by its best sibling. Where the page says what a part is, that weighs in by finite factors: a path inside an article is scored by
 its article's ratio and to an eighth (geometrically) by its own, times ARTICLE; a path below a class or id that names a menu, header, sidebar, notice, advert or reader comments is scored times NAMED for each such name, and a name inside an article
 takes the article's mark away. A name on an element with more than half of the page's text and all of its
 articles says nothing. Only elements that can't be content (menus, asides, footers, forms, what is hidden) weigh
@@ -33,6 +33,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
 
 #: Elements whose content isn't text of the page.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title select datalist".split())
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -177,7 +178,7 @@ def nodes(page: str) -> list[Node]:
             number, articles = articles, articles + 1
         else:
             number = top.article
-        heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading = tag in HEADINGS
         in_header = tag == "header" or top.header
         out = (top.aside or aside) and not (heading and top.header and top.article >= 0 and not aside)
         above, below = top.above, top.below
@@ -191,9 +192,9 @@ def nodes(page: str) -> list[Node]:
     return found
 
 
-def smooth(values: list[float], radius: int = 1) -> list[float]:
-    """A Gaussian mean over neighbours."""
-    kernel = [math.exp(-(d * d) / (2.0 * max(1, radius) ** 2)) for d in range(-radius, radius + 1)]
+def smooth(values: list[float], radius: int = 1, width: float = 0.5) -> list[float]:
+    """A Gaussian mean over neighbours; narrow, so that a list of links beside long paragraphs stays a list of links."""
+    kernel = [math.exp(-(d * d) / (2.0 * width * width)) for d in range(-radius, radius + 1)]
     out = []
     for i in range(len(values)):
         pairs = [(k, values[i + d]) for d, k in zip(range(-radius, radius + 1), kernel, strict=True) if 0 <= i + d < len(values)]
@@ -231,6 +232,14 @@ def _smoothed(keys: list[tuple], values: list[float]) -> list[float]:
     return out
 
 
+def _with_headings(fused: dict[tuple, float]) -> dict[tuple, float]:
+    """A heading is short by nature: seven eighths (geometrically) of its ratio is the best of its siblings' in the same part."""
+    best: dict[tuple, float] = {}
+    for k, v in fused.items():
+        best[k[0][:-1], *k[1:]] = max(v, best.get((k[0][:-1], *k[1:]), 0.0))
+    return {k: v**0.125 * best[k[0][:-1], *k[1:]] ** 0.875 if k[0] and k[0][-1] in HEADINGS else v for k, v in fused.items()}
+
+
 def content_paths(found: list[tuple[Node, str]], share: float = 0.1) -> tuple[list[tuple], set[tuple]]:
     """The nodes' keys, and those whose smoothed, fused and weighted ratios are above the threshold."""
     of, sums = _keys(found), {}
@@ -242,7 +251,7 @@ def content_paths(found: list[tuple[Node, str]], share: float = 0.1) -> tuple[li
     keys = [k for k in sums if not k[2]]
     by_length = _smoothed(keys, [sums[k][1] / sums[k][0] for k in keys])
     by_signs = _smoothed(keys, [(sums[k][2] + 1) / sums[k][0] for k in keys])
-    fused = {k: a * b for k, a, b in zip(keys, by_length, by_signs, strict=True)}
+    fused = _with_headings({k: a * b for k, a, b in zip(keys, by_length, by_signs, strict=True)})
     marked = lambda k: k[1] >= 0 and not k[4]
     articles: dict[int, list] = {}
     for k in keys:

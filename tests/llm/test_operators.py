@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -429,6 +430,63 @@ def test_a_name_does_not_veto_the_page(tag):
     assert html.main_text(f"<{tag}><article>{inner}</article></{tag.split()[0]}>") == f"{BODY.strip()}\n\nSee here, too."
 
 
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(12)) + "</ul>"
+UNMARKED = [
+    f"<div><div>{LINKS}</div><div><p>{BODY}</p><p>{BODY}</p></div><div><span>Top</span><span>Shop</span></div></div>",
+    f"<table><tr><td>{LINKS}</td><td><p>{BODY}</p><p>{BODY}</p></td></tr></table>",
+    f"<div><b>Sign in</b><i>Help</i></div><div><div><p>{BODY}</p><blockquote>{BODY}</blockquote></div></div>",
+    f"<article><p>{BODY}</p><p>{BODY}</p></article><div><span>Top</span><b>Shop now</b></div>",
+]
+
+
+def brute_ratios(found):
+    """The paths chosen, by the definition: length and signs per node, smoothed over neighbours of a part, fused, against a tenth of the mean."""
+    keys, sums = html._keys(found), {}
+    for k, (_, text) in zip(keys, found, strict=True):
+        if not k[2]:
+            n, chars, signs = sums.get(k, (0, 0, 0))
+            sums[k] = n + 1, chars + len(text), signs + sum(c in ".,;:!?…。，！？" for c in text)
+    order, fused = list(sums), {}
+    for k in order:
+        part = [x for x in order if x[1:] == k[1:]]
+        at, ratios = part.index(k), []
+        for value in (lambda x: sums[x][1] / sums[x][0], lambda x: (sums[x][2] + 1) / sums[x][0]):
+            near = [(math.exp(-2 * (j - at) ** 2), value(part[j])) for j in (at - 1, at, at + 1) if 0 <= j < len(part)]
+            ratios.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        fused[k] = ratios[0] * ratios[1]
+    plain = dict(fused)
+    for k in order:
+        if k[0] and k[0][-1] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            fused[k] = plain[k] ** 0.125 * max(plain[x] for x in order if x[0][:-1] == k[0][:-1] and x[1:] == k[1:]) ** 0.875
+    scores, sizes = {}, {}
+    for k in order:
+        own = [x for x in order if x[1] == k[1] and not x[4]]
+        names = html.NAMED ** (k[3] + k[4])
+        score = fused[k]
+        if k[1] >= 0 and not k[4]:
+            whole = sum(fused[x] * sums[x][1] for x in own) / sum(sums[x][1] for x in own)
+            score = html.ARTICLE * fused[k] ** 0.125 * whole**0.875
+        scores[k], sizes[k] = score * names, sums[k][1] * names
+    mean = sum(scores[k] * sizes[k] for k in order) / sum(sizes.values()) if order else 0.0
+    return {k for k in order if scores[k] >= 0.1 * mean}
+
+
+def test_ratios_against_brute_force(spark, small):
+    rows = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").select("html").collect()] + UNMARKED + [PAGE]
+    for page in rows:
+        found = [(n, t) for n in html.nodes(page) if (t := "".join(n.parts)).strip()]
+        assert html.content_paths(found)[1] == brute_ratios(found)
+
+
+def test_ratios_decide(monkeypatch):
+    """What no mark or name tells apart is told apart by the ratios; without them the texts are others."""
+    want = "\n\n".join([BODY.strip()] * 2)
+    assert [html.main_text(p) for p in UNMARKED] == [want] * 4
+    assert html.main_text(f"<div>{LINKS}</div><div><p>{BODY}</p><h2>Part two</h2><p>{BODY}</p></div>") == f"{BODY.strip()}\n\nPart two\n\n{BODY.strip()}"
+    monkeypatch.setattr(html, "_smoothed", lambda keys, values: [1.0] * len(keys))
+    assert all(html.main_text(p) != want for p in UNMARKED)
+
+
 def test_extraction_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
