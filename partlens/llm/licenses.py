@@ -113,6 +113,128 @@ public-domain | 2 | 0.6 | (?:released|dedicated|placed) (?:in|into|to) the publi
 proprietary | 3 | 0.5 | all rights reserved
 unknown-free | 3 | 0.3 | (?:an|the) open source licen[sc]e
 """
+#: Signatures of the licenses' own texts and notices, each written from what the license says: label, priority, confidence, expression.
+TEXTS = """
+mit | 1 | 0.9 | to deal in the software without restriction including without limitation the rights
+mit | 2 | 0.7 | the above copyright notice and this permission notice shall be included in all copies
+mit-0 | 1 | 0.9 | mit no attribution
+x11 | 1 | 0.9 | except as contained in this notice the names? of(?: [a-z]+){1,8} shall not be used in advertising
+isc | 1 | 0.9 | with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+0bsd | 1 | 0.9 | (?:bsd )?zero clause (?:bsd|license)
+bsd-2-clause | 1 | 0.9 | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+bsd-3-clause | 1 | 0.9 | neither the names? of(?: [a-z]+){1,8} may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause | 1 | 0.9 | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+apache-2 | 1 | 0.9 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2 | 1 | 0.9 | you may not use this file except in compliance with the license you may obtain a copy of the license at
+apache-2 | 2 | 0.8 | www apache org licen[sc]es licen[sc]e 2 0
+apache-1 | 1 | 0.9 | this product includes software developed by the apache (?:group|software foundation)
+gpl | 1 | 0.9 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e
+gpl-2 | 1 | 0.95 | general public licen[sc]e as published by the free software foundation (?:either )?version 2
+gpl-3 | 1 | 0.95 | general public licen[sc]e as published by the free software foundation (?:either )?version 3
+gpl | 2 | 0.7 | you should have received a copy of the gnu general public licen[sc]e along with this
+gpl | 2 | 0.7 | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e
+lgpl-2.1 | 1 | 0.95 | gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation (?:either )?version 2
+lgpl-3 | 1 | 0.95 | gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 3
+lgpl | 2 | 0.7 | you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e along with this
+agpl-3 | 1 | 0.95 | gnu affero general public licen[sc]e as published by the free software foundation (?:either )?version 3
+agpl-3 | 2 | 0.7 | you should have received a copy of the gnu affero general public licen[sc]e along with this
+gfdl | 1 | 0.9 | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e
+gfdl | 2 | 0.8 | with no invariant sections no front cover texts and no back cover texts
+gpl-classpath | 1 | 0.9 | linking this library statically or dynamically with other modules is making a combined work
+gpl-linking | 2 | 0.7 | as a special exception(?: [a-z]+){1,12} permission to link
+mpl-2 | 1 | 0.95 | this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0
+mpl-2 | 2 | 0.8 | mozilla org mpl 2 0
+mpl-1.1 | 1 | 0.9 | the contents of this file are subject to the mozilla public licen[sc]e version 1 1
+npl | 1 | 0.9 | the contents of this file are subject to the netscape public licen[sc]e
+epl-2 | 1 | 0.95 | made available under the terms of the eclipse public licen[sc]e 2 0
+epl-1 | 1 | 0.95 | made available under the terms of the eclipse public licen[sc]e v1 0
+edl-1 | 1 | 0.9 | eclipse distribution licen[sc]e
+cddl-1 | 1 | 0.95 | the contents of this file are subject to the terms of the common development and distribution licen[sc]e
+cpl-1 | 1 | 0.9 | made available under the terms of the common public licen[sc]e
+ipl-1 | 1 | 0.9 | ibm public licen[sc]e
+spl-1 | 1 | 0.9 | sun public licen[sc]e
+apsl-2 | 1 | 0.9 | apple public source licen[sc]e
+rpl | 1 | 0.9 | reciprocal public licen[sc]e
+qpl | 1 | 0.9 | q public licen[sc]e
+lppl | 1 | 0.9 | latex project public licen[sc]e
+ofl-1.1 | 1 | 0.9 | the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself
+ofl-1.1 | 2 | 0.8 | with reserved font name
+zlib | 1 | 0.9 | the origin of this software must not be misrepresented you must not claim that you wrote the original software
+zlib | 2 | 0.8 | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+libpng | 1 | 0.9 | the png reference library is supplied as is
+libtiff | 1 | 0.9 | the names of sam leffler and silicon graphics may not be used in any advertising
+ijg | 1 | 0.9 | this software is based in part on the work of the independent jpeg group
+bzip2 | 1 | 0.9 | this program bzip2 the associated library libbzip2
+curl | 1 | 0.8 | copyright c(?: [a-z0-9]+){1,5} daniel stenberg
+boost-1 | 1 | 0.9 | distributed under the boost software licen[sc]e version 1 0
+boost-1 | 1 | 0.9 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e
+unlicense | 1 | 0.9 | anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl | 1 | 0.9 | do what the fuck you want to public licen[sc]e
+beerware | 1 | 0.9 | if we meet some day and you think this stuff is worth it you can buy me a beer in return
+cc0 | 1 | 0.9 | to the extent possible under law(?: [a-z]+){1,10} has waived all copyright and related or neighboring rights
+cc0 | 2 | 0.8 | creativecommons org publicdomain zero
+cc-by | 2 | 0.8 | creativecommons org licen[sc]es by [1-4]
+cc-by-sa | 2 | 0.8 | creativecommons org licen[sc]es by sa
+cc-by-nc | 2 | 0.8 | creativecommons org licen[sc]es by nc [1-4]
+cc-by-nd | 2 | 0.8 | creativecommons org licen[sc]es by nd
+cc-by-nc-sa | 2 | 0.8 | creativecommons org licen[sc]es by nc sa
+cc-by-nc-nd | 2 | 0.8 | creativecommons org licen[sc]es by nc nd
+pddl-1 | 1 | 0.9 | opendatacommons org licen[sc]es pddl
+odbl-1 | 1 | 0.9 | this(?: [a-z]+){1,10} is made available under the open database licen[sc]e
+odc-by-1 | 1 | 0.9 | opendatacommons org licen[sc]es by
+cdla-permissive | 1 | 0.9 | community data licen[sc]e agreement permissive
+cdla-sharing | 1 | 0.9 | community data licen[sc]e agreement sharing
+artistic-2 | 1 | 0.9 | the intent of this document is to state the conditions under which a package may be copied
+perl | 2 | 0.8 | under the same terms as perl itself
+python-2 | 1 | 0.9 | psf is making python available to licensee on an as is basis
+cnri-python | 1 | 0.9 | cnri grants licensee a nonexclusive royalty free world wide licen[sc]e
+php-3 | 1 | 0.9 | this product includes php software freely available from
+ruby | 2 | 0.8 | under the same terms as ruby
+tcl | 1 | 0.9 | the authors hereby grant permission to use copy modify distribute and licen[sc]e this software and its documentation for any purpose
+openssl | 1 | 0.9 | this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay | 1 | 0.9 | this product includes cryptographic software written by eric young
+openldap | 1 | 0.9 | openldap public licen[sc]e
+postgresql | 1 | 0.9 | in no event shall the university of california be liable to any party for direct indirect special
+w3c | 1 | 0.9 | by obtaining using and or copying this work you the licensee agree that you have read understood and will comply
+ncsa | 1 | 0.9 | neither the names of(?: [a-z]+){0,10} university of illinois(?: [a-z]+){0,10} may be used to endorse
+hpnd | 1 | 0.8 | permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted
+ntp | 1 | 0.8 | makes no representations about the suitability this software for any purpose
+afl-3 | 1 | 0.9 | licensed under the academic free licen[sc]e version 3
+osl-3 | 1 | 0.9 | licensed under the open software licen[sc]e version 3
+ecl-2 | 1 | 0.9 | educational community licen[sc]e version 2
+eupl | 1 | 0.9 | licensed under the eupl
+cecill | 1 | 0.9 | this software is governed by the cecill(?: [abc])? licen[sc]e
+ms-pl | 1 | 0.9 | this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e
+upl-1 | 1 | 0.9 | subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software
+bsl-1.1 | 1 | 0.9 | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
+sspl-1 | 1 | 0.9 | server side public licen[sc]e
+elastic-2 | 1 | 0.9 | you may not provide the software to third parties as a hosted or managed service
+commons-clause | 1 | 0.9 | commons clause licen[sc]e condition
+polyform-nc | 1 | 0.9 | polyform noncommercial licen[sc]e
+polyform-shield | 1 | 0.9 | polyform shield licen[sc]e
+prosperity | 1 | 0.9 | prosperity public licen[sc]e
+parity | 1 | 0.9 | parity public licen[sc]e
+hippocratic | 1 | 0.9 | hippocratic licen[sc]e
+json | 1 | 0.9 | the software shall be used for good not evil
+unicode | 1 | 0.9 | unicode licen[sc]e agreement data files and software
+icu | 1 | 0.8 | icu licen[sc]e
+vim | 1 | 0.9 | vim is charityware
+mulan-2 | 1 | 0.9 | you can use this software according to the terms and conditions of the mulan psl v2
+openrail | 1 | 0.8 | (?:creativeml )?open ?rail(?: [a-z]{1,3})? licen[sc]e
+llama | 1 | 0.8 | llama [1-4](?: [0-9])? community licen[sc]e
+gemma | 1 | 0.8 | gemma terms of use
+proprietary | 2 | 0.7 | this (?:software|document|file) (?:is|contains) (?:the )?(?:confidential and )?proprietary (?:information )?(?:of|to)
+proprietary | 2 | 0.7 | unauthori[sz]ed (?:copying|reproduction|distribution) of this (?:file|document|work|software)(?: [a-z]+){0,8} is (?:strictly )?prohibited
+proprietary | 2 | 0.6 | may not be reproduced (?:distributed )?(?:or transmitted )?in any form (?:or by any means )?without (?:the )?(?:express |prior )?(?:written )?permission
+no-commercial | 2 | 0.6 | for non ?commercial (?:use|purposes|research) only
+research-only | 2 | 0.6 | for (?:academic|research) (?:use|purposes) only
+freeware | 3 | 0.4 | (?:is|as) freeware
+shareware | 3 | 0.4 | (?:is|as) shareware
+public-domain | 2 | 0.7 | this (?:work|file|software|document|image) is (?:in|hereby in) the public domain
+public-domain | 2 | 0.7 | united states government work and is not subject to copyright
+copyleft | 3 | 0.3 | some rights reserved
+see-file | 3 | 0.2 | see (?:the )?(?:file )?(?:licen[sc]e|copying) (?:file )?for (?:licen[sc]ing )?(?:details|terms|information)
+"""
 RULE = "array<struct<label:string,priority:int,confidence:double,keywords:array<string>,pattern:string>>"
 SPANS = "array<struct<start:int,stop:int>>"
 
@@ -178,7 +300,7 @@ def rules() -> list[dict]:
         label, name = (x.strip() for x in line.split(" | "))
         for priority, confidence, form in FORMS:
             made.append({"label": label, "priority": priority, "confidence": confidence, "keywords": sorted(needed(name)), "pattern": f"(?<= )(?:{form.format(name)})(?= )"})
-    for line in OTHERS.strip().splitlines():
+    for line in (OTHERS + TEXTS).strip().replace("\n\n", "\n").splitlines():
         label, priority, confidence, pattern = (x.strip() for x in line.split(" | "))
         made.append({"label": label, "priority": int(priority), "confidence": float(confidence), "keywords": sorted(needed(pattern)), "pattern": f"(?<= ){pattern}(?= )"})
     return made
@@ -186,7 +308,7 @@ def rules() -> list[dict]:
 
 def gate() -> str:
     """What a text must hold to be looked at: the words that a form, another signature or a base phrase needs."""
-    runs = set().union(*(needed(form.replace("{}", "[a-z]*"), 32) for _, _, form in FORMS), *(needed(line.split(" | ")[3].strip(), 32) for line in OTHERS.strip().splitlines()), *(needed(p) for p in BASE))
+    runs = set().union(*(needed(form.replace("{}", "[a-z]*"), 32) for _, _, form in FORMS), *(needed(line.split(" | ")[3].strip(), 32) for line in (OTHERS + TEXTS).strip().replace("\n\n", "\n").splitlines()), *(needed(p) for p in BASE))
     runs = sorted(x.removesuffix(" ") for x in _least(runs))
     if not all(x.startswith(" ") and len(x) > 3 for x in runs):
         raise ValueError(f"a rule needs no word: {runs}")

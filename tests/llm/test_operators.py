@@ -257,7 +257,7 @@ def example(parsed, n):
         elif name == "BRANCH":
             out += example(what[1][n % len(what[1])], n)
         elif name == "MAX_REPEAT":
-            out += example(what[2], n) if n % 2 else ""
+            out += example(what[2], n) * max(what[0], n % 2)
     return out
 
 
