@@ -122,7 +122,7 @@ def sequences(docs: DataFrame, layout: Layout, end_id: int = 2, vocab: str | Non
 
         for batch in batches:
             names, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            for lo, hi in chunks(texts, 1_500_000):
+            for lo, hi in chunks(texts, 4_000_000):
                 records = []
                 for doc, ids in zip(names[lo:hi], encoder(path).encode(texts[lo:hi]), strict=True):
                     ids, at = ids + end, 0

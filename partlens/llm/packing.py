@@ -93,7 +93,7 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, piece: int = 10
 
         for batch in batches:
             ids_of, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            for lo, hi in chunks(texts, 3_000_000):
+            for lo, hi in chunks(texts, 4_000_000):
                 rows = []
                 for doc, ids in zip(ids_of[lo:hi], encoder(path).encode(texts[lo:hi]), strict=True):
                     ids += end

@@ -102,14 +102,16 @@ class Encoder:
         both = np.column_stack([left[which], right[which]]).ravel()
         own, first = sizes[both], (np.cumsum(sizes) - sizes)[both]
         ends = np.cumsum(own)
-        made = ids[np.repeat(first - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+        place = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)  # a batch has far fewer ids than 2**31
+        place += np.repeat((first - ends + own).astype(np.int32), own)
+        made = ids[place]
         at = np.concatenate([[0], ends])[2 * (np.asarray(cut.offsets) - cut.offsets[0].as_py())]
         return [made[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def _looked_up(self, texts: pa.Array, valid: np.ndarray, cache: Recent, encode) -> tuple[list[bytes], np.ndarray]:
         """The ids of an Arrow array's distinct texts, and for each element the number of its own (0 where it isn't valid)."""
         coded = pc.dictionary_encode(texts.filter(pa.array(valid)))
-        number = np.zeros(len(texts), np.int64)
+        number = np.zeros(len(texts), np.int32)
         number[valid] = coded.indices.to_numpy()
         return self._found(coded.dictionary.to_pylist(), cache, encode), number
 
