@@ -267,13 +267,13 @@ def scalar_subquery_reason(t):
 
 
 @query("""WITH a AS (SELECT p_partkey AS part_id, p_name FROM part), x AS (SELECT p_name, min(p_partkey) AS m FROM part WHERE p_size > 25 GROUP BY 1), y AS (SELECT split_part(p_name, ' ', 1) AS w, min(p_partkey) AS m FROM part WHERE p_size > 45 GROUP BY 1)
- SELECT a.part_id, coalesce(x.m, y.m) AS matched, CASE WHEN x.m IS NOT NULL THEN 'exact' WHEN y.m IS NOT NULL THEN 'loose' ELSE 'none' END AS level FROM a LEFT JOIN x USING (p_name) LEFT JOIN y ON split_part(a.p_name, ' ', 1) = y.w""")
+ SELECT a.part_id, coalesce(x.m, y.m, -1) AS matched, CASE WHEN x.m IS NOT NULL THEN 'exact' WHEN y.m IS NOT NULL THEN 'loose' ELSE 'none' END AS level FROM a LEFT JOIN x USING (p_name) LEFT JOIN y ON split_part(a.p_name, ' ', 1) = y.w""")
 def match_cascade(t):
     word = F.split_part("p_name", F.lit(" "), F.lit(1))
     exact = t("part").where("p_size > 25").groupBy("p_name").agg(F.min("p_partkey").alias("m1"))
     loosely = t("part").where("p_size > 45").groupBy(word.alias("w")).agg(F.min("p_partkey").alias("m2"))
     rows = t("part").select(F.col("p_partkey").alias("part_id"), "p_name", word.alias("w")).join(exact, "p_name", "left").join(loosely, "w", "left")
-    return rows.select("part_id", F.coalesce("m1", "m2").alias("matched"), F.when(F.col("m1").isNotNull(), "exact").when(F.col("m2").isNotNull(), "loose").otherwise("none").alias("level"))
+    return rows.select("part_id", F.coalesce("m1", "m2", F.lit(-1)).alias("matched"), F.when(F.col("m1").isNotNull(), "exact").when(F.col("m2").isNotNull(), "loose").otherwise("none").alias("level"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

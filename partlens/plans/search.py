@@ -27,10 +27,10 @@ STORE = f"""store AS (SELECT {FIELDS} FROM (SELECT *, list_extract({STORED}, CAS
 
 def store(t):
     keys = F.array(*map(F.lit, STORED))
-    return t("lineitem").withColumn("key", F.get(keys, ((F.col("l_suppkey") * 7 + F.col("l_linenumber") * 3 + F.col("l_orderkey")) % 24).cast("int"))).selectExpr(*_split(FIELDS))
+    return t("lineitem").withColumn("key", F.get(keys, ((F.col("l_suppkey") * 7 + F.col("l_linenumber") * 3 + F.col("l_orderkey")) % 24).cast("int"))).selectExpr(*split_fields(FIELDS))
 
 
-def _split(fields: str) -> list[str]:
+def split_fields(fields: str) -> list[str]:
     """The expressions of a select list, apart at the commas outside of brackets, quotes and cases."""
     out, depth, at, quoted = [], 0, 0, False
     for i, c in enumerate(fields):
@@ -82,7 +82,7 @@ PARTS = """parts AS (SELECT p_partkey AS part_id, p_name AS mpn, CASE p_size % 4
 
 def parts(t):
     sql = PARTS[PARTS.index("SELECT ") + 7 : PARTS.rindex(" FROM part)")]
-    return t("part").selectExpr(*_split(sql))
+    return t("part").selectExpr(*split_fields(sql))
 
 
 EVIDENCE = f"evidence AS (SELECT l_partkey AS part_id, l_returnflag AS signal, CASE l_linestatus WHEN 'F' THEN 2.0 ELSE -1.5 END AS weight, '' AS snippet, {SEQ} AS seq FROM lineitem)"
