@@ -169,3 +169,54 @@ def test_stream_replay_equals_batch(spark, small, tmp_path):
     run.awaitTermination(120)
     key = lambda rows: sorted((str(r.start), r.event_type, r.n) for r in rows)
     assert key(spark.table("replayed").collect()) == key(state.windows(events).collect())
+
+
+def test_bands_and_tables():
+    f = np.array([0.5, 1.0, 10.0, 15.0, 22.0, 30.0, 50.0])
+    bands = [(20.0, 40.0, 1.9), (1.0, 10.0, 1.1), (10.0, 20.0, 1.3)]
+    assert net.in_bands(bands, f).tolist() == [1.1, 1.1, 1.1, 1.3, 1.9, 1.9, 1.9]
+    assert np.isclose(net.in_bands(bands, np.array([50.0]), "linear")[0], 1.9 + 0.6 / 15 * 20)
+    assert net.in_bands([], f).tolist() == [1.0] * 7
+    with np.testing.assert_raises(ValueError):
+        net.in_bands(bands, f, "error")
+    assert net.points([(2, 4), (1, 2)])(np.array([0.5, 1.5, 9])).tolist() == [2, 3, 4] and net.const(3)(f).tolist() == [3] * 7
+    assert net.interpolated(np.array([2.0, 1.0]), np.array([2j, 1 + 0j]), 1.5) == 0.5 + 1j
+    with np.testing.assert_raises(ValueError):
+        net.interpolated(np.array([2.0, 1.0]), np.array([2j, 1j]), 3)
+
+
+def test_cable_models():
+    f = net.grid(1, 18, 0.5)
+    spec = net.Cable(*net.JUMPER, vswr=((0.0, 6.0, 1.2), (6.0, 18.0, 1.4)), stability_ppm=100.0)
+    for kind in ("none", "flat", "ripple"):
+        s = net.cable(spec, f, 3.0, kind)
+        assert np.allclose(s[:, 0, 1], s[:, 1, 0]) and (np.abs(s[:, 0, 0]) ** 2 + np.abs(s[:, 1, 0]) ** 2 <= 1 + 1e-12).all()
+    assert np.allclose(-20 * np.log10(np.abs(net.cable(spec, f, 3.0, "none")[:, 1, 0])), spec.loss_db(f, 3.0))
+    assert np.allclose(np.abs(net.cable(spec, f, 3.0, "flat")[:, 0, 0]), np.where(f <= 6, 0.2 / 2.2, 0.4 / 2.4))
+    assert (np.abs(net.cable(spec, f, 3.0)[:, 0, 0]) <= 0.4 / 2.4 + 1e-3).all()
+    assert np.isclose(spec.delay_s(1.0, 1.0) / spec.delay_s(1.0), 1.0001) and np.isclose(net.Cable(delay_ns_per_foot=1.5).delay_s(2), 3e-9)
+
+
+def test_device_matrix():
+    f = net.grid(1, 2, 1)
+    spec = net.Device(3, (net.Path(1, 2, net.poly(-1.0, -0.5), 0.1), net.Path(2, 3, net.const(12), reciprocal=False, reverse_db=30)), isolation_db=40, vswr={2: ((0.0, 9.0, 3.0),)})
+    s = net.device(spec, f)
+    assert np.allclose(20 * np.log10(np.abs(s[:, 1, 0])), [-1.5, -2]) and np.allclose(s[:, 1, 0], s[:, 0, 1])
+    assert np.allclose(np.abs(s[:, 2, 1]), 10 ** (12 / 20)) and np.allclose(np.abs(s[:, 1, 2]), 10 ** (-30 / 20)) and np.allclose(np.abs(s[:, 2, 0]), 0.01)
+    assert np.allclose(s[:, 1, 1], 0.5) and np.allclose(s[:, 0, 0], 0)
+    assert net.between_ports(s, [3, 1]).shape == (2, 2, 2) and np.allclose(net.between_ports(s, [3, 1])[:, 0, 1], s[:, 2, 0])
+    assert np.allclose(net.noise_db(spec, f, s), [1.5, 2]) and net.noise_db(net.Device(2, noise_db=net.const(3)), f, s).tolist() == [3, 3]
+    assert np.isclose(np.angle(s[0, 1, 0]), -2 * np.pi * 0.1)
+
+
+def test_parts_and_targets():
+    w = 2 * np.pi * 1e9
+    assert net.series_part(10, w) == ("L", 10 / w) and net.series_part(-10, w) == ("C", 1 / (w * 10)) and net.series_part(0, w)[0] == "none"
+    assert net.shunt_part(0.1, w) == ("C", 0.1 / w) and net.shunt_part(-0.1, w) == ("L", 1 / (w * 0.1))
+    noise = [(1.0, 0.5, 0.2 + 0j, 0.1), (2.0, 0.6, 0.4 + 0j, 0.1)]
+    assert net.wanted_impedance(50, 1.5, 20 + 1j, 0.5) == 20 + 1j and net.wanted_impedance(50, 1.5, None, 0.5) == 150
+    assert np.isclose(net.wanted_impedance(50, 1.5, noise=noise), 50 * 1.3 / 0.7) and net.wanted_impedance(50, 1, to_z0=True) == 50
+    with np.testing.assert_raises(ValueError):
+        net.wanted_impedance(50, 1)
+    assert net.design_frequency(noise, []) == 1.5 and net.design_frequency([], [(4.0,), (6.0,)]) == 5 and net.design_frequency(noise, [], 9) == 9
+    assert net.impedance(0.0) == 50 and net.impedance(1 / 3) == 100.00000000000001 or np.isclose(net.impedance(1 / 3), 100)
