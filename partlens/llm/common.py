@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,16 +83,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of a block of the tables between steps.
+BLOCK = 32 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK).parquet(path)  # a task holds a block until it is full
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000):
+    """Rows go to Python workers in batches of at most so many: for long texts and records, whose batches are held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before_ = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before_)) if int(before_) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before_)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more: rounds of an iteration leave one table."""
     spark = df.sparkSession

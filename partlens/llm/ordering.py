@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, small_batches, written
 from .shingles import mixed
 from .tokens import chunks, encoder, vocabulary
 
@@ -147,6 +147,11 @@ def sequences(docs: DataFrame, layout: Layout, end_id: int = 2, vocab: str | Non
 
 def write_shards(docs: DataFrame, path: str, layout: Layout = Layout(), key: int = 1, together: int = 1, vocab: str | None = None) -> int:
     """Writes the shards, shard=<number>/part-*, below path; a task writes `together` neighbouring shards. Returns the number of sequences."""
+    with small_batches(docs.sparkSession):
+        return _write_shards(docs, path, layout, key, together, vocab)
+
+
+def _write_shards(docs: DataFrame, path: str, layout: Layout, key: int, together: int, vocab: str | None) -> int:
     made = written(sequences(docs, layout, vocab=vocab), "sequences")
     counts = {r["part"]: r["n"] for r in made.groupBy("part").agg((F.max("place") + 1).alias("n")).collect()}
     sizes = np.zeros(max(counts, default=-1) + 1, np.int64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries kept in each generation of a worker's cache. This bounds memory only: what is not kept is encoded again.
-CACHE = 250_000
+CACHE = 200_000
 #: A longer piece is encoded but not kept.
 KEEP = 48
 #: Letters, whose ids don't depend on case, and the signs after them, which the vocabulary's split takes apart.
