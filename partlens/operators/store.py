@@ -47,3 +47,73 @@ def pop(frontier: DataFrame, domain: str, priority: str, budget: int, tie: str)
 def done(rows: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
     """Resume: what the log hasn't completed."""
     return rows.join(log.select(*key).distinct(), key, "left_anti")
+
+
+def merged_facts(old: Column, new: Column) -> Column:
+    """Facts of a vendor as a map: new values win, others stay."""
+    old, new = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (old, new))
+    return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def counted_templates(hits: DataFrame) -> DataFrame:
+    """domain, n_segments, prefix with the sum of their hits."""
+    return hits.groupBy("domain", "n_segments", "prefix").agg(F.sum("hits").alias("hits"), F.max("updated_at").alias("updated_at"))
+
+
+def overlaid(base: DataFrame, overlay: DataFrame, key: str) -> DataFrame:
+    """Rows of both by key; what the overlay states wins, column by column."""
+    columns = [c for c in dict.fromkeys([*base.columns, *overlay.columns]) if c != key]
+    a = base.select(key, *(F.col(c).alias(f"_a_{c}") for c in base.columns if c != key))
+    b = overlay.select(key, *(F.col(c).alias(f"_b_{c}") for c in overlay.columns if c != key))
+    side = lambda c: [F.col(f"_{x}_{c}") for x, own in (("b", overlay), ("a", base)) if c in own.columns]
+    return a.join(b, key, "full").select(key, *(F.coalesce(*side(c)).alias(c) for c in columns))
+
+
+def first_of(sources: list[DataFrame], key: list[str]) -> DataFrame:
+    """Rows of several sources in order of their rank: those of a later source only where an earlier one has no row of the key."""
+    out = None
+    for i, rows in enumerate(sources):
+        own = rows.withColumn("_rank", F.lit(i))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    best = Window.partitionBy(*key)
+    return out.withColumn("_best", F.min("_rank").over(best)).where("_rank = _best").drop("_rank", "_best")
+
+
+def vendor_names(registry: DataFrame, stored: DataFrame) -> DataFrame:
+    """vendor: names of the registry and the store, folded on letters and digits; the registry's spelling wins."""
+    from partlens.functions.text import vendor_norm
+
+    rows = first_of([registry.select("vendor").where("trim(vendor) <> ''").withColumn("k", vendor_norm(F.col("vendor"))), stored.select("vendor").where("trim(vendor) <> ''").withColumn("k", vendor_norm(F.col("vendor")))], ["k"])
+    return rows.groupBy("k").agg(F.min("vendor").alias("vendor")).select("vendor").orderBy(F.lower("vendor"))
+
+
+def link_lists(targets: list[DataFrame], key: list[str]) -> DataFrame:
+    """key, urls: addresses of several sources in the order of their rank, each once; space is the highest stated."""
+    out = None
+    for i, rows in enumerate(targets):
+        own = rows.withColumn("_rank", F.lit(i))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "seq", "url"))), lambda x: x["url"]))
+    return out.groupBy(*key).agg(listed.alias("urls"), F.max(F.when(F.col("space") == "space_qualified", 2).when(F.col("space") == "space_grade", 1).otherwise(0)).alias("space"))
+
+
+def reset(parts: DataFrame, children: dict[str, DataFrame], vendors: list[str] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The store without the vendors' parts (all, if none are named) and without rows that belong to them."""
+    from partlens.functions.text import vendor_matches
+
+    gone = F.lit(vendors is None)
+    for v in vendors or []:
+        gone |= vendor_matches(F.col("vendor"), F.lit(v))
+    kept = parts.where(~gone)
+    return kept, {name: rows.join(kept.select("part_id"), "part_id", "left_semi") for name, rows in children.items()}
+
+
+def sampled(rows: DataFrame, cell: list[str], key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows of each cell by a seeded hash: the same ones in every run."""
+    at = Window.partitionBy(*cell).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
+    return rows.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= n).drop("_n")
+
+
+def last_by(rows: DataFrame, column: Column, descending: bool = False) -> list[Column]:
+    """An order by a column in which missing values come last either way."""
+    return [column.desc_nulls_last() if descending else column.asc_nulls_last()]

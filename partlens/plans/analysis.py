@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partlens.functions import numbers as N
 from partlens.functions import text as X
 from partlens.operators import classify as C
+from partlens.operators import lookup as U
 from partlens.operators import measurements as M
 
 from .registry import query, r6
@@ -221,20 +222,16 @@ def json_field_survey(t):
 @query("""SELECT o_orderkey, CASE WHEN f < 1 THEN 1.1 WHEN f > 40 THEN 1.9 ELSE (CASE WHEN f <= 10 THEN 1.1 WHEN f <= 20 THEN 1.3 ELSE 1.9 END) END AS vswr FROM (SELECT o_orderkey, o_totalprice / 5000 AS f FROM orders)""")
 def piecewise_lookup(t):
     """The first ascending band that holds the frequency; below the first, beyond the last held."""
-    bands = [(1.0, 10.0, 1.1), (10.0, 20.0, 1.3), (20.0, 40.0, 1.9)]
-    f = F.col("o_totalprice") / 5000
-    inside = F.coalesce(*(F.when((f >= lo) & (f <= hi), v) for lo, hi, v in bands))
-    return t("orders").select("o_orderkey", F.coalesce(inside, F.when(f < bands[0][0], bands[0][2]).otherwise(bands[-1][2])).alias("vswr"))
+    bands = t("region").sparkSession.createDataFrame([(1.0, 10.0, 1.1), (10.0, 20.0, 1.3), (20.0, 40.0, 1.9)], "lo double, hi double, vswr double")
+    return U.piecewise(t("orders").select("o_orderkey", (F.col("o_totalprice") / 5000).alias("f")), bands, "f", "vswr").select("o_orderkey", "vswr")
 
 
 @query("""WITH k AS (SELECT i * 4.0 AS f, pow(i, 2) * 1.0 AS v FROM range(0, 14) x(i)), q AS (SELECT DISTINCT l_quantity AS f FROM lineitem) SELECT q.f, round(a.v + (b.v - a.v) * (q.f - a.f) / 4.0, 6) AS v FROM q JOIN k a ON a.f = floor(q.f / 4) * 4 JOIN k b ON b.f = a.f + 4""")
 def interp_asof(t):
     """Linear interpolation between the samples below and above."""
-    f = F.col("f")
-    below = F.floor(f / 4)
-    value = lambda i: i * i * 1.0
-    rows = t("lineitem").select(F.col("l_quantity").alias("f")).distinct()
-    return rows.select("f", r6(value(below) + (value(below + 1) - value(below)) * (f - below * 4) / 4.0, "v"))
+    samples = t("region").sparkSession.range(0, 14).select(F.lit(0).alias("k"), (F.col("id") * 4.0).alias("f"), (F.col("id") * F.col("id")).cast("double").alias("v"))
+    asked = t("lineitem").select(F.lit(0).alias("k"), F.col("l_quantity").alias("f")).distinct()
+    return U.interpolated(asked, samples, ["k"], "f", ["v"]).select("f", r6(F.col("v"), "v"))
 
 
 @query("SELECT p_partkey AS part_id, round(0.1 + 0.002 * p_size + 0.03 * sqrt(p_size) + 3 * (0.01 + 0.001 * p_size + 0.02 * sqrt(p_size)), 6) AS loss_db, round(3 * 0.3048 / (0.7 * 299792458.0) * 1e9, 6) AS delay_ns FROM part")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from partlens.functions import numbers as N
 from partlens.functions import text as X
+from partlens.operators import filters as L
 from partlens.operators import resolve as R
 from partlens.operators import store as S
 
@@ -127,8 +128,7 @@ def band_filter_window(t):
 
 @query("SELECT p_partkey AS part_id, p_type FROM part WHERE p_type LIKE '%STEEL%' OR NOT (p_type LIKE '%BRASS%' OR p_type LIKE '%COPPER%')")
 def sibling_filter(t):
-    kind = F.col("p_type")
-    return t("part").where(kind.contains("STEEL") | ~(kind.contains("BRASS") | kind.contains("COPPER"))).select(F.col("p_partkey").alias("part_id"), "p_type")
+    return t("part").where(L.sibling_keep(F.col("p_type"), F.lit(None).cast("string"), ["steel"], ["brass", "copper"])).select(F.col("p_partkey").alias("part_id"), "p_type")
 
 
 @query("SELECT coalesce(nullif(trim(p_brand), ''), '(unknown)') AS vendor, count(*) AS n FROM part GROUP BY 1")
