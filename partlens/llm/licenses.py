@@ -1,14 +1,15 @@
 """License detection by ordered signature rules, in DataFrame functions alone.
 
-A text is scanned once for the gate: word runs one of which every rule and phrase needs. Only texts that hold one go on.
-Their lower-cased words, joined by one blank, are what the rules' regular expressions see, and of these only those
+A text's lower-cased words are joined by one blank. That line is scanned once for the gate: word runs one of which every rule
+and phrase needs. Only lines that hold one go on to the rules' regular expressions, and of these only those
 one of whose own keywords occurs are run. Gate and keywords are derived from the expressions (`needed`).
 A detection is an interval of words with a priority. Detections are ordered by start (longer first); one that lies
 inside an earlier one of the same or a higher priority is suppressed, others stay.
 
 The three base phrases are found in the same way, count at all their places and are never suppressed.
 
-Null texts are empty; a text without words has no places, null first and last words, empty labels and score 0.
+Null texts are empty; an empty table gives no rows; very long texts are scanned whole, in time about linear in their length and
+matches; repeated rows have the same result; other columns are ignored, whatever their names; a text without words has no places, null first and last words, empty labels and score 0.
 The score is the greatest confidence of the kept detections.
 """
 
@@ -21,7 +22,7 @@ from re import _parser as syntax
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, before, let, running, words
+from .common import before, let, running, words
 
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -307,12 +308,34 @@ def rules() -> list[dict]:
 
 
 def gate() -> str:
-    """What a text must hold to be looked at: the words that a form, another signature or a base phrase needs."""
-    runs = set().union(*(needed(form.replace("{}", "[a-z]*"), 32) for _, _, form in FORMS), *(needed(line.split(" | ")[3].strip(), 32) for line in (OTHERS + TEXTS).strip().replace("\n\n", "\n").splitlines()), *(needed(p) for p in BASE))
+    """What a line of words must hold to be looked at: the words that a form, another signature or a base phrase needs, as a tree of their letters."""
+    lines = (OTHERS + TEXTS).strip().replace("\n\n", "\n").splitlines()
+    runs = set().union(*(needed(form.replace("{}", "[a-z]*"), 32) for _, _, form in FORMS), *(needed(line.split(" | ")[3].strip(), 32) for line in lines), *(needed(p) for p in BASE))
     runs = sorted(x.removesuffix(" ") for x in _least(runs))
     if not all(x.startswith(" ") and len(x) > 3 for x in runs):
         raise ValueError(f"a rule needs no word: {runs}")
-    return rf"(?i)(?:^|{GAP})(?:{'|'.join(x.strip().replace(' ', f'{GAP}+') for x in runs)})"
+    return _tree(runs)
+
+
+def _tree(strings: list[str]) -> str:
+    """An expression for any of the strings that takes each letter once."""
+    if "" in strings:
+        return ""
+    if len(strings) == 1:
+        return syntax_escape(strings[0])
+    branches = [syntax_escape(first) + _tree(sorted(x[1:] for x in own)) for first, own in _by_first(strings)]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
+def _by_first(strings: list[str]) -> list[tuple[str, list[str]]]:
+    groups: dict[str, list[str]] = {}
+    for x in strings:
+        groups.setdefault(x[0], []).append(x)
+    return list(groups.items())
+
+
+def syntax_escape(x: str) -> str:
+    return "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in x)
 
 
 def _blanks(x: Column) -> Column:
@@ -347,9 +370,9 @@ def detect(docs: DataFrame, prefilter: bool = True) -> DataFrame:
 
     Gate and keywords save work only; without `prefilter` every rule is run on every text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = rows.select("doc_id", F.size(words(F.col("_text"))).cast("long").alias("n_words"), (F.when(F.rlike(F.col("_text"), F.lit(gate())), F.col("_text")) if prefilter else F.col("_text")).alias("_text"))
-    rows = rows.withColumn("_line", F.when(F.col("_text").isNotNull(), F.concat(F.lit(" "), F.array_join(words(F.col("_text")), " "), F.lit(" "))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(words(F.col("text").cast("string")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("line"))).alias("_w"))
+    line = F.col("_w.line")
+    rows = rows.select("doc_id", F.col("_w.n").alias("n_words"), (F.when(F.rlike(line, F.lit(gate())), line) if prefilter else line).alias("_line"))
     phrases = F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(label).alias("label")) for p, label in BASE.items()))
     base = F.flatten(F.transform(phrases, lambda b: F.transform(spans(F.col("_line"), F.concat(F.lit("(?<= )"), b["phrase"], F.lit("(?= )"))), lambda s: F.struct(s["start"].alias("start"), b["label"].alias("label")))))
     table = F.from_json(F.lit(json.dumps(rules())), RULE)
