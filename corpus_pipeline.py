@@ -15,23 +15,39 @@ from partlens.llm import decontamination, neardup, packing, pii, toxicity
 from partlens.llm.common import written
 
 
+#: Rows that go to a Python worker at a time: whole texts, so a batch is held several times over on either side.
+BATCH = 2_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Stages are written after they return, so the session keeps the setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return pii.mask(docs)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("input_ids"))
 
 
