@@ -1,8 +1,9 @@
 """Positive-unlabeled text classification: TF-IDF features, bags of logistic regressions, held-out and out-of-bag scores.
 
-docs(id, text, label): label is P (positive), U (unlabeled) or N (labelled negative). Features and memberships are columns;
-each bag is fitted in a task of its own, so bags and folds run side by side. A task holds one bag: the positives, the
-negatives and as many unlabeled rows as there are positives.
+docs(id, text, label), a row for each id: label is P (positive), U (unlabeled) or N (labelled negative). A bag holds the
+positives, the negatives and as many unlabeled rows as there are positives. Each bag's first FIRST rows or so are fitted in a
+task of their own; where a bag has more, passes over the rows of all bags lead all models to the optimum over whole bags, so a
+task never holds more than a batch and the models.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +22,14 @@ from partlens.functions import text as X
 from partlens.session import written
 
 from . import classify
+from . import grams as G
 
 #: Language of logic and driver chips, which negatives are weighted by, and of what is no flight part.
 LOGIC = "cmos driver, cmos drivers, cmos logic, cmos buffer, cmos inverter, cmos translator, cmos receiver, level translator, level shifter, logic translator, logic shifter, voltage translator, voltage shifter, gate driver, line driver, clock driver, led driver, motor driver, display driver, relay driver, driver ic, driver array, octal driver, octal buffer, lvcmos, lvttl, hcmos, nand gate, nor gate, xor gate, flip flop, flipflop, shift register"
 NO_FLIGHT = "eval, evaluation, kit, test board, demo, adapter, torque, wrench, hand held, handheld, carrying case, software, power supply"
 SCALE = 1_000_000
+#: Rows of a bag that are fitted in one task, rows and features whose curvature guides the passes over all rows, and passes at most.
+FIRST, GUIDES, DENSE, PASSES = 2_000, 8_192, 4_096, 500
 
 
 def spoken(x: Column, terms: str) -> Column:
@@ -162,6 +167,141 @@ def _share(id_: Column, *salt: int) -> Column:
     return F.pmod(F.xxhash64(id_.cast("string"), *map(F.lit, salt)), F.lit(SCALE)) / float(SCALE)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _shares(batch: pa.RecordBatch, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """1 for positives, and each row's weight in each bag (0 outside)."""
+    target = (np.array(batch.column("label").to_pylist(), object) == "P").astype(np.int64)
+    member = batch.column("member").flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(-1, balance.shape[0])
+    return target, member * batch.column("weight").to_numpy()[:, None] * balance.T[target]
+
+
+def _slopes(rows: DataFrame, space: G.Space, weights: np.ndarray, which: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Loss and gradient of some models over their whole bags, in one pass."""
+    shared = rows.sparkSession.sparkContext.broadcast((space, weights[which], which, balance))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> bytes:
+        space, w, which, balance = shared.value
+        loss, grad, room = np.zeros(len(w)), np.zeros(w.shape), []
+        for batch in batches:
+            target, share = _shares(batch, balance)
+            for part, x in space.tables(batch, room):
+                z, t, own = x @ w.T, target[part, None], share[part][:, which]
+                loss += (own * (np.logaddexp(0, z) - t * z)).sum(0)
+                grad += (own * (_sigmoid(z) - t)).T @ x
+        return np.concatenate([loss, grad.ravel()]).tobytes()
+
+    out = sum(np.frombuffer(x) for x in G.gathered(rows, run))
+    shared.destroy()
+    w = weights[which]
+    return out[: len(w)] + 0.5 * (w * w).sum(1), out[len(w) :].reshape(w.shape) + w
+
+
+def _guides(sample: DataFrame, space: G.Space, weights: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """About the inverse curvature of the models, from some of the rows: a block of the features that bend most, the others one by one. It only shortens the way. Comes in parts of at most 64 rows of the block."""
+    shared = sample.sparkSession.sparkContext.broadcast((space, weights, balance))
+
+    def run(part: pa.Table) -> pa.Table:
+        top, block, diagonal = _guide(part, *shared.value)
+        parts = [top.tobytes(), diagonal.tobytes(), *(block[at : at + 64].tobytes() for at in range(0, len(top), 64))]
+        return pa.table({"i": pa.array(range(len(parts)), pa.int32()), "x": pa.array(parts, pa.binary())})
+
+    rows = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "i int, x binary").collect()
+    told = [r.x for r in sorted(rows, key=lambda r: r.i)]
+    top = np.frombuffer(told[0], np.int64)
+    return top, np.frombuffer(b"".join(told[2:]), np.float32).reshape(len(top), len(top)), np.frombuffer(told[1])
+
+
+def _guide(rows: pa.Table, space: G.Space, weights: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    room: list[np.ndarray] = []
+    batches = rows.to_batches(max_chunksize=G.ROWS)
+    parts = [(x, *_shares(x, balance)) for x in batches]
+    bends = []
+    for batch, _, share in parts:
+        own = np.zeros(share.shape)
+        for part, x in space.tables(batch, room):
+            p = _sigmoid(x @ weights.T)
+            own[part] = share[part] * p * (1 - p)
+        bends.append(own)
+    sums = np.maximum(sum(x.sum(0) for x in bends), 1e-12)
+    each = [(x / sums).mean(1) for x in bends]
+    diagonal = np.zeros(space.width + 1)
+    for (batch, *_), own in zip(parts, each, strict=True):
+        for part, x in space.tables(batch, room):
+            diagonal += own[part] @ (x * x)
+    top = np.sort(np.argsort(-diagonal, kind="stable")[:DENSE])
+    gram = np.zeros((len(top), len(top)), np.float32)
+    for (batch, *_), own in zip(parts, each, strict=True):
+        for part, x in space.tables(batch, room):
+            some = (x[:, top] * np.sqrt(own[part])[:, None]).astype(np.float32)
+            gram += some.T @ some
+    gram *= np.float32(sums.mean())
+    gram[np.diag_indices_from(gram)] += 1
+    return top, np.linalg.inv(gram), 1 / (1 + sums.mean() * diagonal)
+
+
+def _settled(rows: DataFrame, sample: DataFrame, share: float, space: G.Space, weights: np.ndarray, balance: np.ndarray) -> np.ndarray:
+    """The models at the optimum over their whole bags: quasi-Newton steps of all side by side, a pass over the rows each, until no slope is left."""
+    top, block, diagonal = _guides(sample, space, weights, balance / share)
+    kept = int(max(2, min(40, 2e7 // weights.size)))
+    w, every = weights.copy(), np.arange(len(weights))
+    loss, grad = _slopes(rows, space, w, every, balance)
+    steps, size, done = [[] for _ in every], np.ones(len(every)), np.abs(grad).max(1) < 1e-6
+
+    def way(j: int) -> np.ndarray:
+        q, used = grad[j].copy(), []
+        for s, y in reversed(steps[j]):
+            a = (s @ q) / (s @ y)
+            used.append(a)
+            q -= a * y
+        out = q * diagonal
+        out[top] = (block @ q[top].astype(np.float32)).astype(float)
+        for (s, y), a in zip(steps[j], reversed(used), strict=True):
+            out += (a - (y @ out) / (s @ y)) * s
+        return -out
+
+    for _ in range(PASSES):
+        which = every[~done]
+        if not len(which):
+            return w
+        move = {j: way(j) for j in which}
+        trial = w.copy()
+        for j in which:
+            trial[j] += size[j] * move[j]
+        new, slope = _slopes(rows, space, trial, which, balance)
+        for i, j in enumerate(which):
+            if new[i] <= loss[j] + 1e-4 * size[j] * (grad[j] @ move[j]) + 1e-10 * abs(loss[j]):
+                s, y = trial[j] - w[j], slope[i] - grad[j]
+                if s @ y > 0:
+                    steps[j] = [*steps[j], (s, y)][-kept:]
+                w[j], loss[j], grad[j], size[j] = trial[j], new[i], slope[i], 1.0
+                done[j] = np.abs(grad[j]).max() < 1e-6
+            else:
+                size[j] /= 2
+                done[j] = size[j] < 1e-6
+    raise RuntimeError(f"{(~done).sum()} models have slopes up to {np.abs(grad).max():.2g} left after {PASSES} passes")
+
+
+def _each(rows: DataFrame, space: G.Space, weights: np.ndarray) -> DataFrame:
+    """rows with an array of each model's probability."""
+    shared = rows.sparkSession.sparkContext.broadcast((space, weights))
+    keep = [c for c in rows.columns if c not in ("at", "n")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (space, w), room = shared.value, []
+        for batch in batches:
+            p = np.zeros((batch.num_rows, len(w)))
+            for part, x in space.tables(batch, room):
+                p[part] = _sigmoid(x @ w.T)
+            at = np.arange(batch.num_rows + 1, dtype=np.int32) * len(w)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(at, p.ravel())], names=[*keep, "each"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    return rows.mapInArrow(run, f"{schema}, each array<double>")
+
+
 def train(docs: DataFrame, bags: int = 15, folds: int = 5, seed: int = 0, recall: float = 0.9, priors: list[tuple[str, float]] = (), prior_weight: float = 1.0, most: int = 60_000, stop: tuple[str, ...] = (), logic_weight: float = 3.0, bag_fraction: float = 0.5) -> tuple[DataFrame, Bundle]:
     """Predictions (id, label, score, qualifiable) and the bundle of the final models.
 
@@ -169,16 +309,24 @@ def train(docs: DataFrame, bags: int = 15, folds: int = 5, seed: int = 0, recall
     didn't draw them (by the final models if all did). The threshold reaches `recall` of the held-out positives, after the
     prior is blended in.
     """
+    with G.small_batches(docs.sparkSession):
+        return _train(docs, bags, folds, seed, recall, priors, prior_weight, most, stop, logic_weight, bag_fraction)
+
+
+def _train(docs, bags, folds, seed, recall, priors, prior_weight, most, stop, logic_weight, bag_fraction) -> tuple[DataFrame, Bundle]:
+    spark = docs.sparkSession
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    counts = written(counted(docs, stop), "counts")
     sizes = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count("*").alias("n")).collect()}
     p, n, u = (sizes.get(x, 0) for x in "PNU")
     if not p or not (n or u):
         raise ValueError("positives, and negatives or unlabeled rows are needed")
-    vocab = written(vocabulary(counts, p + n + u, most), "vocabulary")
-    width = vocab.count()
+    weight = F.when(F.col("label") == "N", negative_weight(F.col("text"), logic_weight)).otherwise(F.lit(1.0))
+    told = docs.select("id", "text", "label", weight.alias("weight"), prior(F.col("text"), list(priors)).alias("prior"))
+    rows, tokens, learned = G.learned(told, p + n + u, most, tuple(stop))
+    space = G.Space(tokens, learned)
+    vocab = written(spark.createDataFrame(learned, "index int, kind string, token string, idf double"), "vocabulary")
+    width = space.width
     folds = max(2, min(folds, p, n if n else folds))
-    rows = written(docs.join(weighted(counts, vocab), "id", "left").withColumn("weight", F.when(F.col("label") == "N", negative_weight(F.col("text"), logic_weight)).otherwise(1.0)), "features")
     of_fold = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(folds))
     plans = [(f, b) for f in range(folds + 1) for b in range(bags)]  # the last fold holds nothing out: the final models
 
@@ -189,30 +337,44 @@ def train(docs: DataFrame, bags: int = 15, folds: int = 5, seed: int = 0, recall
         return F.when(F.col("label") == "U", _share(F.col("id"), seed, f, b) < share).otherwise(of_fold != f)
 
     held = rows.withColumn("member", F.array(*(member(f, b) for f, b in plans)))
-    held = written(held, "members")
-    work = held.select("id", "label", "weight", "features", F.posexplode("member").alias("plan", "taken")).where("taken").drop("taken")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        lists = [x if x is not None else [] for x in part["features"]]
-        begin = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        index, value = (np.array([f[k] for x in lists for f in x], t) for k, t in (("index", np.int64), ("value", np.float64)))
-        target, weight = (part["label"] == "P").to_numpy(float), part["weight"].to_numpy(float)
-        for c in (0.0, 1.0):  # both classes weigh alike
-            own = target == c
-            weight[own] *= len(target) / (2 * max(1, own.sum()))
-        w = fit(index, value, begin, target, weight, width)
-        return pd.DataFrame({"plan": [int(part["plan"].iloc[0])], "w": [w.tolist()]})
-
-    fitted = {r["plan"]: r["w"] for r in work.groupBy("plan").applyInPandas(run, "plan int, w array<double>").collect()}
-    weights = np.array([fitted.get(i, [0.0] * (width + 1)) for i in range(len(plans))])
-    scored = probabilities(held.select("id", "text", "label", "member", "features"), weights, "each")
+    work = held.where(F.exists("member", lambda x: x)).select("id", "label", "weight", "at", "n", "member")
+    count = lambda test: [F.count_if(test & F.get("member", i)) for i in range(len(plans))]
+    good = F.col("label").eqNullSafe("P")
+    told = work.agg(F.count("*"), *count(~good), *count(good)).first()
+    of_class = np.array(told[1:], float).reshape(2, -1).T
+    full = of_class.sum(1)
+    balance = full[:, None] / (2 * np.maximum(1, of_class))  # both classes weigh alike
+    first = min(1.0, FIRST / max(1, full.max()))
+    some = lambda share: work if share == 1 else work.where(_share(F.col("id"), seed, -1) < share).drop("id")
+    begun = some(first).select("label", "weight", "at", "n", "member", F.posexplode("member").alias("plan", "taken")).where("taken").select("plan", "label", "weight", "at", "n")
+    shared = spark.sparkContext.broadcast((space, balance))
+
+    def run(part: pa.Table) -> pa.Table:
+        space, balance = shared.value
+        plan = part.column("plan")[0].as_py()
+        batch = part.combine_chunks().to_batches()[0]
+        row, index, value = space(batch)
+        target = (np.array(batch.column("label").to_pylist(), object) == "P").astype(float)
+        weight = batch.column("weight").to_numpy() * balance[plan][target.astype(int)]
+        if first < 1:
+            weight = weight * full[plan] / len(target)
+        begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(target)))])
+        w = fit(index, value.astype(float), begin, target, weight, space.width, 40 if first == 1 else 4)
+        return pa.table({"plan": pa.array([plan], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
+
+    fitted = {r["plan"]: np.frombuffer(r["w"]) for r in begun.groupBy("plan").applyInArrow(run, "plan int, w binary").collect()}
+    weights = np.array([fitted.get(i, np.zeros(width + 1)) for i in range(len(plans))])
+    if first < 1:
+        share = min(1.0, GUIDES / told[0])
+        weights = _settled(work.drop("id"), some(share), share, space, weights, balance)
+    scored = _each(held.select("id", "label", "prior", "member", "at", "n"), space, weights)
     last = folds * bags
     outside = F.filter(F.transform("each", lambda x, i: F.when((i < last) & ~F.get("member", i), x)), lambda x: x.isNotNull())
     final = F.slice("each", last + 1, bags)
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
     score = F.when(F.size(outside) > 0, mean(outside)).otherwise(mean(final))
-    blended = classify.blend_prior(score, prior(F.col("text"), list(priors)), prior_weight)
-    scored = written(scored.select("id", "label", "text", blended.alias("score")), "scores")
+    blended = classify.blend_prior(score, F.col("prior"), prior_weight)
+    scored = written(scored.select("id", "label", blended.alias("score")), "scores")
     threshold = classify.recall_threshold(scored, recall).first()[0]
     bundle = Bundle(vocab, weights[last:], threshold, list(priors), prior_weight, tuple(stop))
     return scored.select("id", "label", "score", (F.col("score") >= threshold).alias("qualifiable")), bundle

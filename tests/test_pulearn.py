@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partlens.operators import classify
+from partlens.operators import grams as G
 from partlens.operators import pulearn as L
 
 GOOD = ["hermetic ceramic package with gold wire bonds", "bare die, thin film on alumina, screened lot", "sealed kovar housing, burn in and fine leak test"]
@@ -105,3 +106,36 @@ def test_queue_review_and_weights(spark, trained):
 def test_needs_both_kinds(spark):
     with pytest.raises(ValueError):
         L.train(spark.createDataFrame([("a", "x", "U")], "id string, text string, label string"))
+
+
+def test_packed_features_against_rows_of_tokens(spark, monkeypatch):
+    odd = ["", None, "  ", "a", "ab\u00e9 \u00b2x e\u0301te\u0301 \u24d0b x_1 12 3", "nul\0 nul\0 \0", "\U0001f600\U0001f600 \u4e2d\u6587 \u4e2d\u6587\u5b57", "x-ray, x-ray; X-RAY's", "the the the the the"]
+    draw = random.Random(3)
+    texts = odd * 2 + [" ".join(draw.choice(FILLER) for _ in range(draw.randrange(30))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3).cache()
+    counted = L.counted(docs, ["gain"])
+    for most, told in ((12, 5), (60_000, 50_000)):
+        monkeypatch.setattr(G, "TOLD", told)
+        vocab = L.vocabulary(counted, len(texts), most)
+        want = {r["index"]: (r.kind, r.token, pytest.approx(r.idf)) for r in vocab.collect()}
+        rows, tokens, learned = G.learned(docs, len(texts), most, ("gain",))
+        assert {i: x for i, *x in map(tuple, learned)} == {i: list(x) for i, x in want.items()}
+        space, got = G.Space(tokens, learned), {}
+        for batch in rows.toArrow().to_batches():
+            ids = batch.column("id").to_pylist()
+            for row, index, value in zip(*space(batch), strict=True):
+                got.setdefault(ids[row], {})[int(index)] = value
+        assert got == {r.id: {f["index"]: pytest.approx(f["value"], rel=1e-6) for f in r.features} for r in L.weighted(counted, vocab).collect()}
+    assert G.totals_of_runs({"ab": 2, "b\0": 1, "": 4}) == {" ab": 2, "ab ": 2, " ab ": 2, " b\0": 1, "b\0 ": 1, " b\0 ": 1}
+
+
+def test_whole_bags_by_passes_and_no_rows_of_tokens(docs, monkeypatch):
+    one = {r.id: r.score for r in L.train(docs, bags=2, folds=2, most=300)[0].collect()}
+    made, write = [], L.written
+    for module in (L, G):
+        monkeypatch.setattr(module, "written", lambda *a: made.append(write(*a)) or made[-1])
+    for name, rows in (("FIRST", 20), ("GUIDES", 40), ("DENSE", 100)):
+        monkeypatch.setattr(L, name, rows, raising=False)
+    many = {r.id: r.score for r in L.train(docs, bags=2, folds=2, most=300)[0].collect()}
+    assert many == {k: pytest.approx(v, abs=1e-6) for k, v in one.items()}
+    assert max(x.count() for x in made) < 15_000  # a row for each token of each text made more
