@@ -1,29 +1,27 @@
 """Weighted words, word pairs and runs of signs of whole texts, as packed numbers: what a text counts stays in its row.
 
-A text's tokens are never rows. Texts are cut into words by Spark; workers tell a batch's distinct words apart once. The
-vocabulary is exact: a first reading bounds each token's total from above, a second one counts every token whose bound
+A text's tokens are never rows. Workers take some hundred texts apart at once, as arrays of signs. The vocabulary is exact: a first reading bounds each token's total from above, a second one counts every token whose bound
 reaches the place that is asked for, and the place is lowered until nothing left out could stand there.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partlens.session import written
 
-#: Rows to a worker at a time, numbers in a table of texts and tokens, distinct tokens a worker holds, pairs it tells of at a time.
-ROWS, CELLS, HELD, TOLD = 500, 1 << 21, 300_000, 50_000
+#: Rows to a worker at a time, numbers in a table of texts and tokens, distinct tokens a worker holds, frequent ones it tells of (for each 5000 asked for), signs it takes apart at a time.
+ROWS, CELLS, HELD, TOLD, LETTERS = 500, 1 << 21, 300_000, 20_000, 1 << 22
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -32,29 +30,122 @@ SIGN = 12
 
 
 def cut(text: Column) -> Column:
-    """What stands between blanks (with an empty first or last); words don't reach across blanks."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+").alias("pieces")
+    """The text in small letters, which Texts takes apart."""
+    return F.lower(F.coalesce(text, F.lit(""))).alias("lowered")
 
 
 @lru_cache(1)
-def _word() -> re.Pattern[str]:
-    """Runs of two word signs or more: what Java's (?U)\\b\\w\\w+\\b finds."""
-    circled = [*range(0x24B6, 0x24EA), *range(0x1F130, 0x1F14A), *range(0x1F150, 0x1F16A), *range(0x1F170, 0x1F18A), 0x200C, 0x200D]
-    signs = sorted({i for i in range(sys.maxunicode + 1) if (k := unicodedata.category(chr(i)))[0] in "LM" or k in ("Nd", "Nl", "Pc")} | set(circled))
-    breaks = np.flatnonzero(np.diff(signs) > 1)
-    ends = zip([signs[0], *(signs[i + 1] for i in breaks)], [*(signs[i] for i in breaks), signs[-1]], strict=True)
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ends) + "]{2,}")
-
-
-def words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """How many words each piece has, the words' codes in order, and what the codes stand for."""
-    of, flat, size, find = {}, [], [], _word().findall
-    for x in pieces:
-        own = ([x] if len(x) > 1 else ()) if x.isascii() and x.isalnum() else find(x)
-        size.append(len(own))
-        for w in own:
-            flat.append(of.setdefault(w, len(of)))
-    return np.array(size, np.int64), np.array(flat, np.int64), list(of)
+def _kinds() -> np.ndarray:
+    """What each sign is: 1 a word's (as Java's (?U)\\w), 2 a blank (as Java's \\s), else 0."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for i in range(sys.maxunicode + 1):
+        k = unicodedata.category(chr(i))
+        out[i] = k[0] in "LM" or k in ("Nd", "Nl", "Pc")
+    for a, b in ((0x24B6, 0x24EA), (0x1F130, 0x1F14A), (0x1F150, 0x1F16A), (0x1F170, 0x1F18A), (0x200C, 0x200E)):
+        out[a:b] = 1
+    out[[9, 10, 11, 12, 13, 32]] = 2
+    return out
+
+
+class Texts:
+    """The signs of some texts one after the other, a blank before and after each, taken apart all at once."""
+
+    def __init__(self, column: pa.Array) -> None:
+        texts = column.to_pylist()
+        whole = "\n" + "\n".join(texts) + "\n"
+        self.bytes = np.frombuffer(whole.encode(), np.uint8)
+        self.signs = self.bytes if len(self.bytes) == len(whole) else np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        self.ends = np.cumsum([len(x) + 1 for x in texts])  # of each text's signs, by the blank after it
+        self.kind = _kinds()[self.signs]
+
+    def row(self, at: np.ndarray) -> np.ndarray:
+        """Whose the signs at these ascending places are."""
+        return np.repeat(np.arange(len(self.ends)), np.diff(np.searchsorted(at, self.ends + 1), prepend=0))
+
+    def runs(self, mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Text and code of each run of at least so many signs of the mask, and what the codes stand for."""
+        edge = np.flatnonzero(mask[1:] != mask[:-1]) + 1
+        begin, long = edge[::2], edge[1::2] - edge[::2]
+        if least > 1:
+            mask[begin[long < least]] = False
+            begin, long = begin[long >= least], long[long >= least]
+        end = np.cumsum(long)
+        if self.signs is self.bytes:
+            flat = self.bytes[mask]
+        else:
+            width = 1 + (self.signs > 0x7F).astype(np.int8) + (self.signs > 0x7FF) + (self.signs > 0xFFFF)
+            flat, end = self.bytes[np.repeat(mask, width)], np.concatenate([[0], np.cumsum(width[mask])])[end]
+        at = np.concatenate([[0], end]).astype(np.int64)
+        told = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(at), pa.py_buffer(flat)).dictionary_encode()
+        return self.row(begin), told.indices.to_numpy().astype(np.int64), told.dictionary.to_pylist()
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        return self.runs(self.kind == 1, 2)
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """What stands between blanks."""
+        return self.runs(self.kind != 2, 1)
+
+
+def portions(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """So many rows at a time, fewer where they are long."""
+    size, at = np.cumsum(pc.binary_length(batch.column("lowered")).to_numpy(zero_copy_only=False)), 0
+    while at < batch.num_rows:
+        reach = np.searchsorted(size, (size[at - 1] if at else 0) + LETTERS, "right")
+        end = min(batch.num_rows, at + rows, max(at + 1, int(reach)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+class Runs:
+    """Finds given runs of 3 to 5 signs in texts by a tree of their signs."""
+
+    def __init__(self, place: dict[str, int]) -> None:
+        signs = sorted({x for g in place for x in g} | {" "})
+        self.size = len(signs) + 1
+        self.to = np.zeros(sys.maxunicode + 1, np.int32)
+        self.to[[ord(x) for x in signs]] = np.arange(1, self.size)
+        edges, ends = {}, [-1, -1]  # 0: no such run; 1: the root
+        for g, i in place.items():
+            at = 1
+            for x in g:
+                key = at * self.size + int(self.to[ord(x)])
+                if key not in edges:
+                    edges[key] = len(ends)
+                    ends.append(-1)
+                at = edges[key]
+            ends[at] = i
+        self.to[[9, 10, 11, 12, 13]] = self.to[32]
+        self.ends = np.array(ends)
+        self.keys = np.array(sorted(edges), np.int64)
+        self.next = np.array([edges[k] for k in self.keys.tolist()], np.int32)
+        self.table = None
+        if len(ends) * self.size <= 1 << 23:
+            self.table = np.zeros(len(ends) * self.size, np.int32)
+            self.table[self.keys] = self.next
+
+    def step(self, at: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        key = at * np.int64(self.size) + sign
+        if self.table is not None:
+            return self.table[key]
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.next[i], 0)
+
+    def __call__(self, texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Text and place of each run found."""
+        if not len(self.keys):
+            return
+        sign = np.append(self.to[texts.signs], np.zeros(4, np.int32))
+        where = np.arange(len(texts.signs))
+        at = self.step(np.ones(len(where), np.int64), sign[where])
+        for n in range(1, 5):
+            alive = np.flatnonzero(at)
+            where = where[alive]
+            at = self.step(at[alive], sign[where + n])
+            if n > 1:
+                place = self.ends[at]
+                fits = place >= 0
+                yield texts.row(where[fits] + 1), place[fits]  # the second sign is never a blank
 
 
 def runs(piece: str) -> list[str]:
@@ -82,45 +173,34 @@ def _coded(signs: np.ndarray, owner: np.ndarray, known: np.ndarray) -> Iterator[
             yield owner[:m][fits], code[fits]
 
 
-def totals_of_runs(pieces: dict[str, int]) -> dict[str, int]:
-    """How often each run stands in the pieces, which stand so often."""
+def totals_of_runs(pieces: dict[str, int], most: int | None = None) -> dict[str, int]:
+    """How often each run stands in the pieces, which stand so often; of many pieces' runs the `most` frequent ones only, and under "" how often at most any other stands there."""
     names, n = list(pieces), np.array(list(pieces.values()), np.int64)
     out: dict[str, int] = {}
-    for at in range(0, len(names), HELD):
-        signs, owner = _numbered(names[at : at + HELD])
-        known = np.unique(signs)
-        if not len(known):
-            continue
-        if known[0] == 0 or len(known) >= 1 << SIGN:  # a sign is no sign's padding; too many signs for a number
-            for x in names[at : at + HELD]:
-                for g in runs(x):
-                    out[g] = out.get(g, 0) + pieces[x]
-            continue
-        for who, code in _coded(signs, owner, known):
-            code, total = _summed(code, n[at : at + HELD][who])
-            each = np.stack([(code >> (SIGN * i)) & ((1 << SIGN) - 1) for i in (4, 3, 2, 1, 0)], 1)
-            each = np.where(each > 0, known[each - 1], 0)
-            blank = (each == 0).sum(1)
-            left = np.take_along_axis(each, (np.arange(5) + blank[:, None]) % 5, 1).astype(np.uint32)
-            for g, x in zip(np.ascontiguousarray(left).view("<U5").ravel().tolist(), total.tolist(), strict=True):
-                out[g] = out.get(g, 0) + x
+    signs, owner = _numbered(names)
+    known = np.unique(signs)
+    if not len(known):
+        return out
+    if known[0] == 0 or len(known) >= 1 << SIGN:  # a sign is no sign's padding; too many signs for a number
+        for x in names:
+            for g in runs(x):
+                out[g] = out.get(g, 0) + pieces[x]
+        return out
+    for who, code in _coded(signs, owner, known):
+        code, total = _summed(code, n[who])
+        if most and len(code) > most:
+            least = int(np.partition(total, -most)[-most]) + 1
+            code, total = code[total >= least], total[total >= least]
+            out[""] = max(out.get("", 0), least - 1)
+        each = np.stack([(code >> (SIGN * i)) & ((1 << SIGN) - 1) for i in (4, 3, 2, 1, 0)], 1)
+        each = np.where(each > 0, known[each - 1], 0)
+        blank = (each == 0).sum(1)
+        left = np.take_along_axis(each, (np.arange(5) + blank[:, None]) % 5, 1).astype(np.uint32)
+        for g, x in zip(np.ascontiguousarray(left).view("<U5").ravel().tolist(), total.tolist(), strict=True):
+            out[g] = x
     return out
 
 
-def ragged(code: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What each code stands for, size[code] of flat each, and how many each has."""
-    begin, long = (np.cumsum(size) - size)[code], size[code]
-    ends = np.cumsum(long)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + long, long)], long
-
-
-def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Of a column of lists of strings: the list and the code of each string, and what the codes stand for."""
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-    told = column.flatten().dictionary_encode()
-    return np.repeat(np.arange(len(column)), sizes), told.indices.to_numpy().astype(np.int64), told.dictionary.to_pylist()
-
-
 def joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The numbers packed in a column of bytes, one row's after the other's, and how many each row has."""
     column = column.cast(pa.large_binary())
@@ -145,56 +225,67 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def census(docs: DataFrame, whole: bool) -> DataFrame:
-    """kind (w, p for pairs, c, or s), token, n: totals by worker. Unless whole, a worker tells of its frequent pairs only; s sums how often at most any other stands there."""
+def census(docs: DataFrame, whole: bool, told: int | None = None) -> DataFrame:
+    """kind (w, p for pairs, c, or s), token, n: totals by worker. Unless whole, a worker tells of its frequent tokens only; s sums by kind how often at most any other stands there."""
+    most = told or TOLD
 
     def tell(kind: str, counts: dict[str, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"kind": [kind] * len(counts), "token": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(counts), pa.string()), "token": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total, pieces, pairs, held = {}, Counter(), Counter(), [], 0
+        words, pieces, pairs, held = {}, {}, [], 0
+        total = {"w": np.zeros(0, np.int64), "c": np.zeros(0, np.int64)}
 
-        def pairs_out() -> Iterator[pa.RecordBatch]:
-            if pairs:
-                key, n = pairs.pop() if len(pairs) == 1 else _merged(pairs)
-                least = 1 if whole or len(key) <= TOLD else int(np.partition(n, -TOLD)[-TOLD]) + 1
-                names, key, n = list(ids), key[n >= least], n[n >= least]
-                for at in range(0, len(key), TOLD):
-                    some = key[at : at + TOLD]
-                    yield tell("p", {f"{names[a]} {names[b]}": x for a, b, x in zip((some >> 32).tolist(), (some & 0xFFFFFFFF).tolist(), n[at : at + TOLD].tolist(), strict=True)})
-                if least > 1:
-                    yield tell("s", {"": least - 1})
-            pairs.clear()
+        def least_of(n: np.ndarray) -> int:
+            return 1 if whole or len(n) <= most else int(np.partition(n, -most)[-most]) + 1
+
+        def coded(kind: str, of: dict[str, int], code: np.ndarray, names: list[str]) -> np.ndarray:
+            """The worker's codes in the place of a portion's, whose tokens are counted."""
+            to = np.array([of.setdefault(x, len(of)) for x in names], np.int64)
+            if len(of) > len(total[kind]):
+                total[kind] = np.concatenate([total[kind], np.zeros(2 * len(of) - len(total[kind]), np.int64)])
+            total[kind][to] += np.bincount(code, minlength=len(names))
+            return to[code]
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal held
-            yield from pairs_out()
-            yield tell("w", total)
-            yield tell("c", totals_of_runs(pieces))
+            names, slack = list(words), {}
+            if pairs:
+                key, n = pairs.pop() if len(pairs) == 1 else _merged(pairs)
+                slack["p"] = (least := least_of(n)) - 1
+                key, n = key[n >= least], n[n >= least]
+                for at in range(0, len(key), 50_000):
+                    some = key[at : at + 50_000]
+                    yield tell("p", {f"{names[a]} {names[b]}": x for a, b, x in zip((some >> 32).tolist(), (some & 0xFFFFFFFF).tolist(), n[at : at + 50_000].tolist(), strict=True)})
+            n = total["w"][: len(words)]
+            slack["w"] = (least := least_of(n)) - 1
+            yield tell("w", {names[i]: int(n[i]) for i in np.flatnonzero(n >= least)})
+            counted = totals_of_runs(dict(zip(pieces, total["c"].tolist(), strict=False)), None if whole else most)
+            slack["c"] = counted.pop("", 0)
+            yield tell("c", counted)
+            yield tell("s", {k: x for k, x in slack.items() if x})
+            pairs.clear()
+            words.clear()
+            pieces.clear()
+            total.update(w=np.zeros(0, np.int64), c=np.zeros(0, np.int64))
             held = 0
-            for x in (ids, total, pieces):
-                x.clear()
 
-        for batch in batches:
-            row, code, names = lists(batch.column("pieces"))
-            for name, n in zip(names, np.bincount(code, minlength=len(names)).tolist(), strict=True):
-                pieces[name] += n
-            size, flat, names = words(names)
-            code, long = ragged(code, size, flat)
-            row = np.repeat(row, long)
-            for name, n in zip(names, np.bincount(code, minlength=len(names)).tolist(), strict=True):
-                total[name] += n
-            if len(code) > 1:
-                code = np.array([ids.setdefault(x, len(ids)) for x in names], np.int64)[code]
-                key = ((code[:-1] << 32) | code[1:])[row[:-1] == row[1:]]
-                key, n = _summed(key, np.ones(len(key)))
-                pairs.append((key, n))
-                held += len(key)
-                if held > 3_000_000:
-                    pairs[:] = [_merged(pairs)]
-                    held = len(pairs[0][0])
-            if len(pairs) == 1 and held > 1_500_000 or len(pieces) > HELD:
-                yield from out()
+        for whole_batch in batches:
+            for batch in portions(whole_batch, ROWS):
+                texts = Texts(batch.column("lowered"))
+                _, code, names = texts.pieces()
+                coded("c", pieces, code, names)
+                row, code, names = texts.words()
+                code = coded("w", words, code, names)
+                if len(code) > 1:
+                    key = ((code[:-1] << 32) | code[1:])[row[:-1] == row[1:]]
+                    pairs.append(_summed(key, np.ones(len(key))))
+                    held += len(pairs[-1][0])
+                    if held > 3_000_000:
+                        pairs[:] = [_merged(pairs)]
+                        held = len(pairs[0][0])
+                if len(pairs) == 1 and held > 1_500_000 or len(pieces) > HELD:
+                    yield from out()
         yield from out()
 
     return docs.select(cut(F.col("text"))).mapInArrow(run, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
@@ -215,62 +306,30 @@ def counts(docs: DataFrame, tokens: list[tuple[str, str]]) -> DataFrame:
         code2 = np.array([side[a] * len(side) + side[b] for a, b, _ in two], np.int64)
         order = np.argsort(code2)
         code2, place2 = code2[order], np.array([i for *_, i in two], np.int64)[order]
-        signs = np.unique(np.frombuffer("".join(place["c"]).encode("utf-32-le"), np.uint32))
-        plain = len(signs) < 1 << SIGN and not (len(signs) and signs[0] == 0)
-        code3, place3 = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if plain and len(signs):
-            to = {int(x): i + 1 for i, x in enumerate(signs)}
-            full = [sum(to[ord(x)] << (SIGN * (len(g) - 1 - i)) for i, x in enumerate(g)) for g in place["c"]]
-            order = np.argsort(full)
-            code3, place3 = np.array(full, np.int64)[order], np.array(list(place["c"].values()), np.int64)[order]
-
-        def grams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """How many counted runs each piece has, and their places."""
-            if not plain:
-                each = [[i for g in runs(x) if (i := place["c"].get(g)) is not None] for x in names]
-                return np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], np.int64)
-            whose, what = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for who, code in _coded(*_numbered(names), signs) if len(code3) else ():
-                i = np.minimum(np.searchsorted(code3, code), len(code3) - 1)
-                fits = code3[i] == code
-                whose.append(who[fits])
-                what.append(place3[i[fits]])
-            who = np.concatenate(whose)
-            return np.bincount(who, minlength=len(names)), np.concatenate(what)[np.argsort(who, kind="stable")]
-
-        step = max(1, CELLS // max(1, width))
+        grams = Runs(place["c"])
+
+        def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            texts, cells = Texts(batch.column("lowered")), batch.num_rows * width
+            table = np.zeros(cells, np.int64)
+            for row, what in grams(texts):
+                table += np.bincount(row * width + what, minlength=cells)
+            row, code, names = texts.words()
+            one = np.array([place["w"].get(x, -1) for x in names], np.int64)[code]
+            table += np.bincount((row * width + one)[one >= 0], minlength=cells)
+            if len(code2) and len(code) > 1:
+                part = np.array([side.get(x, -1) for x in names], np.int64)[code]
+                a, b = part[:-1], part[1:]
+                fits = (a >= 0) & (b >= 0) & (row[:-1] == row[1:])
+                key, owner = (a * len(side) + b)[fits], row[:-1][fits]
+                i = np.minimum(np.searchsorted(code2, key), len(code2) - 1)
+                fits = code2[i] == key
+                table += np.bincount(owner[fits] * width + place2[i[fits]], minlength=cells)
+            at = np.flatnonzero(table)
+            return (at % width).astype(np.uint32), table[at].astype(np.uint32), np.bincount(at // width, minlength=batch.num_rows)
+
         for whole in batches:
-            got_at, got_n, sizes = [], [], []
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
-                rows = batch.num_rows
-                row, code, names = lists(batch.column("pieces"))
-                size, flat = grams(names)
-                table = np.zeros(rows * width, np.int64)
-                for some in range(0, len(code), 1 << 17):
-                    r = row[some : some + (1 << 17)]
-                    what, long = ragged(code[some : some + (1 << 17)], size, flat)
-                    found = np.bincount(np.repeat((r - r[0]) * width, long) + what)
-                    table[r[0] * width : r[0] * width + len(found)] += found
-                size, flat, names = words(names)
-                code, long = ragged(code, size, flat)
-                row = np.repeat(row, long)
-                one = np.array([place["w"].get(x, -1) for x in names], np.int64)[code]
-                table += np.bincount((row * width + one)[one >= 0], minlength=rows * width)
-                if len(code2) and len(code) > 1:
-                    part = np.array([side.get(x, -1) for x in names], np.int64)[code]
-                    a, b = part[:-1], part[1:]
-                    fits = (a >= 0) & (b >= 0) & (row[:-1] == row[1:])
-                    key, owner = (a * len(side) + b)[fits], row[:-1][fits]
-                    i = np.minimum(np.searchsorted(code2, key), len(code2) - 1)
-                    fits = code2[i] == key
-                    table += np.bincount(owner[fits] * width + place2[i[fits]], minlength=rows * width)
-                at = np.flatnonzero(table)
-                got_n.append(table[at].astype(np.uint32))
-                got_at.append((at % width).astype(np.uint32))
-                sizes.append(np.bincount(at // width, minlength=rows))
-            size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            at, n = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (got_at, got_n))
+            parts = [counted(x) for x in portions(whole, max(1, CELLS // max(1, width)))] if width else []
+            at, n, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(whole.num_rows, np.int64))
             yield pa.RecordBatch.from_arrays([*(whole.column(c) for c in keep), packed(at, size), packed(n, size)], names=[*keep, "at", "n"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -305,19 +364,22 @@ def learned(docs: DataFrame, documents: int, most: int, stop: tuple[str, ...] =
     """counts() of docs, the tokens counted, and the vocabulary: index, kind, token, idf of each kind's `most` frequent tokens that lie in enough documents."""
     kind = F.when(F.col("kind") == "p", "w").otherwise(F.col("kind"))
     whole, asked = False, most + most // 4 + 100
-    totals = written(census(docs, False), "totals")
+    totals = written(census(docs, False, TOLD * max(1, asked // 5000)), "totals")
     while True:
-        slack = totals.where("kind = 's'").agg(F.sum("n")).first()[0] or 0
+        slack = {r.token: r.n for r in totals.where("kind = 's'").collect()}
         real = totals.where("kind <> 's'").where(~((kind == "w") & F.col("token").isin(list(stop))) if stop else F.lit(True))
         floor = {}
         for k, d in least.items():
             top = real.where(kind == k).orderBy(F.desc("n")).limit(asked).agg(F.count("*"), F.min("n")).first()
             floor[k] = max(d, top[1]) if top[0] >= asked else d
-        if not whole and 0 < slack and floor["w"] <= slack:  # a pair no worker told of could stand there
+        if not whole and any(0 < x >= floor["c" if k == "c" else "w"] for k, x in slack.items()):  # a token no worker told of could stand there
             whole, totals = True, written(census(docs, True), "totals")
             continue
-        bound = F.col("n") + F.when(F.col("kind") == "p", slack).otherwise(0)
+        unsaid = F.lit(0)
+        for k, x in slack.items():
+            unsaid = F.when(F.col("kind") == k, x).otherwise(unsaid)
         reach = F.when(kind == "w", floor["w"]).otherwise(floor["c"])
+        bound = F.col("n") + unsaid
         tokens = sorted((r.kind, r.token) for r in real.where(bound >= reach).select(kind.alias("kind"), "token").collect())
         rows = written(counts(docs, tokens), "counts", "zstd")
         df, total = spread(rows, len(tokens))
@@ -351,20 +413,45 @@ class Space:
         size = np.sqrt(np.bincount(own, v * v, 2 * batch.num_rows))
         return row, index, (v / size[own]).astype(np.float32)
 
-    def tables(self, batch: pa.RecordBatch, room: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
-        """Some rows at a time with their features and a constant in a dense table, which room keeps for the next batch."""
-        row, index, value = self(batch)
-        step = max(1, CELLS // (self.width + 1))
-        if not room:
-            room.append(np.zeros((step, self.width + 1)))
-            room[0][:, -1] = 1
-        for start in range(0, batch.num_rows, step):
-            a, b = np.searchsorted(row, [start, start + step])
-            at = row[a:b] - start, index[a:b]
-            room[0][at] = value[a:b]
-            end = min(batch.num_rows, start + step)
-            yield slice(start, end), room[0][: end - start]
-            room[0][at] = 0
+    def features(self, rows: DataFrame) -> DataFrame:
+        """rows with their features packed (index and value) in the place of their counts, so that a pass over them has nothing to work out."""
+        shared, kind = rows.sparkSession.sparkContext.broadcast(self), self.numbers
+        keep = [c for c in rows.columns if c not in ("at", "n")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, index, value = shared.value(batch)
+                size = np.bincount(row, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), packed(index.astype(kind), size), packed(value, size)], names=[*keep, "index", "value"])
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+        return rows.mapInArrow(run, f"{schema}, index binary, value binary")
+
+    @property
+    def numbers(self) -> str:
+        return "u2" if self.width < 1 << 16 else "u4"
+
+
+def unpacked(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, index and value of each packed feature, by row."""
+    index, size = joined(batch.column("index"), kind)
+    return np.repeat(np.arange(batch.num_rows), size), index.astype(np.int64), joined(batch.column("value"), "f4")[0]
+
+
+def tables(batch: pa.RecordBatch, kind: str, width: int, room: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some rows at a time with their packed features and a constant in a dense table, which room keeps for the next batch."""
+    index, size = joined(batch.column("index"), kind)
+    value, ends = joined(batch.column("value"), "f4")[0], np.concatenate([[0], np.cumsum(size)])
+    step = max(1, CELLS // (width + 1))
+    if not room:
+        room.append(np.zeros((step, width + 1)))
+    for start in range(0, batch.num_rows, step):
+        end = min(batch.num_rows, start + step)
+        a, b, x = ends[start], ends[end], room[0][: end - start]
+        x.fill(0)
+        x[:, -1] = 1
+        x.ravel()[np.repeat(np.arange(end - start) * (width + 1), size[start:end]) + index[a:b]] = value[a:b]
+        yield slice(start, end), x
 
 
 class small_batches:

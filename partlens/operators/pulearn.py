@@ -1,9 +1,9 @@
 """Positive-unlabeled text classification: TF-IDF features, bags of logistic regressions, held-out and out-of-bag scores.
 
 docs(id, text, label), a row for each id: label is P (positive), U (unlabeled) or N (labelled negative). A bag holds the
-positives, the negatives and as many unlabeled rows as there are positives. Each bag's first FIRST rows or so are fitted in a
-task of their own; where a bag has more, passes over the rows of all bags lead all models to the optimum over whole bags, so a
-task never holds more than a batch and the models.
+positives, the negatives and as many unlabeled rows as there are positives. Bags of up to FIRST rows are fitted in a task each;
+where a bag has more, passes over the rows of all bags lead all models to the optimum over whole bags, so a task never holds more
+than a batch, the models and a guide.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from . import grams as G
 LOGIC = "cmos driver, cmos drivers, cmos logic, cmos buffer, cmos inverter, cmos translator, cmos receiver, level translator, level shifter, logic translator, logic shifter, voltage translator, voltage shifter, gate driver, line driver, clock driver, led driver, motor driver, display driver, relay driver, driver ic, driver array, octal driver, octal buffer, lvcmos, lvttl, hcmos, nand gate, nor gate, xor gate, flip flop, flipflop, shift register"
 NO_FLIGHT = "eval, evaluation, kit, test board, demo, adapter, torque, wrench, hand held, handheld, carrying case, software, power supply"
 SCALE = 1_000_000
-#: Rows of a bag that are fitted in one task, rows and features whose curvature guides the passes over all rows, and passes at most.
-FIRST, GUIDES, DENSE, PASSES = 2_000, 8_192, 4_096, 500
+#: Rows of a bag up to which it is fitted in one task; rows whose curvature guides the passes over all rows, and bytes of all guides' blocks; passes at most, after how many the guides are made anew, and again.
+FIRST, GUIDES, GUIDED, PASSES, NEAR, AGAIN = 2_000, 65_536, 208_000_000, 500, 6, 40
 
 
 def spoken(x: Column, terms: str) -> Column:
@@ -171,23 +171,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _shares(batch: pa.RecordBatch, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """1 for positives, and each row's weight in each bag (0 outside)."""
-    target = (np.array(batch.column("label").to_pylist(), object) == "P").astype(np.int64)
-    member = batch.column("member").flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(-1, balance.shape[0])
+def _shares(batch: pa.RecordBatch, balance: np.ndarray, drawn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """1 for positives, and each row's weight in each bag (0 outside; with drawn, unlabeled rows count in all bags by the share that was drawn)."""
+    label = np.array(batch.column("label").to_pylist(), object)
+    target = (label == "P").astype(np.int64)
+    member = batch.column("member").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, balance.shape[0])
+    if drawn is not None:
+        member[label == "U"] = drawn
     return target, member * batch.column("weight").to_numpy()[:, None] * balance.T[target]
 
 
-def _slopes(rows: DataFrame, space: G.Space, weights: np.ndarray, which: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slopes(rows: DataFrame, kind: str, weights: np.ndarray, which: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Loss and gradient of some models over their whole bags, in one pass."""
-    shared = rows.sparkSession.sparkContext.broadcast((space, weights[which], which, balance))
+    shared = rows.sparkSession.sparkContext.broadcast((weights[which], which, balance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> bytes:
-        space, w, which, balance = shared.value
+        w, which, balance = shared.value
         loss, grad, room = np.zeros(len(w)), np.zeros(w.shape), []
         for batch in batches:
             target, share = _shares(batch, balance)
-            for part, x in space.tables(batch, room):
+            for part, x in G.tables(batch, kind, w.shape[1] - 1, room):
                 z, t, own = x @ w.T, target[part, None], share[part][:, which]
                 loss += (own * (np.logaddexp(0, z) - t * z)).sum(0)
                 grad += (own * (_sigmoid(z) - t)).T @ x
@@ -199,56 +202,92 @@ def _slopes(rows: DataFrame, space: G.Space, weights: np.ndarray, which: np.ndar
     return out[: len(w)] + 0.5 * (w * w).sum(1), out[len(w) :].reshape(w.shape) + w
 
 
-def _guides(sample: DataFrame, space: G.Space, weights: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """About the inverse curvature of the models, from some of the rows: a block of the features that bend most, the others one by one. It only shortens the way. Comes in parts of at most 64 rows of the block."""
-    shared = sample.sparkSession.sparkContext.broadcast((space, weights, balance))
+def _inverse(low: np.ndarray) -> np.ndarray:
+    """Of a lower triangle, by halves."""
+    n = len(low)
+    if n <= 128:
+        return np.linalg.inv(low)
+    k, out = n // 2, np.zeros_like(low)
+    out[:k, :k], out[k:, k:] = _inverse(low[:k, :k]), _inverse(low[k:, k:])
+    out[k:, :k] = -out[k:, k:] @ (low[k:, :k] @ out[:k, :k])
+    return out
+
+
+class Guide:
+    """About the inverse curvature of some models: a block of features as the root of its inverse, in parts of BAND rows of its lower triangle, the others one by one. It only shortens the way."""
+
+    BAND = 64
+
+    def __init__(self, top: np.ndarray, parts: list[bytes], diagonal: np.ndarray) -> None:
+        self.top, self.diagonal = top, diagonal
+        self.parts = [np.frombuffer(x, np.float32).reshape(-1, min(len(top), (i + 1) * self.BAND)) for i, x in enumerate(parts)]
+
+    def __call__(self, q: np.ndarray) -> np.ndarray:
+        out, own = q * self.diagonal, q[self.top].astype(np.float32)
+        turned = np.zeros_like(own)
+        for x in self.parts:
+            turned[: x.shape[1]] += x.T @ (x @ own[: x.shape[1]])
+        out[self.top] = turned
+        return out
+
+
+def _guides(rows: DataFrame, kind: str, weights: np.ndarray, balance: np.ndarray, drawn: np.ndarray, bags: int, share: float) -> list[Guide]:
+    """A guide for each fold's bags at their models, from a share of the rows, each fold's by a task that holds a batch and two blocks. Unlabeled rows stand for those that the bags drew."""
+    folds, width = len(weights) // bags, weights.shape[1] - 1
+    dense = min(width + 1, int(np.sqrt(GUIDED / (4 * folds))))
+    sample = rows if share == 1 else rows.where(_share(F.col("id"), -1) < share)
+    top = np.arange(width + 1)
+    if dense <= width:
+        most = sum(np.frombuffer(x) for x in G.gathered(sample.select("index", "value"), lambda batches: _squares(batches, kind, width)))
+        top = np.sort(np.append(np.argsort(-most, kind="stable")[: dense - 1], width))
+    shared = rows.sparkSession.sparkContext.broadcast((weights, balance, drawn, top))
+
+    def of(fold: int) -> Guide:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, balance, drawn, top = shared.value
+            own = slice(fold * bags, (fold + 1) * bags)
+            w, room, every = weights[own], [], len(top) == width + 1
+            block, diagonal = np.zeros((len(top), len(top)), np.float32), np.zeros(width + 1)
+            for batch in batches:
+                target, bent = _shares(batch, balance, drawn)
+                for part, x in G.tables(batch, kind, width, room):
+                    p = _sigmoid(x @ w.T)
+                    bend = (bent[part][:, own] * p * (1 - p)).mean(1) / share
+                    if not every:
+                        diagonal += bend @ (x * x)
+                    some = ((x if every else x[:, top]) * np.sqrt(bend)[:, None]).astype(np.float32)
+                    block += some.T @ some
+            block[np.diag_indices_from(block)] += 1 + 1e-6 * block.diagonal().max(initial=0)
+            block = _inverse(np.linalg.cholesky(block))
+            parts = [(1 / (1 + diagonal)).tobytes(), *(np.ascontiguousarray(block[at : at + Guide.BAND, : at + Guide.BAND]).tobytes() for at in range(0, len(top), Guide.BAND))]
+            for i, x in enumerate(parts):
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "x": pa.array([x], pa.binary())})
+
+        some = sample.where((F.col("label") == "U") | F.exists(F.slice("member", fold * bags + 1, bags), lambda x: x)).drop("id")
+        told = [r.x for r in sorted(some.coalesce(1).mapInArrow(run, "i int, x binary").collect(), key=lambda r: r.i)]
+        return Guide(top, told[1:], np.frombuffer(told[0]))
+
+    guides = [of(fold) for fold in range(folds)]  # one after the other, so that the driver holds one that arrives
+    shared.destroy()
+    return guides
 
-    def run(part: pa.Table) -> pa.Table:
-        top, block, diagonal = _guide(part, *shared.value)
-        parts = [top.tobytes(), diagonal.tobytes(), *(block[at : at + 64].tobytes() for at in range(0, len(top), 64))]
-        return pa.table({"i": pa.array(range(len(parts)), pa.int32()), "x": pa.array(parts, pa.binary())})
-
-    rows = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "i int, x binary").collect()
-    told = [r.x for r in sorted(rows, key=lambda r: r.i)]
-    top = np.frombuffer(told[0], np.int64)
-    return top, np.frombuffer(b"".join(told[2:]), np.float32).reshape(len(top), len(top)), np.frombuffer(told[1])
-
-
-def _guide(rows: pa.Table, space: G.Space, weights: np.ndarray, balance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    room: list[np.ndarray] = []
-    batches = rows.to_batches(max_chunksize=G.ROWS)
-    parts = [(x, *_shares(x, balance)) for x in batches]
-    bends = []
-    for batch, _, share in parts:
-        own = np.zeros(share.shape)
-        for part, x in space.tables(batch, room):
-            p = _sigmoid(x @ weights.T)
-            own[part] = share[part] * p * (1 - p)
-        bends.append(own)
-    sums = np.maximum(sum(x.sum(0) for x in bends), 1e-12)
-    each = [(x / sums).mean(1) for x in bends]
-    diagonal = np.zeros(space.width + 1)
-    for (batch, *_), own in zip(parts, each, strict=True):
-        for part, x in space.tables(batch, room):
-            diagonal += own[part] @ (x * x)
-    top = np.sort(np.argsort(-diagonal, kind="stable")[:DENSE])
-    gram = np.zeros((len(top), len(top)), np.float32)
-    for (batch, *_), own in zip(parts, each, strict=True):
-        for part, x in space.tables(batch, room):
-            some = (x[:, top] * np.sqrt(own[part])[:, None]).astype(np.float32)
-            gram += some.T @ some
-    gram *= np.float32(sums.mean())
-    gram[np.diag_indices_from(gram)] += 1
-    return top, np.linalg.inv(gram), 1 / (1 + sums.mean() * diagonal)
-
-
-def _settled(rows: DataFrame, sample: DataFrame, share: float, space: G.Space, weights: np.ndarray, balance: np.ndarray) -> np.ndarray:
-    """The models at the optimum over their whole bags: quasi-Newton steps of all side by side, a pass over the rows each, until no slope is left."""
-    top, block, diagonal = _guides(sample, space, weights, balance / share)
-    kept = int(max(2, min(40, 2e7 // weights.size)))
-    w, every = weights.copy(), np.arange(len(weights))
-    loss, grad = _slopes(rows, space, w, every, balance)
-    steps, size, done = [[] for _ in every], np.ones(len(every)), np.abs(grad).max(1) < 1e-6
+
+def _squares(batches: Iterator[pa.RecordBatch], kind: str, width: int) -> bytes:
+    out = np.zeros(width)
+    for batch in batches:
+        _, index, value = G.unpacked(batch, kind)
+        out += np.bincount(index, value.astype(float) ** 2, width)
+    return out.tobytes()
+
+
+def _settled(rows: DataFrame, space: G.Space, balance: np.ndarray, drawn: np.ndarray, bags: int, count: int) -> np.ndarray:
+    """The models at the optimum over their whole bags: quasi-Newton steps of all side by side, a pass over the rows each, until no slope is left. Guides are made anew where the models have come near."""
+    kind, every = space.numbers, np.arange(len(balance))
+    w = np.zeros((len(every), space.width + 1))
+    kept = int(max(2, min(40, 2e7 // w.size)))
+    passes = rows.drop("id")
+    loss, grad = _slopes(passes, kind, w, every, balance)
+    steps, size, done, guides = [[] for _ in every], np.ones(len(every)), np.abs(grad).max(1) < 1e-6, []
 
     def way(j: int) -> np.ndarray:
         q, used = grad[j].copy(), []
@@ -256,21 +295,24 @@ def _settled(rows: DataFrame, sample: DataFrame, share: float, space: G.Space, w
             a = (s @ q) / (s @ y)
             used.append(a)
             q -= a * y
-        out = q * diagonal
-        out[top] = (block @ q[top].astype(np.float32)).astype(float)
+        out = guides[j // bags](q)
         for (s, y), a in zip(steps[j], reversed(used), strict=True):
             out += (a - (y @ out) / (s @ y)) * s
         return -out
 
-    for _ in range(PASSES):
+    for turn in range(PASSES):
         which = every[~done]
         if not len(which):
             return w
+        if turn == 0 or turn % AGAIN == NEAR:
+            guides.clear()
+            guides += _guides(rows, kind, w, balance, drawn, bags, min(1.0, GUIDES * (0.3 if turn == 0 else 1) / count))
+            steps, size = [[] for _ in every], np.ones(len(every))
         move = {j: way(j) for j in which}
         trial = w.copy()
         for j in which:
             trial[j] += size[j] * move[j]
-        new, slope = _slopes(rows, space, trial, which, balance)
+        new, slope = _slopes(passes, kind, trial, which, balance)
         for i, j in enumerate(which):
             if new[i] <= loss[j] + 1e-4 * size[j] * (grad[j] @ move[j]) + 1e-10 * abs(loss[j]):
                 s, y = trial[j] - w[j], slope[i] - grad[j]
@@ -284,16 +326,16 @@ def _settled(rows: DataFrame, sample: DataFrame, share: float, space: G.Space, w
     raise RuntimeError(f"{(~done).sum()} models have slopes up to {np.abs(grad).max():.2g} left after {PASSES} passes")
 
 
-def _each(rows: DataFrame, space: G.Space, weights: np.ndarray) -> DataFrame:
+def _each(rows: DataFrame, kind: str, weights: np.ndarray) -> DataFrame:
     """rows with an array of each model's probability."""
-    shared = rows.sparkSession.sparkContext.broadcast((space, weights))
-    keep = [c for c in rows.columns if c not in ("at", "n")]
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    keep = [c for c in rows.columns if c not in ("index", "value")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (space, w), room = shared.value, []
+        w, room = shared.value, []
         for batch in batches:
             p = np.zeros((batch.num_rows, len(w)))
-            for part, x in space.tables(batch, room):
+            for part, x in G.tables(batch, kind, w.shape[1] - 1, room):
                 p[part] = _sigmoid(x @ w.T)
             at = np.arange(batch.num_rows + 1, dtype=np.int32) * len(w)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(at, p.ravel())], names=[*keep, "each"])
@@ -336,38 +378,33 @@ def _train(docs, bags, folds, seed, recall, priors, prior_weight, most, stop, lo
         share = want / u if u and want < u else bag_fraction
         return F.when(F.col("label") == "U", _share(F.col("id"), seed, f, b) < share).otherwise(of_fold != f)
 
-    held = rows.withColumn("member", F.array(*(member(f, b) for f, b in plans)))
-    work = held.where(F.exists("member", lambda x: x)).select("id", "label", "weight", "at", "n", "member")
+    held = written(space.features(rows.withColumn("member", F.array(*(member(f, b) for f, b in plans)))), "features", "zstd")
+    work = held.where(F.exists("member", lambda x: x)).select("id", "label", "weight", "index", "value", "member")
     count = lambda test: [F.count_if(test & F.get("member", i)) for i in range(len(plans))]
     good = F.col("label").eqNullSafe("P")
-    told = work.agg(F.count("*"), *count(~good), *count(good)).first()
-    of_class = np.array(told[1:], float).reshape(2, -1).T
+    told = work.agg(F.count("*"), *count(~good), *count(good), *count(F.col("label") == "U")).first()
+    of_class = np.array(told[1 : 1 + 2 * len(plans)], float).reshape(2, -1).T
     full = of_class.sum(1)
     balance = full[:, None] / (2 * np.maximum(1, of_class))  # both classes weigh alike
-    first = min(1.0, FIRST / max(1, full.max()))
-    some = lambda share: work if share == 1 else work.where(_share(F.col("id"), seed, -1) < share).drop("id")
-    begun = some(first).select("label", "weight", "at", "n", "member", F.posexplode("member").alias("plan", "taken")).where("taken").select("plan", "label", "weight", "at", "n")
-    shared = spark.sparkContext.broadcast((space, balance))
+    shared, kind = spark.sparkContext.broadcast(balance), space.numbers
 
     def run(part: pa.Table) -> pa.Table:
-        space, balance = shared.value
         plan = part.column("plan")[0].as_py()
         batch = part.combine_chunks().to_batches()[0]
-        row, index, value = space(batch)
+        row, index, value = G.unpacked(batch, kind)
         target = (np.array(batch.column("label").to_pylist(), object) == "P").astype(float)
-        weight = batch.column("weight").to_numpy() * balance[plan][target.astype(int)]
-        if first < 1:
-            weight = weight * full[plan] / len(target)
+        weight = batch.column("weight").to_numpy() * shared.value[plan][target.astype(int)]
         begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(target)))])
-        w = fit(index, value.astype(float), begin, target, weight, space.width, 40 if first == 1 else 4)
+        w = fit(index, value.astype(float), begin, target, weight, width)
         return pa.table({"plan": pa.array([plan], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
 
-    fitted = {r["plan"]: np.frombuffer(r["w"]) for r in begun.groupBy("plan").applyInArrow(run, "plan int, w binary").collect()}
-    weights = np.array([fitted.get(i, np.zeros(width + 1)) for i in range(len(plans))])
-    if first < 1:
-        share = min(1.0, GUIDES / told[0])
-        weights = _settled(work.drop("id"), some(share), share, space, weights, balance)
-    scored = _each(held.select("id", "label", "prior", "member", "at", "n"), space, weights)
+    if full.max() <= FIRST:
+        begun = work.select("label", "weight", "index", "value", F.posexplode("member").alias("plan", "taken")).where("taken").drop("taken")
+        fitted = {r["plan"]: np.frombuffer(r["w"]) for r in begun.groupBy("plan").applyInArrow(run, "plan int, w binary").collect()}
+        weights = np.array([fitted.get(i, np.zeros(width + 1)) for i in range(len(plans))])
+    else:
+        weights = _settled(work, space, balance, np.array(told[1 + 2 * len(plans) :]) / max(1, u), bags, told[0])
+    scored = _each(held.select("id", "label", "prior", "member", "index", "value"), kind, weights)
     last = folds * bags
     outside = F.filter(F.transform("each", lambda x, i: F.when((i < last) & ~F.get("member", i), x)), lambda x: x.isNotNull())
     final = F.slice("each", last + 1, bags)

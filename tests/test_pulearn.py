@@ -139,3 +139,13 @@ def test_whole_bags_by_passes_and_no_rows_of_tokens(docs, monkeypatch):
     many = {r.id: r.score for r in L.train(docs, bags=2, folds=2, most=300)[0].collect()}
     assert many == {k: pytest.approx(v, abs=1e-6) for k, v in one.items()}
     assert max(x.count() for x in made) < 15_000  # a row for each token of each text made more
+
+
+def test_few_passes_reach_whole_bags_with_a_guide_for_some_features(docs, monkeypatch):
+    one = {r.id: r.score for r in L.train(docs, bags=2, folds=2, most=300)[0].collect()}
+    monkeypatch.setattr(L, "FIRST", 20)
+    for most, name, bytes_ in ((24, "GUIDED", 208_000_000), (120, "GUIDED", 4 * 3 * 150**2)):
+        monkeypatch.setattr(L, name, bytes_, raising=False)
+        monkeypatch.setattr(L, "PASSES", most)
+        many = {r.id: r.score for r in L.train(docs, bags=2, folds=2, most=300)[0].collect()}
+        assert many == {k: pytest.approx(v, abs=1e-6) for k, v in one.items()}
